@@ -88,7 +88,7 @@ def py_round(c, n: int) -> Column:
 
 def to_number(c, default: float = 0.0) -> Column:
     """Numeric coercion; NULL, non-numeric, NaN and infinities -> default."""
-    v = F.try_cast(col(c).cast("string"), "double")
+    v = col(c).cast("string").try_cast("double")
     bad = v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
     return F.when(bad, F.lit(default)).otherwise(v)
 
@@ -102,26 +102,65 @@ def to_int(c, default: int = 0) -> Column:
 def stability(std) -> Column:
     """Stability band of a standard deviation."""
     s = col(std)
-    # Band labels.
-    return (F.when(s < 0.02, F.lit("Excellent"))
-            .when(s < 0.05, F.lit("Good"))
-            .when(s < 0.10, F.lit("Fair"))
-            .otherwise(F.lit("Poor")))
+    # Stability labels of the k-fold report.
+    return (F.when(s < 0.02, F.lit("Very Stable [OK]"))
+            .when(s < 0.05, F.lit("Stable"))
+            .when(s < 0.10, F.lit("Moderately Stable"))
+            .otherwise(F.lit("Unstable [!]")))
 
 
 def course_parts(course_id) -> list[Column]:
-    """``course-v1:ORG+CODE+TERM`` -> (org, code, term), ``Unknown`` when absent."""
+    """``prefix:ORG+CODE+TERM`` -> (org, code, term); blanks become ``Unknown``.
+    Without a ``:`` the whole id is the code."""
     c = col(course_id)
-    body = F.when(F.instr(c, ":") > 0, F.substring_index(c, ":", -1)).otherwise(c)
-    parts = F.split(body, r"\+")
     unknown = F.lit("Unknown")
-    return [F.coalesce(F.nullif(F.try_element_at(parts, F.lit(i)), F.lit("")), unknown).alias(n)
-            for i, n in ((1, "org"), (2, "code"), (3, "term"))]
+    has = F.size(F.split(c, ":")) > 1
+    info = F.split(F.coalesce(F.try_element_at(F.split(c, ":"), F.lit(2)), F.lit("")), r"\+")
+
+    def part(i):
+        return F.coalesce(F.nullif(F.try_element_at(info, F.lit(i)), F.lit("")), unknown)
+
+    return [F.when(has, part(1)).otherwise(unknown).alias("org"),
+            F.when(has, part(2)).otherwise(c).alias("code"),
+            F.when(has, part(3)).otherwise(unknown).alias("term")]
+
+
+def last_activity_label(days) -> Column:
+    """Roster label: today, yesterday, n days (<7), n weeks (<30), n months."""
+    d = col(days)
+    # Label texts of the roster.
+    return (F.when(d.isNull(), F.lit("N/A")).when(d == 0, F.lit("Hôm nay"))
+            .when(d == 1, F.lit("Hôm qua"))
+            .when(d < 7, F.concat(d.cast("string"), F.lit(" ngày trước")))
+            .when(d < 30, F.concat(F.floor(d / 7).cast("string"), F.lit(" tuần trước")))
+            .otherwise(F.concat(F.floor(d / 30).cast("string"), F.lit(" tháng trước"))))
+
+
+def percent_text(value) -> Column:
+    """``n.toFixed(1) + '%'``; non-numbers -> ``N/A`` (half up on the decimal)."""
+    v = to_number(value, float("nan"))
+    ok = ~F.isnan(v)
+    return F.when(ok, F.concat(F.round(v.cast("decimal(38,10)"), 1).cast("decimal(38,1)").cast("string"),
+                               F.lit("%"))).otherwise(F.lit("N/A"))
+
+
+def score_band(score) -> Column:
+    s = col(score)
+    return (F.when(s >= 80, F.lit("score-excellent")).when(s >= 70, F.lit("score-good"))
+            .when(s >= 50, F.lit("score-average")).otherwise(F.lit("score-poor")))
+
+
+def completion_band(rate) -> Column:
+    r = col(rate)
+    return (F.when(r >= 80, F.lit("completion-high")).when(r >= 60, F.lit("completion-medium"))
+            .otherwise(F.lit("completion-low")))
 
 
 def initials(name) -> Column:
-    """Initials of the last two words of a name, upper-cased."""
-    words = F.filter(F.split(F.trim(col(name)), r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    last2 = F.slice(words, F.greatest(n - 1, F.lit(1)), 2)
-    return F.upper(F.array_join(F.transform(last2, lambda w: F.substring(w, 1, 1)), ""))
+    """First letters of the last two space-separated words, upper-cased;
+    ``SV`` for a missing or empty name."""
+    c = col(name)
+    words = F.split(c, " ")
+    last2 = F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2)
+    ini = F.upper(F.array_join(F.transform(last2, lambda w: F.substring(w, 1, 1)), ""))
+    return F.when(c.isNull() | (c == ""), F.lit("SV")).otherwise(ini)

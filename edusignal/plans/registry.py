@@ -28,3 +28,4 @@ def register(name: str, cols: str, sql: str | None, ops: str):
 # Load the query modules (each registers its queries on import).
 from . import q_marts  # noqa: E402,F401
 from . import q_exercises  # noqa: E402,F401
+from . import q_dashboard  # noqa: E402,F401
