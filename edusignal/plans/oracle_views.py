@@ -93,6 +93,8 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
            CASE WHEN CAST(((c.c_custkey * 7919 + v.v * 1013) % 10001) / 100 AS DECIMAL(5,2)) >= 70 THEN 'HIGH'
                 WHEN CAST(((c.c_custkey * 7919 + v.v * 1013) % 10001) / 100 AS DECIMAL(5,2)) >= 40 THEN 'MEDIUM'
                 ELSE 'LOW' END AS risk_level,
+           CAST(NULL AS DOUBLE) AS snapshot_grade, CAST(NULL AS DOUBLE) AS snapshot_completion_rate,
+           CAST(NULL AS BIGINT) AS snapshot_days_inactive,
            {AS_OF} - (2 - v.v) * INTERVAL 1 DAY AS predicted_at,
            v.v = 2 AS is_latest
     FROM customer c CROSS JOIN (VALUES (0), (1), (2)) v(v)
@@ -173,4 +175,10 @@ def with_views(body: str, extra_ctes: str | None = None) -> str:
     ctes = [f"{n} AS ({_VIEWS[n][1]}\n)" for n in _deps(used)]
     if extra_ctes:
         ctes.append(extra_ctes)
-    return ("WITH " + ",\n".join(ctes) + "\n" + body) if ctes else body
+    if not ctes:
+        return body
+    stripped = body.lstrip()
+    if stripped[:5].upper() == "WITH ":
+        # the body has CTEs of its own: extend the same WITH list
+        return "WITH " + ",\n".join(ctes) + ",\n" + stripped[5:]
+    return "WITH " + ",\n".join(ctes) + "\n" + body

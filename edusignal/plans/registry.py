@@ -29,3 +29,4 @@ def register(name: str, cols: str, sql: str | None, ops: str):
 from . import q_marts  # noqa: E402,F401
 from . import q_exercises  # noqa: E402,F401
 from . import q_dashboard  # noqa: E402,F401
+from . import q_lifecycle  # noqa: E402,F401

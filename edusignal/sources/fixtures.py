@@ -182,6 +182,9 @@ class Domain:
             F.concat(F.lit("v"), vv.cast("string")).alias("model_version"),
             score.alias("fail_risk_score"),
             risk_level(score).alias("risk_level"),
+            F.lit(None).cast("double").alias("snapshot_grade"),
+            F.lit(None).cast("double").alias("snapshot_completion_rate"),
+            F.lit(None).cast("bigint").alias("snapshot_days_inactive"),
             (as_of_lit(self.as_of) - F.make_interval(days=(2 - vv).cast("int"))).alias("predicted_at"),
             (vv == 2).alias("is_latest"),
         )
