@@ -30,3 +30,4 @@ from . import q_marts  # noqa: E402,F401
 from . import q_exercises  # noqa: E402,F401
 from . import q_dashboard  # noqa: E402,F401
 from . import q_lifecycle  # noqa: E402,F401
+from . import q_features  # noqa: E402,F401
