@@ -287,7 +287,8 @@ def h5p_detail_metrics(h: DataFrame) -> DataFrame:
     p = F.col("percentage").cast("double")
     g = h.groupBy("user_id", "course_id").agg(
         F.sum(fin.cast("int")).cast("bigint").alias("finished_count"),
-        F.avg(F.when(fin, p)).alias("avg_finished_score"),
+        # decimal AVG (6 places, half up) as MySQL returns it, then double
+        F.avg(F.when(fin, F.col("percentage"))).cast("double").alias("avg_finished_score"),
         F.sum((fin & (p >= 60)).cast("int")).cast("bigint").alias("success_count"),
         F.sum((fin & (p < 60)).cast("int")).cast("bigint").alias("struggling_count"),
         F.avg(F.col("opened").cast("double")).alias("avg_opened"),
