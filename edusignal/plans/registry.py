@@ -32,3 +32,4 @@ from . import q_dashboard  # noqa: E402,F401
 from . import q_lifecycle  # noqa: E402,F401
 from . import q_features  # noqa: E402,F401
 from . import q_wide  # noqa: E402,F401
+from . import q_evaluation  # noqa: E402,F401
