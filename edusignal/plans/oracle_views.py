@@ -149,7 +149,8 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
            CASE ev.event_type WHEN 'click' THEN 'problem_attempt' WHEN 'purchase' THEN 'problem_correct'
                 WHEN 'view' THEN 'video_view' WHEN 'signup' THEN 'discussion_post'
                 WHEN 'error' THEN 'discussion_reply' END AS action,
-           LEAST(ev.value, 100.0) AS score
+           LEAST(ev.value, 100.0) AS score,
+           CAST(json_extract_string(ev.props, '$.k') AS BIGINT) AS item
     FROM events ev LEFT JOIN customer c ON ev.user_id = c.c_custkey"""),
 }
 

@@ -255,6 +255,7 @@ class Domain:
             "event_type",
             action.alias("action"),
             F.least(F.col("value"), F.lit(100.0)).alias("score"),
+            F.get_json_object("props", "$.k").cast("bigint").alias("item"),
         )
 
     def view(self, name: str) -> DataFrame:
