@@ -54,7 +54,7 @@ x AS (SELECT b.*, a.dmax, a.dmean, a.cmean,
 y AS (SELECT x.*,
         COALESCE(discussion_score * 0.25 + video_completion_rate * 0.25 + h5p_completion_rate * 0.25
                  + quiz_avg_score * 0.25, 0.0) AS engagement_score,
-        100 - LEAST(GREATEST(days_since_last_activity / 30 * 100, 0.0), 100.0) AS activity_recency,
+        100 - CASE WHEN days_since_last_activity IS NULL THEN NULL ELSE LEAST(GREATEST(days_since_last_activity / 30 * 100, 0.0), 100.0) END AS activity_recency,
         discussion_total_interactions / CASE WHEN dmean = 0 THEN 1.0 ELSE dmean END AS discussion_engagement_rate
       FROM x)
 SELECT user_id, course_id, COALESCE(mooc_completion_rate, 0) AS mooc_completion_rate,
@@ -78,7 +78,7 @@ SELECT user_id, course_id, COALESCE(mooc_completion_rate, 0) AS mooc_completion_
        WHEN weeks_since_enrollment <= 4 THEN 'early' WHEN weeks_since_enrollment <= 8 THEN 'mid'
        WHEN weeks_since_enrollment <= 12 THEN 'late' WHEN weeks_since_enrollment > 12 THEN 'very_late' END
     AS enrollment_phase,
-  COALESCE(LEAST(GREATEST(16 - weeks_since_enrollment, 0.0), 16.0), 0) AS weeks_remaining,
+  COALESCE(CASE WHEN weeks_since_enrollment IS NULL THEN NULL ELSE LEAST(GREATEST(16 - weeks_since_enrollment, 0.0), 16.0) END, 0) AS weeks_remaining,
   COALESCE(mooc_completion_rate / CASE WHEN weeks_since_enrollment = 0 THEN 1.0
                                         ELSE weeks_since_enrollment END, 0) AS progress_rate
 FROM y""", "I1-I19 E1 E2 E3")
@@ -95,7 +95,7 @@ FB_COLS = ("user_id:i course_id:s engagement_score:d activity_recency:d activity
 WITH {_INPUT},
 x AS (SELECT b.*, a.cmean, {_STD_PREP},
         (mooc_completion_rate + video_completion_rate + h5p_overall_percentage) / 3 AS engagement_score,
-        100 - LEAST(GREATEST(days_since_last_activity / 30 * 100, 0.0), 100.0) AS activity_recency
+        100 - CASE WHEN days_since_last_activity IS NULL THEN NULL ELSE LEAST(GREATEST(days_since_last_activity / 30 * 100, 0.0), 100.0) END AS activity_recency
       FROM base b LEFT JOIN agg a ON a.course_id = b.course_id)
 SELECT user_id, course_id, engagement_score, activity_recency,
   (engagement_score + activity_recency) / 2 AS activity_consistency,
@@ -108,7 +108,7 @@ SELECT user_id, course_id, engagement_score, activity_recency,
     AS interaction_score,
   mooc_completion_rate / CASE WHEN weeks_since_enrollment = 0 THEN 1.0 ELSE weeks_since_enrollment END
     AS progress_rate,
-  LEAST(GREATEST(16 - weeks_since_enrollment, 0.0), 16.0) AS weeks_remaining,
+  CASE WHEN weeks_since_enrollment IS NULL THEN NULL ELSE LEAST(GREATEST(16 - weeks_since_enrollment, 0.0), 16.0) END AS weeks_remaining,
   'mid' AS enrollment_phase
 FROM x""", "I20")
 def q_fallback(d):

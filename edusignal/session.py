@@ -23,6 +23,7 @@ BASE_CONF = {
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
