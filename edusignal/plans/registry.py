@@ -34,3 +34,4 @@ from . import q_features  # noqa: E402,F401
 from . import q_wide  # noqa: E402,F401
 from . import q_evaluation  # noqa: E402,F401
 from . import q_events  # noqa: E402,F401
+from . import q_models  # noqa: E402,F401
