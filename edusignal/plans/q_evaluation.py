@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as EV
-from .registry import register
+from .base import register
 
 KEYS = ["user_id", "course_id"]
 MODELS = ["model_0", "model_1", "model_2"]

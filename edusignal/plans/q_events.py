@@ -6,7 +6,7 @@ from ..operators import events as EVT
 from ..operators import wide as W
 from .contract import hround
 from .q_wide import _WIDE_SQL, WIDE_COLS, _bench
-from .registry import avg_round, register
+from .base import avg_round, register
 
 _PROB = "action IN ('problem_attempt', 'problem_correct')"
 

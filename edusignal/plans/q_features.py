@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as FE
-from .registry import register
+from .base import register
 
 KEYS = ["user_id", "course_id"]
 

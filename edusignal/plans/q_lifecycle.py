@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import as_of_lit
 from ..operators import predictions as P
 from ..operators.upsert import upsert
-from .registry import AS_OF, register
+from .base import AS_OF, register
 
 KEYS = ["user_id", "course_id"]
 

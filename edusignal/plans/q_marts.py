@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import roster as R
 from ..operators import stats as S
 from ..operators.suggestions import suggestion_titles
-from .registry import AS_OF, hround, register
+from .base import AS_OF, hround, register
 
 _LATEST_P = "(SELECT * FROM predictions WHERE is_latest)"
 

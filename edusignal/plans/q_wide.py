@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import wide as W
 from .contract import hdiv
-from .registry import AS_OF, avg_round, hround, register
+from .base import AS_OF, avg_round, hround, register
 
 
 def _bench(d):

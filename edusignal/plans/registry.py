@@ -7,23 +7,7 @@ Every query reads whole tables of the given scale-factor directory through
 
 from __future__ import annotations
 
-from typing import Callable
-
-from ..sources.fixtures import Domain
-from .contract import Query, avg_round, hround, parse_cols
-from .oracle_views import AS_OF, with_views
-
-REGISTRY: dict[str, Query] = {}
-
-
-def register(name: str, cols: str, sql: str | None, ops: str):
-    def deco(fn: Callable[[Domain], object]):
-        def run(spark, sf_dir):
-            return fn(Domain(spark, sf_dir))
-        REGISTRY[name] = Query(name, run, parse_cols(cols), None if sql is None else with_views(sql), ops)
-        return fn
-    return deco
-
+from .base import AS_OF, REGISTRY, avg_round, hround, register  # noqa: F401
 
 # Load the query modules (each registers its queries on import).
 from . import q_marts  # noqa: E402,F401
