@@ -41,15 +41,23 @@ def _avg_round(total, n, scale_in: int, digits: int):
 
 def h5p_rollup(h: DataFrame) -> DataFrame:
     """Per (user, course) — distinct contents, distinct with pct >= 70,
-    sums, average percentage (as the populate job's sub-select)."""
-    return h.groupBy("user_id", "course_id").agg(
-        F.countDistinct("content_id").cast("bigint").alias("total_contents"),
-        F.countDistinct(F.when(F.col("percentage") >= 70, F.col("content_id"))).cast("bigint")
-         .alias("completed_contents"),
-        F.sum("score").cast("bigint").alias("total_score"),
-        F.sum("max_score").cast("bigint").alias("total_max_score"),
-        F.avg(F.col("percentage").cast("double")).alias("avg_percentage"),
-        F.sum("time_spent").cast("bigint").alias("total_time_spent"),
+    sums, average percentage (as the populate job's sub-select).
+
+    Two steps instead of two ``countDistinct`` (an Expand that copies every
+    attempt row per distinct expression): attempts collapse to one row per
+    (user, course, content) with partial sums, then roll up."""
+    per = h.groupBy("user_id", "course_id", "content_id").agg(
+        F.max((F.col("percentage") >= 70).cast("int")).alias("done"),
+        F.sum("score").alias("s"), F.sum("max_score").alias("m"),
+        F.sum(F.col("percentage").cast("double")).alias("p"), F.count("percentage").alias("n"),
+        F.sum("time_spent").alias("t"))
+    return per.groupBy("user_id", "course_id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("total_contents"),
+        F.sum("done").cast("bigint").alias("completed_contents"),
+        F.sum("s").cast("bigint").alias("total_score"),
+        F.sum("m").cast("bigint").alias("total_max_score"),
+        (F.sum("p") / F.sum("n")).alias("avg_percentage"),
+        F.sum("t").cast("bigint").alias("total_time_spent"),
     )
 
 

@@ -72,8 +72,10 @@ class Domain:
         li = self.base("lineitem")
         o = self.base("orders").select("o_orderkey", "o_custkey", "o_orderdate")
         c = self.base("customer").select("c_custkey", "c_mktsegment")
-        j = (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-               .join(c, F.col("o_custkey") == F.col("c_custkey")))
+        # Join the two smaller tables first, so the largest one (attempt rows)
+        # is shuffled exactly once, on the order key.
+        oc = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+        j = li.join(oc, F.col("l_orderkey") == F.col("o_orderkey"))
         content = F.col("l_partkey") % 50
         return j.select(
             F.col("c_custkey").alias("user_id"),
