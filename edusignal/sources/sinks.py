@@ -57,6 +57,17 @@ def write_version(df: DataFrame, base: str, partition_by: list[str] | None = Non
     return path
 
 
+# --- A13 -------------------------------------------------------------------------------
+
+
+def scan(spark: SparkSession, path: str, course_id: str | None = None) -> DataFrame:
+    """Table scan with an optional course predicate.  Tables written with
+    ``partitionBy('course_id')`` get partition pruning; otherwise the filter is
+    pushed into the parquet reader (row-group min/max skipping)."""
+    df = spark.read.parquet(path)
+    return df if course_id is None else df.where(F.col("course_id") == course_id)
+
+
 # --- A14 / A21 -------------------------------------------------------------------------
 
 
