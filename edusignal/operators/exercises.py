@@ -39,43 +39,87 @@ def _avg_round(total, n, scale_in: int, digits: int):
 
 # --- D8 / D23 rollups ----------------------------------------------------------
 
+def attempts_by_content(h: DataFrame) -> DataFrame:
+    """One row per (user, course, content) with every partial sum the
+    per-student rollups need (D8, D9, D22, D23).
+
+    All those consumers build this identical aggregate, so within one query
+    Spark's exchange reuse scans, joins and shuffles the attempt table once,
+    however many rollups read it.  It also replaces several ``countDistinct``
+    in one ``agg`` (an Expand that copies every attempt row per distinct
+    expression) by a plain count over pre-aggregated rows."""
+    fin = F.col("finished") > 0
+    pct = F.col("percentage")
+    cents = (pct * 100).cast("bigint")
+    return h.groupBy("user_id", "course_id", "content_id").agg(
+        F.max(fin.cast("int")).alias("done_fin"),
+        F.max((pct >= 70).cast("int")).alias("done70"),
+        F.sum("score").alias("s"), F.sum("max_score").alias("m"), F.sum("time_spent").alias("t"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(cents).alias("cents"), F.count(pct).alias("n_pct"),
+        F.sum(F.when(fin, cents)).alias("fin_cents"), F.sum(fin.cast("int")).alias("n_fin"),
+        F.sum((fin & (pct >= 60)).cast("int")).alias("n_success"),
+        F.sum((fin & (pct < 60)).cast("int")).alias("n_struggle"),
+        F.sum(F.col("opened").cast("double")).alias("opened_sum"), F.count("opened").alias("n_opened"))
+
+
+def decimal_avg(total_cents, n) -> F.Column:
+    """AVG of a decimal(x,2) from its exact cent sum and count: 6 places,
+    half up — what Spark's and MySQL's decimal AVG return."""
+    return F.round(total_cents.cast("decimal(38,0)") / (n.cast("decimal(38,0)") * 100), 6).cast("decimal(38,6)")
+
+
 def h5p_rollup(h: DataFrame) -> DataFrame:
     """Per (user, course) — distinct contents, distinct with pct >= 70,
-    sums, average percentage (as the populate job's sub-select).
-
-    Two steps instead of two ``countDistinct`` (an Expand that copies every
-    attempt row per distinct expression): attempts collapse to one row per
-    (user, course, content) with partial sums, then roll up."""
-    per = h.groupBy("user_id", "course_id", "content_id").agg(
-        F.max((F.col("percentage") >= 70).cast("int")).alias("done"),
-        F.sum("score").alias("s"), F.sum("max_score").alias("m"),
-        F.sum(F.col("percentage").cast("double")).alias("p"), F.count("percentage").alias("n"),
-        F.sum("time_spent").alias("t"))
-    return per.groupBy("user_id", "course_id").agg(
+    sums, average percentage (as the populate job's sub-select)."""
+    return attempts_by_content(h).groupBy("user_id", "course_id").agg(
         F.count(F.lit(1)).cast("bigint").alias("total_contents"),
-        F.sum("done").cast("bigint").alias("completed_contents"),
+        F.sum("done70").cast("bigint").alias("completed_contents"),
         F.sum("s").cast("bigint").alias("total_score"),
         F.sum("m").cast("bigint").alias("total_max_score"),
-        (F.sum("p") / F.sum("n")).alias("avg_percentage"),
+        (F.sum("cents") / F.sum("n_pct") / 100.0).alias("avg_percentage"),
         F.sum("t").cast("bigint").alias("total_time_spent"),
     )
 
 
-def h5p_summary(h: DataFrame) -> DataFrame:
-    """``h5p_scores_summary`` from attempt rows (finished > 0 = completed)."""
-    per = h.groupBy("user_id", "course_id", "content_id").agg(
-        F.max((F.col("finished") > 0).cast("int")).alias("done"),
-        F.sum("score").alias("s"), F.sum("max_score").alias("m"), F.sum("time_spent").alias("t"))
-    return per.groupBy("user_id", "course_id").agg(
+SUMMARY_COLS = ["total_contents", "completed_contents", "total_score", "total_max_score", "overall_percentage",
+                "total_time_spent"]
+METRIC_COLS = ["finished_count", "avg_finished_score", "success_count", "struggling_count",
+               "assessment_attempts_avg", "success_rate"]
+
+
+def h5p_user_rollup(h: DataFrame) -> DataFrame:
+    """Per (user, course): the exercise summary (D23) and the attempt metrics
+    (D9) in one aggregate, so a consumer that needs both (the wide row)
+    reads the attempt table once."""
+    g = attempts_by_content(h).groupBy("user_id", "course_id").agg(
         F.count(F.lit(1)).cast("bigint").alias("total_contents"),
-        F.sum("done").cast("bigint").alias("completed_contents"),
+        F.sum("done_fin").cast("bigint").alias("completed_contents"),
         F.sum("s").cast("bigint").alias("total_score"),
         F.sum("m").cast("bigint").alias("total_max_score"),
         F.round(F.sum("s").cast("decimal(38,0)") * F.lit(100).cast("decimal(3,0)")
                 / F.nullif(F.sum("m"), F.lit(0)).cast("decimal(38,0)"), 2).cast("double")
          .alias("overall_percentage"),
         F.sum("t").cast("bigint").alias("total_time_spent"),
+        F.sum("n_fin").cast("bigint").alias("finished_count"),
+        # decimal AVG (6 places, half up) as MySQL returns it, then double
+        F.when(F.sum("n_fin") > 0, decimal_avg(F.sum("fin_cents"), F.sum("n_fin"))).cast("double")
+         .alias("avg_finished_score"),
+        F.sum("n_success").cast("bigint").alias("success_count"),
+        F.sum("n_struggle").cast("bigint").alias("struggling_count"),
+        (F.sum("opened_sum") / F.sum("n_opened")).alias("avg_opened"),
     )
+    return g.select(
+        "user_id", "course_id", *SUMMARY_COLS, "finished_count",
+        F.coalesce("avg_finished_score", F.lit(0.0)).alias("avg_finished_score"),
+        "success_count", "struggling_count",
+        F.least(F.coalesce("avg_opened", F.lit(0.0)), F.lit(999.99)).alias("assessment_attempts_avg"),
+        safe_ratio("success_count", "finished_count", 1.0, 0.0).alias("success_rate"))
+
+
+def h5p_summary(h: DataFrame) -> DataFrame:
+    """``h5p_scores_summary`` from attempt rows (finished > 0 = completed)."""
+    return h5p_user_rollup(h).select("user_id", "course_id", *SUMMARY_COLS)
 
 
 def video_summary(v: DataFrame) -> DataFrame:
@@ -291,21 +335,7 @@ def h5p_detail_metrics(h: DataFrame) -> DataFrame:
     """Finished attempts, their average score, success (>= 60) and
     struggling (< 60) counts, and the average of ``opened`` capped at 999.99
     (``opened`` is a Unix time, so it always saturates — Q8, literal)."""
-    fin = F.col("finished") > 0
-    p = F.col("percentage").cast("double")
-    g = h.groupBy("user_id", "course_id").agg(
-        F.sum(fin.cast("int")).cast("bigint").alias("finished_count"),
-        # decimal AVG (6 places, half up) as MySQL returns it, then double
-        F.avg(F.when(fin, F.col("percentage"))).cast("double").alias("avg_finished_score"),
-        F.sum((fin & (p >= 60)).cast("int")).cast("bigint").alias("success_count"),
-        F.sum((fin & (p < 60)).cast("int")).cast("bigint").alias("struggling_count"),
-        F.avg(F.col("opened").cast("double")).alias("avg_opened"),
-    )
-    return g.select("user_id", "course_id", "finished_count",
-                    F.coalesce("avg_finished_score", F.lit(0.0)).alias("avg_finished_score"),
-                    "success_count", "struggling_count",
-                    F.least(F.coalesce("avg_opened", F.lit(0.0)), F.lit(999.99)).alias("assessment_attempts_avg"),
-                    safe_ratio("success_count", "finished_count", 1.0, 0.0).alias("success_rate"))
+    return h5p_user_rollup(h).select("user_id", "course_id", *METRIC_COLS)
 
 
 def video_views(v: DataFrame) -> DataFrame:

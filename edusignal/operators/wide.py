@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import as_of_lit, floor_days, whole_weeks
-from .exercises import h5p_detail_metrics, h5p_rollup, h5p_summary, video_summary, video_views
+from .exercises import (attempts_by_content, decimal_avg, h5p_rollup, h5p_user_rollup,
+                        video_summary, video_views)
 
 KEYS = ["user_id", "course_id"]
 
@@ -69,13 +70,15 @@ def benchmarks_from_tables(e: DataFrame, h: DataFrame, prog: DataFrame, vsum: Da
                            disc: DataFrame, g: DataFrame) -> DataFrame:
     """The benchmark columns computed from our own tables, one row per
     course (each source aggregated by course, then full-outer joined)."""
-    fin = F.col("finished") > 0
-    pct = F.col("percentage")
-    ex = h.groupBy("course_id").agg(
-        F.round(F.avg(pct), 2).cast("double").alias("activity_avg_score"),
-        F.count(F.lit(1)).alias("activity_total_activities"),
-        F.round(F.avg(F.when(fin, pct)), 2).cast("double").alias("assessment_avg_score"),
-        F.countDistinct("user_id").alias("_ex_students"))
+    per_user = attempts_by_content(h).groupBy("user_id", "course_id").agg(
+        F.sum("cents").alias("cents"), F.sum("n_pct").alias("n_pct"), F.sum("fin_cents").alias("fin_cents"),
+        F.sum("n_fin").alias("n_fin"), F.sum("n_rows").alias("n_rows"))
+    ex = per_user.groupBy("course_id").agg(
+        F.round(decimal_avg(F.sum("cents"), F.sum("n_pct")), 2).cast("double").alias("activity_avg_score"),
+        F.sum("n_rows").alias("activity_total_activities"),
+        F.when(F.sum("n_fin") > 0, F.round(decimal_avg(F.sum("fin_cents"), F.sum("n_fin")), 2))
+         .cast("double").alias("assessment_avg_score"),
+        F.count(F.lit(1)).alias("_ex_students"))
     en = e.groupBy("course_id").agg(
         F.count(F.lit(1)).alias("total_students"),
         F.sum(F.col("is_active").cast("int")).alias("active_students"))
@@ -165,9 +168,14 @@ def build_raw(e: DataFrame, h: DataFrame, v: DataFrame, g: DataFrame, prog: Data
     spine = e.groupBy(*KEYS).agg(F.first("mode", ignorenulls=True).alias("enrollment_mode"),
                                  F.first("is_active", ignorenulls=True).alias("e_active"),
                                  F.min("created").alias("created"))
-    hs = h5p_summary(h).select(*KEYS, *[F.col(c).alias(f"hs_{c}") for c in (
-        "total_contents", "completed_contents", "total_score", "total_max_score", "overall_percentage",
-        "total_time_spent")])
+    # exercise summary (D23) and attempt metrics (D9) from one pass over attempts
+    hs = h5p_user_rollup(h).select(
+        *KEYS, *[F.col(c).alias(f"hs_{c}") for c in (
+            "total_contents", "completed_contents", "total_score", "total_max_score", "overall_percentage",
+            "total_time_spent")],
+        F.col("finished_count").alias("m_finished"), F.col("avg_finished_score").alias("m_avg_fin"),
+        F.col("success_count").alias("m_success"), F.col("struggling_count").alias("m_struggling"),
+        F.col("assessment_attempts_avg").alias("m_opened"))
     vs = video_summary(v).select(*KEYS, *[F.col(c).alias(f"vs_{c}") for c in (
         "total_videos", "completed_videos", "in_progress_videos", "total_duration", "total_watched_time")])
     gd = g.select(*KEYS, F.col("grade_percentage").alias("g_grade"), F.col("letter_grade").alias("g_letter"),
@@ -175,14 +183,9 @@ def build_raw(e: DataFrame, h: DataFrame, v: DataFrame, g: DataFrame, prog: Data
     pd_ = prog.select(*KEYS, F.col("completion_rate").alias("p_rate"), F.col("last_activity").alias("p_last"))
     dd = disc.select(*KEYS, *[F.col(c).alias(f"d_{c}") for c in (
         "threads_count", "comments_count", "total_interactions", "questions_count", "total_upvotes")])
-    dm = h5p_detail_metrics(h).select(*KEYS, F.col("finished_count").alias("m_finished"),
-                                      F.col("avg_finished_score").alias("m_avg_fin"),
-                                      F.col("success_count").alias("m_success"),
-                                      F.col("struggling_count").alias("m_struggling"),
-                                      F.col("assessment_attempts_avg").alias("m_opened"))
     vv = video_views(v).select(*KEYS, F.col("video_views").alias("m_views"))
     j = (spine.join(hs, KEYS, "left").join(vs, KEYS, "left").join(gd, KEYS, "left")
-              .join(pd_, KEYS, "left").join(dd, KEYS, "left").join(dm, KEYS, "left")
+              .join(pd_, KEYS, "left").join(dd, KEYS, "left")
               .join(vv, KEYS, "left"))
     if dash is not None:
         j = j.join(dash.select(*KEYS, F.col("overall_completion").alias("db_completion"),
