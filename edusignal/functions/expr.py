@@ -61,6 +61,15 @@ def display_email(enroll_email, grade_email) -> Column:
     return F.coalesce(nullif_blank(enroll_email), col(grade_email))
 
 
+def epoch_to_ntz(seconds) -> Column:
+    """FROM_UNIXTIME as a zone-less wall clock: epoch + a day-time interval.
+    (``timestamp_seconds`` would depend on the session time zone once cast to
+    a zone-less timestamp.)"""
+    s = col(seconds)
+    return F.when(s.isNotNull(), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+                  + F.make_dt_interval(secs=s.cast("decimal(18,6)")))
+
+
 def floor_days(ts, as_of: str = DEFAULT_AS_OF) -> Column:
     """Python ``(now - ts).days``: whole 24-hour units, floored (not datediff)."""
     return F.floor((F.unix_timestamp(as_of_lit(as_of)) - F.unix_timestamp(col(ts)))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import safe_ratio
+from ..functions.expr import epoch_to_ntz, safe_ratio
 
 CONTENT = ["course_id", "content_id", "content_title", "folder_name"]
 
@@ -43,11 +43,13 @@ def attempts_by_content(h: DataFrame) -> DataFrame:
     """One row per (user, course, content) with every partial sum the
     per-student rollups need (D8, D9, D22, D23).
 
-    All those consumers build this identical aggregate, so within one query
-    Spark's exchange reuse scans, joins and shuffles the attempt table once,
-    however many rollups read it.  It also replaces several ``countDistinct``
-    in one ``agg`` (an Expand that copies every attempt row per distinct
-    expression) by a plain count over pre-aggregated rows."""
+    Repeated attempts collapse map-side before the shuffle, and distinct
+    counts become plain counts over these rows (instead of several
+    ``countDistinct`` in one ``agg``, an Expand that copies every attempt row
+    per distinct expression).  A consumer needing several rollups uses one
+    combined aggregate (:func:`h5p_user_rollup`), so it reads attempts once —
+    separate consumers would not share the scan, because column pruning makes
+    their aggregates differ."""
     fin = F.col("finished") > 0
     pct = F.col("percentage")
     cents = (pct * 100).cast("bigint")
@@ -278,8 +280,8 @@ def student_bands(h: DataFrame, zero_finished: str = "finished") -> DataFrame:
     reference (``zero_finished='finished'``) nothing is in progress (Q6);
     ``'in_progress'`` applies the documented meaning of 0."""
     p = F.col("percentage")
-    finished_time = F.when(F.col("finished").isNull(), F.lit(None).cast("timestamp")) \
-        .otherwise(F.timestamp_seconds("finished"))
+    finished_time = F.when(F.col("finished").isNull(), F.lit(None).cast("timestamp_ntz")) \
+        .otherwise(epoch_to_ntz("finished"))
     if zero_finished == "in_progress":
         finished_time = F.when(F.col("finished") == 0, F.lit(None).cast("timestamp")).otherwise(finished_time)
     band = (F.when(finished_time.isNull(), F.lit("in_progress")).when(p >= 90, F.lit("excellent"))
@@ -314,8 +316,8 @@ def content_students(h: DataFrame, e: DataFrame) -> DataFrame:
     return j.select(
         "course_id", "content_id", "user_id", "full_name", "email", "mssv", "score", "max_score",
         F.col("percentage").cast("double").alias("percentage"), "finished", "opened", "time_spent",
-        F.timestamp_seconds("opened").alias("opened_time"),
-        F.timestamp_seconds("finished").alias("finished_time"),
+        epoch_to_ntz("opened").alias("opened_time"),
+        epoch_to_ntz("finished").alias("finished_time"),
         (F.col("finished") > 0).alias("is_completed"),
         F.round(F.col("time_spent").cast("decimal(38,0)") / F.lit(60).cast("decimal(2,0)"), 1)
          .cast("double").alias("time_spent_minutes"))

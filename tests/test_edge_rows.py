@@ -132,6 +132,19 @@ def test_initials_and_course_parts(spark):
     assert (rows[2].org, rows[2].code, rows[2].term) == ("A", "Unknown", "Unknown")
 
 
+def test_results_do_not_depend_on_session_time_zone(spark):
+    from edusignal.plans.registry import REGISTRY
+    from .conftest import SMALL
+    names = ["content_students", "assessment_details", "roster", "activity_stats"]
+    utc = {n: sorted(REGISTRY[n].run(spark, SMALL).collect()) for n in names}
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for n in names:
+            assert sorted(REGISTRY[n].run(spark, SMALL).collect()) == utc[n], n
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_floor_days_counts_whole_24h_units(spark):
     df = spark.createDataFrame([(datetime(2001, 11, 30, 0, 0, 1),), (datetime(2001, 11, 24, 0, 0, 0),)], "t timestamp")
     got = [r.d for r in df.select(E.floor_days(F.col("t").cast("timestamp_ntz")).alias("d")).collect()]
