@@ -21,7 +21,10 @@ WITH ev AS (
     COUNT(DISTINCT CASE WHEN {_PROB} THEN item END) AS problem_unique_problems,
     SUM(CASE WHEN action = 'video_view' THEN 1 ELSE 0 END) AS video_total_views,
     COUNT(DISTINCT CASE WHEN action = 'video_view' THEN item END) AS video_unique_videos,
-    CAST(FLOOR(AVG(CASE WHEN action = 'video_view' THEN score END)) AS BIGINT) AS video_avg_watch_time,
+    CASE WHEN COUNT(CASE WHEN action = 'video_view' THEN score END) > 0 THEN
+      CAST(FLOOR(SUM(CASE WHEN action = 'video_view' THEN CAST(ROUND(score * 100) AS BIGINT) END)
+                 / (COUNT(CASE WHEN action = 'video_view' THEN score END) * 100)) AS BIGINT) END
+      AS video_avg_watch_time,
     SUM(CASE WHEN action = 'discussion_post' THEN 1 ELSE 0 END) AS discussion_posts_count,
     SUM(CASE WHEN action = 'discussion_reply' THEN 1 ELSE 0 END) AS discussion_replies_count,
     SUM(CASE WHEN hour(ts) >= 22 THEN 1 ELSE 0 END) AS late_night_activities,

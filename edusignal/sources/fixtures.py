@@ -56,7 +56,9 @@ class Domain:
         """Broadcast ``df`` only if the files it derives from, expanded to an
         in-memory estimate, fit the broadcast threshold; beyond it the join
         stays a shuffle join (sort-merge, with AQE skew handling)."""
-        limit = self.spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        limit = self.spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").strip()
+        if limit.startswith("-"):  # broadcasting switched off
+            return df
         limit_bytes = int(self.spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils
                           .byteStringAsBytes(limit))
         size = sum(self.input_bytes(t) for t in tables) * self.MEMORY_EXPANSION
