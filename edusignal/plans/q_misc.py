@@ -10,6 +10,7 @@ from ..functions import expr as E
 from ..operators import roster as R
 from ..operators.suggestions import suggestion_text
 from .base import register
+from .q_marts import ROSTER_COLS, _ROSTER_FROM, _roster_sql
 
 KEYS = ["user_id", "course_id"]
 
@@ -115,3 +116,20 @@ def q_b12(d):
     out = drop_legacy(f)
     assert "enrollment_date" not in out.columns
     return out.select(*KEYS, "weeks_since_enrollment")
+
+
+@register("roster_sorted_by_name", ROSTER_COLS,
+          "SELECT * FROM (" + _roster_sql(_ROSTER_FROM) + ") r ORDER BY full_name ASC NULLS FIRST, course_id, user_id",
+          "F1 B6")
+def q_f1(d):
+    return R.sort_roster(R.roster(d.student_features, d.enrollments, d.mooc_grades, d.predictions), "name", "asc")
+
+
+@register("student_attempts_ordered",
+          "course_id:s content_id:i user_id:i percentage:d finished:i",
+          "SELECT course_id, content_id, user_id, CAST(percentage AS DOUBLE) AS percentage, finished "
+          "FROM h5p_scores ORDER BY percentage ASC, content_id", "F4")
+def q_f4(d):
+    from ..operators.exercises import order_attempts
+    h = d.h5p_scores.select("course_id", "content_id", "user_id", "percentage", "finished")
+    return order_attempts(h, by="student")
