@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdedup, packing, simhash
-from .common import id_text, table
+from . import bpe, exactdedup, langid, licenses, packing, pii, quality, simhash, toxicity, urls
+from .common import table
 
 VOCABULARIES = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -23,6 +22,19 @@ def vocabulary(name: str) -> str:
         return os.path.join(VOCABULARIES, name)
 
 
+def op1_mixture_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"))
+    model = langid.train(docs.where(~held))
+    found = langid.identify(docs, model)
+    shown = F.transform("mixture", lambda m: F.format_string("%s:%.3f", m["lang"], m["share"]))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", F.array_join(shown, ",").alias("languages"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -32,15 +44,36 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_groups(table(spark, sf_dir, "documents")).drop("__h")
 
 
+def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumn("expressions", F.array_join("expressions", "; "))
+
+
 def op9_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_round_trip, op4_simhash_near_dedup, op6_exact_dedup, op9_min_slack_packing)}
+def op10_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_mixture_language_id, op2_url_filter, op3_bpe_round_trip, op4_simhash_near_dedup, op5_ordinal_toxicity,
+    op6_exact_dedup, op7_boosted_pii, op8_license_scan, op9_min_slack_packing, op10_divergence_quality)}
 
 ORACLES = {
     "op6_exact_dedup": """
