@@ -113,7 +113,8 @@ def links(prints: DataFrame, distance: int) -> DataFrame:
     top = max(0, math.ceil(math.log2(max(1, variants / (BUCKET / 2)))))
     rest = bits - top
     blocks = max(1, math.ceil(n / BLOCK))
-    block = prints.select(F.pmod(F.xxhash64("fp", F.lit("block")), F.lit(blocks)).cast("int").alias("block"), "fp")
+    # Few bytes but much work a block: a stated number of partitions, which Spark doesn't merge.
+    block = prints.select(F.pmod(F.xxhash64("fp", F.lit("block")), F.lit(blocks)).cast("int").alias("block"), "fp").repartition(blocks, "block")
 
     def hashes(fps: pd.Series) -> np.ndarray:
         own = fps.to_numpy(np.int64).view(np.uint64)
