@@ -18,8 +18,11 @@ doc_ids and repeated rows are packed like any other; an empty table gives no row
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -29,38 +32,61 @@ from pyspark.sql import functions as F
 from .common import id_text, settle, shard_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a worker remembers at most.
-REMEMBERED = 200_000
-
-
-def word_encoder(path: str):
-    """Text to its ids as little-endian uint32 bytes.  The tokenizer drops white space and never
-    joins across it, so it is asked once for each word free of ASCII white space."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
-    known: dict[bytes, bytes] = {}
-
-    def encode(text: str) -> bytes:
-        words = text.encode("utf-8", "surrogatepass").split()
-        new = list(set(words).difference(known))
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, tok.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
-    return encode
+#: Words that a worker remembers as recent, and as many again as older.
+REMEMBERED = 600_000
+#: ASCII punctuation (no apostrophe) right after a letter: there the tokenizer cuts anyway.
+AFTER_LETTER = re.compile(r"(?<=[a-z])[!-&(-/:-@\[-`{-~]")
+
+
+def folded(text: str) -> str:
+    """A text with the same ids that has fewer different words: lower case, and a space where the
+    tokenizer cuts between a letter and punctuation.  Latin-1 only, where lower-casing is letter by
+    letter and normalisation does nothing; texts that may hold a special token stay as they are."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else AFTER_LETTER.sub(r" \g<0>", text.lower())
+
+
+class WordIds(dict):
+    """Word to its ids as little-endian uint32 bytes.  The tokenizer drops white space and never joins
+    across it, so it is asked once for each new word free of ASCII white space."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        self.older: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("I", self.tok.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids).tobytes()
+        if len(self) >= REMEMBERED:  # words not met for long are forgotten
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, folded(text).encode("utf-8", "surrogatepass").split()))
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    """One table a worker process: what it remembers serves the worker's later tasks."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Token pieces of every document, ``capacity`` tokens each but the last."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = word_encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = word_ids(vocabulary).encode, array("I", [end_id]).tobytes()
         for rows in batches:
             out = []
             for doc, text in zip(rows["doc_id"], rows["text"]):

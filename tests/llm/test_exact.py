@@ -195,6 +195,24 @@ def test_packing(every, empty):
     assert packing.pack(empty, WORD).count() == 0
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(max_codepoint=255), st.sampled_from("aB.,'<|>!\n \u0301\u1e9eΣ"),
+                                           st.characters(exclude_categories=["Cs"]))), max_size=6))
+def test_word_encoder_any_text(texts):
+    tok = _made.setdefault("w", Tokenizer.from_file(WORD))
+    texts = [*texts, "end<|endoftext|>of <|ENDOFTEXT|>", "It's, don't... O'NEIL'S.x!?a"]
+    for t in texts:
+        assert np.frombuffer(packing.word_ids(WORD).encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_word_encoder_forgets(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 5)
+    own, tok = packing.WordIds(WORD), Tokenizer.from_file(WORD)
+    texts = [f"word{i} again word{i % 3} x" for i in range(40)]
+    assert [np.frombuffer(own.encode(t), "<u4").tolist() for t in texts] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(own) <= 5 and len(own.older) <= 5
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 50), min_size=1, max_size=200))
 def test_plan_places_everything_once(lengths):
