@@ -49,7 +49,8 @@ def completion_status(passed) -> Column:
 
 
 def nullif_blank(c) -> Column:
-    return F.nullif(col(c), F.lit(""))
+    """The trimmed text, NULL if nothing is left (Q12)."""
+    return F.nullif(F.trim(col(c)), F.lit(""))
 
 
 def display_name(vn, full, grade_full) -> Column:

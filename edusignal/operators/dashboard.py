@@ -68,6 +68,12 @@ def today_tasks(base: DataFrame, n: int = 10) -> DataFrame:
                     reason.alias("reason"), urgency.alias("urgency"))
 
 
+def _any_alert():
+    """Whether a normalised row has one of the three alerts (a missing value has none)."""
+    return F.coalesce((F.col("level") == "HIGH") | (F.col("days_inactive") >= 7)
+                      | ((F.col("completion") < 30) & (F.col("completion") > 0)), F.lit(False))
+
+
 def explode_alerts(base: DataFrame, as_of: str) -> DataFrame:
     """One student -> 0..3 alert rows (risk_increase, inactive,
     low_progress), in that order within the student (``k``)."""
@@ -94,11 +100,12 @@ def recent_alerts(base: DataFrame, as_of: str, n: int = 20) -> DataFrame:
     """J5 (+E6, F3): alerts numbered in row order per course, first ``n`` kept,
     then re-sorted by type order and user id desc.
 
-    A student yields at least one alert or none, so the first ``n`` alerts
-    come from the first ``n`` students: cut students first (bounded window),
-    then explode and number at most 3n rows per course.
+    Students without an alert are dropped first; each of the others has one at
+    least, so a course's first ``n`` alerts come from the first ``n`` of them
+    (a bounded window), and at most 3n rows per course are numbered.
     """
-    first = base.withColumn("position", F.row_number().over(_ordered(base))).where(F.col("position") <= n)
+    alerted = normalize(base).where(_any_alert()).select(*base.columns)
+    first = alerted.withColumn("position", F.row_number().over(_ordered(base))).where(F.col("position") <= n)
     al = explode_alerts(first, as_of)
     w = Window.partitionBy("course_id").orderBy(
         F.col("order_score").desc(), F.col("days_since_last_activity").desc_nulls_last(),

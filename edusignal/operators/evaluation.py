@@ -38,71 +38,81 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str], test_size:
     return r.withColumn("is_test", F.col("_pos") <= n_test).drop("_k", "_pos", "_pos_n")
 
 
-def auc_roc(df: DataFrame, score: str, label: str, group: list[str] | None = None) -> DataFrame:
-    """Rank AUC (ties count one half) per group, exactly as the Mann–Whitney
-    statistic, without a global sort:
-
-    1. count positives/negatives per distinct (group, score),
-    2. negatives below each score = per-bucket prefix offsets (tiny window over
-       <= SCORE_BUCKETS rows per group) + a prefix inside the bucket,
-    3. AUC = sum(pos * (neg_below + neg_equal / 2)) / (P * N).
-
-    Scores are expected in [0, 1] (probabilities); others are clipped into the
-    first/last bucket, which keeps the result exact (buckets only need to be
-    monotone in the score).
-    """
-    g = group or []
-    s = F.col(score).cast("double")
-    per = df.groupBy(*g, s.alias("_s")).agg(
-        F.sum(F.col(label).cast("int")).cast("double").alias("_pos"),
-        F.sum((1 - F.col(label).cast("int"))).cast("double").alias("_neg"))
+def _ranked_counts(df: DataFrame, score: str, label: str, g: list[str]) -> DataFrame:
+    """One row per (group, score): positives, negatives, and negatives with a lower score.
+
+    No global sort: negatives below a score are per-bucket prefix offsets (a window
+    over <= SCORE_BUCKETS rows per group) plus a prefix inside the bucket.  Scores are
+    expected in [0, 1]; others fall into the first or last bucket, which keeps the
+    result exact (buckets only need to be monotone in the score)."""
+    y = F.col(label).cast("int")
+    per = df.groupBy(*g, F.col(score).cast("double").alias("_s")).agg(
+        F.sum(y).cast("double").alias("_pos"), F.sum(1 - y).cast("double").alias("_neg"))
     per = per.withColumn("_b", F.least(F.greatest(F.floor(F.col("_s") * SCORE_BUCKETS), F.lit(0)),
                                        F.lit(SCORE_BUCKETS)).cast("int"))
     buckets = per.groupBy(*g, "_b").agg(F.sum("_neg").alias("_bneg"))
     wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = buckets.select(*g, "_b", F.coalesce(F.sum("_bneg").over(wb), F.lit(0.0)).alias("_off"))
     wl = Window.partitionBy(*g, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    j = per.join(offs, [*g, "_b"]).withColumn(
+    return per.join(offs, [*g, "_b"]).withColumn(
         "_below", F.col("_off") + F.coalesce(F.sum("_neg").over(wl), F.lit(0.0)))
-    agg = j.groupBy(*g).agg(
-        F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2)).alias("_u"),
-        F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
-    auc = F.when((F.col("_P") > 0) & (F.col("_N") > 0), F.col("_u") / (F.col("_P") * F.col("_N")))
-    return agg.select(*g, auc.alias("auc_roc"))
 
 
-def confusion(df: DataFrame, score: str, label: str, group: list[str] | None = None,
-              threshold: float = 0.5) -> DataFrame:
-    """Confusion counts at ``score >= threshold`` (predict fail)."""
-    g = group or []
-    pred = (F.col(score) >= threshold).cast("int")
-    y = F.col(label).cast("int")
+def _auc():
+    """Mann-Whitney AUC (ties count one half) as an aggregate over :func:`_ranked_counts`."""
+    u, p, n = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2)), F.sum("_pos"), F.sum("_neg")
+    return F.when((p > 0) & (n > 0), u / (p * n)).alias("auc_roc")
 
-    def c(cond):
-        return F.sum(cond.cast("int")).cast("bigint")
 
-    return df.groupBy(*g).agg(c((y == 0) & (pred == 0)).alias("tn"), c((y == 0) & (pred == 1)).alias("fp"),
-                              c((y == 1) & (pred == 0)).alias("fn"), c((y == 1) & (pred == 1)).alias("tp"))
+def auc_roc(df: DataFrame, score: str, label: str, group: list[str] | None = None) -> DataFrame:
+    """Rank AUC per group."""
+    g = group or []
+    return _ranked_counts(df, score, label, g).groupBy(*g).agg(_auc())
 
 
 def evaluate(df: DataFrame, score: str, label: str, group: list[str] | None = None,
              threshold: float = 0.5) -> DataFrame:
-    """K5: accuracy, AUC, precision, recall, F1 and the confusion matrix per
-    group; zero division gives 0."""
+    """K5: accuracy, AUC, precision, recall, F1 and the confusion matrix (predict
+    fail at ``score >= threshold``) per group; zero division gives 0.  Everything
+    comes from the (group, score) counts: the scored rows are read once."""
     if not group:  # one overall row: evaluate a constant group, then drop it
         return evaluate(df.withColumn("_all", F.lit(1)), score, label, ["_all"], threshold).drop("_all")
-    g = group
-    cm = confusion(df, score, label, g, threshold)
-    tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
-    prec = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(F.lit(0.0))
-    rec = F.when(tp + fn > 0, tp / (tp + fn)).otherwise(F.lit(0.0))
-    out = cm.select(*g, "tn", "fp", "fn", "tp",
-                    ((tp + tn) / (tp + tn + fp + fn)).alias("accuracy"),
-                    prec.alias("precision"), rec.alias("recall"))
-    out = out.withColumn("f1_score", F.when(F.col("precision") + F.col("recall") > 0,
-                                            2 * F.col("precision") * F.col("recall")
-                                            / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0)))
-    return out.join(auc_roc(df, score, label, g), g, "left")
+    hit = F.col("_s") >= threshold
+
+    def c(name, cond):
+        return F.coalesce(F.sum(F.when(cond, F.col(name))), F.lit(0)).cast("bigint")
+
+    cm = _ranked_counts(df, score, label, group).groupBy(*group).agg(
+        c("_neg", ~hit).alias("tn"), c("_neg", hit).alias("fp"), c("_pos", ~hit).alias("fn"), c("_pos", hit).alias("tp"), _auc())
+    tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))
+    out = cm.withColumns({"accuracy": (tp + tn) / (tp + tn + fp + fn),
+                          "precision": F.when(tp + fp > 0, tp / (tp + fp)).otherwise(F.lit(0.0)),
+                          "recall": F.when(tp + fn > 0, tp / (tp + fn)).otherwise(F.lit(0.0))})
+    p, r = F.col("precision"), F.col("recall")
+    return out.withColumn("f1_score", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)))
+
+
+def class_report(evaluated: DataFrame, by: list[str]) -> DataFrame:
+    """K5: precision, recall, F1 and support of each class (0 = passed, 1 = failed), and
+    their plain (``macro``) and support-weighted (``weighted``) means."""
+    d = {c: F.col(c).cast("double") for c in ("tn", "fp", "fn", "tp")}
+
+    def row(name, hit, wrong, missed):
+        p = F.when(hit + wrong > 0, hit / (hit + wrong)).otherwise(0.0)
+        r = F.when(hit + missed > 0, hit / (hit + missed)).otherwise(0.0)
+        f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+        return F.struct(F.lit(name).alias("class"), p.alias("precision"), r.alias("recall"), f.alias("f1_score"),
+                        (hit + missed).alias("support"))
+
+    zero, one = row("0", d["tn"], d["fn"], d["fp"]), row("1", d["tp"], d["fp"], d["fn"])
+    n0, n1 = zero["support"], one["support"]
+
+    def mean(name, w0, w1):
+        each = [((zero[c] * w0 + one[c] * w1) / (w0 + w1)).alias(c) for c in ("precision", "recall", "f1_score")]
+        return F.struct(F.lit(name).alias("class"), *each, (n0 + n1).alias("support"))
+
+    rows = F.array(zero, one, mean("macro", F.lit(1.0), F.lit(1.0)), mean("weighted", n0, n1))
+    return evaluated.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
 
 
 def kfold_summary(folds: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -325,10 +325,11 @@ def content_students(h: DataFrame, e: DataFrame) -> DataFrame:
 
 def order_attempts(df: DataFrame, by: str = "content") -> DataFrame:
     """content page by percentage desc, finished desc; student page by
-    percentage asc (keys appended as tie-breaks)."""
+    percentage asc (the other columns break ties)."""
+    rest = [c for c in ("course_id", "content_id", "user_id", "finished", "opened", "time_spent", "percentage") if c in df.columns]
     if by == "content":
-        return df.orderBy(F.col("percentage").desc(), F.col("finished").desc(), "user_id")
-    return df.orderBy(F.col("percentage").asc(), "content_id")
+        return df.orderBy(F.col("percentage").desc(), F.col("finished").desc(), "user_id", *rest)
+    return df.orderBy(F.col("percentage").asc(), "content_id", *rest)
 
 
 # --- D9/D10 attempt metrics for the wide row --------------------------------------

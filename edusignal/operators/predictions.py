@@ -93,10 +93,16 @@ def scores_to_rows(scored: DataFrame, model_name: str, model_version: str, as_of
 
 
 def apply_scores(raw: DataFrame, new: DataFrame) -> DataFrame:
-    """L2: set ``fail_risk_score`` on the wide rows (A17 with one column)."""
+    """L2: set ``fail_risk_score`` on the wide rows that have a new score.  An
+    update: rows are neither added nor removed (a key's newest score counts)."""
     if "fail_risk_score" not in raw.columns:
         raw = raw.withColumn("fail_risk_score", F.lit(None).cast("double"))
-    return upsert(raw, new.select(*KEYS, "fail_risk_score"), KEYS, ["fail_risk_score"])
+    order = F.col("predicted_at") if "predicted_at" in new.columns else F.col("fail_risk_score")
+    scores = new.groupBy(*KEYS).agg(F.max_by(F.struct("fail_risk_score"), order)["fail_risk_score"].cast("double").alias("_new"),
+                                    F.lit(True).alias("_hit"))
+    j = raw.join(scores, KEYS, "left")
+    value = F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("fail_risk_score"))
+    return j.withColumn("fail_risk_score", value).select(*raw.columns)
 
 
 def sync_predictions(p: DataFrame, raw: DataFrame, model_name: str, model_version: str,
@@ -115,7 +121,8 @@ def sync_predictions(p: DataFrame, raw: DataFrame, model_name: str, model_versio
         F.col("mooc_completion_rate").cast("double").alias("snapshot_completion_rate"),
         F.col("days_since_last_activity").cast("bigint").alias("snapshot_days_inactive"),
         F.col("extracted_at").alias("predicted_at"), F.lit(True).alias("is_latest"))
-    return upsert(cleared, rows, KEYS, ["fail_risk_score", "risk_level", "predicted_at", "is_latest"])
+    return upsert(cleared, rows, KEYS, ["fail_risk_score", "risk_level", "predicted_at", "is_latest"],
+                  src_order="predicted_at")
 
 
 def prediction_history(p: DataFrame) -> DataFrame:
@@ -162,6 +169,21 @@ def backfill_counts(raw: DataFrame) -> DataFrame:
         F.count("mooc_is_passed").cast("bigint").alias("training_rows"))
 
 
+def backfill_tables(raw: DataFrame, name: str = "backfill", version: str = "1") -> dict[str, DataFrame]:
+    """The three tables that one wide table becomes: ``features`` (all rows, without
+    score and label bookkeeping), ``predictions`` (rows with a score, as latest rows) and
+    ``training`` (rows with a label)."""
+    s = F.col("fail_risk_score").cast("double")
+    features = raw.drop("fail_risk_score", "extracted_at")
+    predictions = raw.where(s.isNotNull()).select(
+        *KEYS, F.lit(name).alias("model_name"), F.lit(version).alias("model_version"), s.alias("fail_risk_score"),
+        risk_level(s).alias("risk_level"), F.col("extracted_at").alias("predicted_at"), F.lit(True).alias("is_latest"))
+    training = raw.where(F.col("mooc_is_passed").isNotNull()).select(
+        *KEYS, F.col("mooc_is_passed").alias("is_passed"), F.col("mooc_grade_percentage").alias("final_grade"),
+        F.lit(name).alias("semester"))
+    return {"features": features, "predictions": predictions, "training": training}
+
+
 def stale_courses(f: DataFrame, p: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
     """C11: courses with unfinished students lacking a prediction in the last
     ``hours`` (left anti join with a time-range term)."""

@@ -50,3 +50,20 @@ def positions(df: DataFrame, group: list[str], key_col: str, bucket: F.Column,
     return (local.join(offsets, [*group, "_bkt"])
                  .withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint"))
                  .drop("_bkt", "_local", "_off"))
+
+
+def with_position(ordered: DataFrame, out: str = "position") -> DataFrame:
+    """``ordered`` (the result of an ``orderBy``) with each row's 1-based place in it.
+
+    The sorted rows are written once; a row's place is its place in its own
+    (range) partition plus the sizes of the partitions before, a row per
+    partition.  No task sees all rows."""
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(ordered.sparkSession)
+    rows = ordered.checkpoint().withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    sizes = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = sizes.select("_p", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"))
+    local = F.col("_i").bitwiseAND((1 << 33) - 1)  # the id's low bits count within the partition
+    return rows.join(offsets, "_p").withColumn(out, (F.col("_off") + local + 1).cast("bigint")).drop("_p", "_i", "_off")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import (completion_status, display_email, display_name,
-                              display_score, risk_level)
+                              display_score, nullif_blank, risk_level)
 
 KEYS = ["user_id", "course_id"]
 
@@ -119,10 +119,12 @@ def roster(f: DataFrame, e: DataFrame, g: DataFrame, p: DataFrame,
     return risk_band(out, risk)
 
 
-def student_detail(f: DataFrame, e: DataFrame, g: DataFrame, p: DataFrame) -> DataFrame:
-    """C2 for every student: feature row + identity + latest prediction, the
-    route's numeric normalisation, and 50/MEDIUM when there is no prediction.
-    (The on-demand score of the route is the batch scorer, K4.)"""
+def student_detail(f: DataFrame, e: DataFrame, g: DataFrame, p: DataFrame, disc: DataFrame | None = None,
+                   on_demand: DataFrame | None = None) -> DataFrame:
+    """C2 for every student: feature row + identity + latest prediction and the
+    route's numeric normalisation.  A student without a prediction gets the score
+    of ``on_demand`` (user_id, course_id, fail_risk_score: the scorer's output for
+    such students), else 50/MEDIUM.  ``disc`` gives the forum interactions."""
     from .suggestions import suggestions
 
     ee = e.select(*KEYS, "email", "full_name", "full_name_vn", "username", "mssv")
@@ -130,6 +132,15 @@ def student_detail(f: DataFrame, e: DataFrame, g: DataFrame, p: DataFrame) -> Da
     pp = latest_only(p).select(*KEYS, F.col("fail_risk_score").alias("p_score"),
                                F.col("risk_level").alias("p_level"), "model_name", "predicted_at")
     j = f.join(ee, KEYS, "left").join(gg, KEYS, "left").join(pp, KEYS, "left")
+    if on_demand is not None:
+        now = on_demand.select(*KEYS, F.col("fail_risk_score").cast("double").alias("_now"))
+        j = j.join(now, KEYS, "left").withColumns({
+            "p_level": F.when(F.col("p_score").isNull(), risk_level("_now")).otherwise(F.col("p_level")),
+            "p_score": F.coalesce("p_score", "_now")})
+    if disc is not None:
+        j = j.join(disc.select(*KEYS, F.col("total_interactions").alias("_forum")), KEYS, "left")
+    else:
+        j = j.withColumn("_forum", F.lit(0))
     score = display_score("p_score")
     base = j.select(
         *KEYS,
@@ -145,14 +156,12 @@ def student_detail(f: DataFrame, e: DataFrame, g: DataFrame, p: DataFrame) -> Da
         F.coalesce(F.col("video_completion_rate").cast("double"), F.lit(0.0)).alias("video_completion_rate"),
         F.coalesce(F.col("quiz_avg_score").cast("double"), F.lit(0.0)).alias("quiz_avg_score"),
         F.coalesce(F.col("discussion_threads_count"), F.lit(0)).cast("bigint").alias("discussion_threads_count"),
-        "model_name", "predicted_at",
+        "model_name", "predicted_at", F.coalesce("_forum", F.lit(0)).alias("_forum"),
     )
     return base.withColumn("suggestions", suggestions(
         risk="risk_level", days="days_since_last_activity", grade="mooc_grade_percentage",
-        # The route reads ``discussion_total_interactions``, which the feature
-        # row does not carry, so it is always the default 0 (literal).
-        completion="mooc_completion_rate", discussions=None,
-        video="video_completion_rate", quiz="quiz_avg_score"))
+        completion="mooc_completion_rate", discussions="_forum",
+        video="video_completion_rate", quiz="quiz_avg_score")).drop("_forum")
 
 
 def at_risk_base(f: DataFrame, e: DataFrame, p: DataFrame) -> DataFrame:
@@ -167,8 +176,8 @@ def at_risk_base(f: DataFrame, e: DataFrame, p: DataFrame) -> DataFrame:
     placeholder = F.lit("Sinh viên")
     return j.select(
         *KEYS,
-        F.coalesce(F.nullif("full_name_vn", F.lit("")), F.nullif("full_name", F.lit("")), placeholder).alias("full_name"),
-        F.coalesce(F.nullif("e_email", F.lit("")), F.lit("")).alias("email"),
+        F.coalesce(nullif_blank("full_name_vn"), nullif_blank("full_name"), placeholder).alias("full_name"),
+        F.coalesce(nullif_blank("e_email"), F.lit("")).alias("email"),
         F.coalesce(F.col("p_score"), F.lit(50.0)).alias("fail_risk_score"),
         F.coalesce(F.col("p_score"), F.lit(0.0)).alias("order_score"),
         F.coalesce(F.col("p_level"), F.lit("MEDIUM")).alias("risk_level"),

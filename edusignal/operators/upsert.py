@@ -17,29 +17,33 @@ from pyspark.sql import functions as F
 from ..functions.expr import as_of_lit
 
 
-def dedupe_source(src: DataFrame, keys: list[str], order_by: str | None) -> DataFrame:
+def dedupe_source(src: DataFrame, keys: list[str], order_by: str | list[str]) -> DataFrame:
     """Sequential statements let the last source row of a key win; keep the
-    row with the greatest ``order_by`` per key (a per-key window: groups are
-    one key's rows, never a hot course)."""
-    if order_by is None:
-        return src
-    w = Window.partitionBy(*keys).orderBy(F.col(order_by).desc())
-    return src.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    row with the greatest ``order_by`` per key (equal ones: the greatest in the
+    other columns).  One aggregation per key: no sort, combined before the shuffle."""
+    order = [order_by] if isinstance(order_by, str) else list(order_by)
+    rest = [c for c in src.columns if c not in keys and c not in order]
+    best = src.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_best"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in src.columns])
 
 
-def upsert(target: DataFrame, src: DataFrame, keys: list[str], update_cols: list[str],
-           touch: str | None = None, as_of: str | None = None,
-           src_order: str | None = None) -> DataFrame:
+def upsert(target: DataFrame | None, src: DataFrame, keys: list[str], update_cols: list[str],
+           src_order: str | list[str], touch: str | None = None, as_of: str | None = None) -> DataFrame:
     """Return the table after the upsert, with the target's column order
-    (source-only columns are appended)."""
+    (source-only columns are appended).  ``src_order`` says which of several
+    source rows of a key came last; without a target (``None``, a first load)
+    the de-duplicated source is the table."""
     src = dedupe_source(src, keys, src_order)
+    if target is None:
+        return src
     t_cols = [c for c in target.columns if c not in keys]
     s_cols = [c for c in src.columns if c not in keys]
-    t = target.select(*keys, *[F.col(c).alias(f"_t_{c}") for c in t_cols], F.lit(True).alias("_in_t"))
-    s = src.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in s_cols], F.lit(True).alias("_in_s"))
-    j = t.join(s, keys, "full_outer")
+    t = target.select(*[F.col(c).alias(f"_t_{c}") for c in [*keys, *t_cols]], F.lit(True).alias("_in_t"))
+    s = src.select(*[F.col(c).alias(f"_s_{c}") for c in [*keys, *s_cols]], F.lit(True).alias("_in_s"))
+    same = [F.col(f"_t_{k}").eqNullSafe(F.col(f"_s_{k}")) for k in keys]  # a missing key part equals itself
+    j = t.join(s, same, "full_outer")
     in_t, in_s = F.col("_in_t").isNotNull(), F.col("_in_s").isNotNull()
-    out = [F.col(k) for k in keys]
+    out = [F.when(in_t, F.col(f"_t_{k}")).otherwise(F.col(f"_s_{k}")).alias(k) for k in keys]
     for c in t_cols + [c for c in s_cols if c not in t_cols]:
         tv = F.col(f"_t_{c}") if c in t_cols else F.lit(None)
         sv = F.col(f"_s_{c}") if c in s_cols else F.lit(None)

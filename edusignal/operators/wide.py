@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import as_of_lit, floor_days, whole_weeks
-from .exercises import (attempts_by_content, decimal_avg, h5p_rollup, h5p_user_rollup,
+from .exercises import (SUMMARY_COLS, attempts_by_content, decimal_avg, h5p_rollup, h5p_user_rollup,
                         video_summary, video_views)
 
 KEYS = ["user_id", "course_id"]
@@ -144,6 +144,7 @@ def comparative(user_problem, user_completion, user_video, user_discussion,
           + (user_video + F.least(user_discussion * 2, F.lit(100.0))) / 2 * 0.3)
     cs = cc * 0.4 + cp * 0.3 + cv * 0.3
     dev = (us - cs) / cs
+    # Deviations from the course and their percentile buckets.
     pctl = (F.when(cs <= 0, F.lit(50)).when(dev > 0.5, F.lit(90)).when(dev > 0.25, F.lit(75))
             .when(dev > 0, F.lit(60)).when(dev > -0.25, F.lit(40)).when(dev > -0.5, F.lit(25))
             .otherwise(F.lit(10)))
@@ -163,20 +164,27 @@ def comparative(user_problem, user_completion, user_video, user_discussion,
 
 def build_raw(e: DataFrame, h: DataFrame, v: DataFrame, g: DataFrame, prog: DataFrame,
               disc: DataFrame, bench: DataFrame | None, as_of: str,
-              dash: DataFrame | None = None) -> DataFrame:
-    """One wide row per distinct enrolled (user, course), every course at once."""
-    spine = e.groupBy(*KEYS).agg(F.first("mode", ignorenulls=True).alias("enrollment_mode"),
-                                 F.first("is_active", ignorenulls=True).alias("e_active"),
+              dash: DataFrame | None = None, h5p_sums: DataFrame | None = None,
+              video_sums: DataFrame | None = None) -> DataFrame:
+    """One wide row per distinct enrolled (user, course), every course at once.
+
+    Exercise and video totals come from the stored summary tables where given
+    (``h5p_sums``, ``video_sums``), else they are summed from the detail rows;
+    attempt metrics always come from the attempts.  Of several enrolments of a
+    student in a course, the newest gives mode and state, the oldest the start."""
+    newest = F.max(F.struct("created", "enrollment_id", "mode", "is_active"))
+    spine = e.groupBy(*KEYS).agg(newest["mode"].alias("enrollment_mode"), newest["is_active"].alias("e_active"),
                                  F.min("created").alias("created"))
     # exercise summary (D23) and attempt metrics (D9) from one pass over attempts
-    hs = h5p_user_rollup(h).select(
-        *KEYS, *[F.col(c).alias(f"hs_{c}") for c in (
-            "total_contents", "completed_contents", "total_score", "total_max_score", "overall_percentage",
-            "total_time_spent")],
+    rollup = h5p_user_rollup(h)
+    if h5p_sums is not None:
+        rollup = rollup.drop(*SUMMARY_COLS).join(h5p_sums.select(*KEYS, *SUMMARY_COLS), KEYS, "full_outer")
+    hs = rollup.select(
+        *KEYS, *[F.col(c).alias(f"hs_{c}") for c in SUMMARY_COLS],
         F.col("finished_count").alias("m_finished"), F.col("avg_finished_score").alias("m_avg_fin"),
         F.col("success_count").alias("m_success"), F.col("struggling_count").alias("m_struggling"),
         F.col("assessment_attempts_avg").alias("m_opened"))
-    vs = video_summary(v).select(*KEYS, *[F.col(c).alias(f"vs_{c}") for c in (
+    vs = (video_summary(v) if video_sums is None else video_sums).select(*KEYS, *[F.col(c).alias(f"vs_{c}") for c in (
         "total_videos", "completed_videos", "in_progress_videos", "total_duration", "total_watched_time")])
     gd = g.select(*KEYS, F.col("grade_percentage").alias("g_grade"), F.col("letter_grade").alias("g_letter"),
                   F.col("is_passed").alias("g_passed"))

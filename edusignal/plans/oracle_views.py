@@ -152,6 +152,23 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
            LEAST(ev.value, 100.0) AS score,
            CAST(json_extract_string(ev.props, '$.k') AS BIGINT) AS item
     FROM events ev LEFT JOIN customer c ON ev.user_id = c.c_custkey"""),
+    # One row per student of the feature table: the names and addresses that count,
+    # chosen from lists of candidates.
+    "student_names": (("student_features", "enrollments", "mooc_grades"), """
+    SELECT k.user_id, k.course_id, en.username, en.mssv,
+           list_filter(list_transform([en.full_name_vn, en.full_name, gr.full_name], lambda x: trim(x)), lambda x: x <> '')[1] AS shown_name,
+           list_filter(list_transform([en.full_name_vn, en.full_name], lambda x: trim(x)), lambda x: x <> '')[1] AS enrolled_name,
+           list_filter([trim(en.email)], lambda x: x <> '')[1] AS enrolled_mail, gr.email AS sheet_mail
+    FROM student_features k
+    LEFT JOIN enrollments en USING (user_id, course_id) LEFT JOIN mooc_grades gr USING (user_id, course_id)"""),
+    # One row per scored student; band: of the shown score, where 0 and none count as 50.
+    "latest_scores": (("student_features", "predictions"), """
+    SELECT k.user_id, k.course_id, z.fail_risk_score AS score, z.risk_level AS level, z.model_name, z.predicted_at,
+           CASE WHEN ifnull(z.fail_risk_score, 0) = 0 THEN 50.0 ELSE z.fail_risk_score END AS shown,
+           ['LOW', 'MEDIUM', 'HIGH'][1 + (CASE WHEN ifnull(z.fail_risk_score, 0) = 0 THEN 50 ELSE z.fail_risk_score END >= 40)::INT
+             + (CASE WHEN ifnull(z.fail_risk_score, 0) = 0 THEN 50 ELSE z.fail_risk_score END >= 70)::INT] AS band
+    FROM student_features k
+    LEFT JOIN (SELECT * FROM predictions WHERE is_latest) z USING (user_id, course_id)"""),
 }
 
 

@@ -119,6 +119,23 @@ def q_evaluate(d):
     return EV.evaluate(scored(d), "score", "label", ["model_name"]).withColumnRenamed("model_name", "model")
 
 
+@register("class_report", "model:s class:s precision:d recall:d f1_score:d support:i", f"""
+WITH {_LAB}, {_SCORED}, sides AS (
+  SELECT model_name AS model, label AS class, label, (score >= 0.5)::INT AS said FROM sc
+  UNION ALL SELECT model_name, 1 - label, label, (score >= 0.5)::INT FROM sc),
+per AS (SELECT model, class,
+    ifnull(count(*) FILTER (label = class AND said = class) / nullif(count(*) FILTER (said = class), 0)::DOUBLE, 0) AS precision,
+    ifnull(count(*) FILTER (label = class AND said = class) / nullif(count(*) FILTER (label = class), 0)::DOUBLE, 0) AS recall,
+    count(*) FILTER (label = class) AS support FROM sides GROUP BY ALL),
+f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1_score FROM per)
+SELECT model, class::VARCHAR AS class, precision, recall, f1_score, support FROM f
+UNION ALL SELECT model, 'macro', avg(precision), avg(recall), avg(f1_score), sum(support) FROM f GROUP BY model
+UNION ALL SELECT model, 'weighted', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+  sum(f1_score * support) / sum(support), sum(support) FROM f GROUP BY model""", "K5 per class")
+def q_class_report(d):
+    return EV.class_report(EV.evaluate(scored(d), "score", "label", ["model_name"]).withColumnRenamed("model_name", "model"), ["model"])
+
+
 @register("fold_metrics", _FM_COLS, _FM_SQL, "K5 per fold E7")
 def q_fold_metrics(d):
     return fold_metrics(d)

@@ -101,7 +101,7 @@ tot AS (SELECT course_id, COUNT(DISTINCT action || ':' || CAST(item AS VARCHAR))
 fb AS (SELECT user_id, course_id, action, item, MIN(ts) AS first_ts FROM done GROUP BY 1, 2, 3, 4),
 wk AS (SELECT fb.*, CAST(FLOOR(date_diff('day', st.course_start, CAST(fb.first_ts AS DATE)) / 7) AS INTEGER) + 1
               AS week FROM fb JOIN st USING (course_id)),
-weekly AS (SELECT user_id, course_id, week, COUNT(*) AS new_blocks FROM wk WHERE week <= 16 GROUP BY 1, 2, 3),
+weekly AS (SELECT user_id, course_id, week, COUNT(*) AS new_blocks FROM wk GROUP BY 1, 2, 3),
 span AS (SELECT user_id, course_id, MAX(week) AS last_week FROM weekly GROUP BY 1, 2),
 grid AS (SELECT user_id, course_id, UNNEST(range(1, last_week + 1)) AS week FROM span),
 j AS (SELECT g.user_id, g.course_id, g.week, COALESCE(w.new_blocks, 0) AS new_blocks, t.total_blocks, s.course_start

@@ -41,7 +41,30 @@ FULL OUTER JOIN (
     ON c.c_custkey = m.o_custkey) s
 ON t.user_id = s.user_id AND t.course_id = s.course_id""", "A17 Q11")
 def q_upsert(d):
-    return upsert(d.mooc_progress, _refetched_progress(d), KEYS, ["completion_rate", "last_activity"])
+    return upsert(d.mooc_progress, _refetched_progress(d), KEYS, ["completion_rate", "last_activity"], "last_activity")
+
+
+@register("upsert_progress_repeated", UPSERT_COLS, """
+WITH fetched AS (
+  SELECT o.o_custkey AS user_id, c.c_mktsegment AS course_id, o.o_orderdate AS last_activity,
+         CAST(o.o_orderkey % 101 AS DECIMAL(5,2)) AS completion_rate
+  FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey),
+newest AS (
+  SELECT user_id, course_id, last_activity, MAX(completion_rate) AS completion_rate FROM fetched f
+  WHERE last_activity = (SELECT MAX(g.last_activity) FROM fetched g WHERE g.user_id = f.user_id)
+  GROUP BY ALL)
+SELECT user_id, course_id, t.total_blocks, t.completed_blocks, t.progress_percent,
+  CASE WHEN n.last_activity IS NULL THEN t.completion_rate ELSE n.completion_rate END AS completion_rate,
+  COALESCE(n.last_activity, t.last_activity) AS last_activity
+FROM mooc_progress t FULL JOIN newest n USING (user_id, course_id)""", "A17 with several source rows per key")
+def q_upsert_repeated(d):
+    """Every order is one fetch of its customer's progress; the last one counts."""
+    o, c = d.base("orders"), d.base("customer")
+    src = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_custkey").alias("user_id"), F.col("c_mktsegment").alias("course_id"),
+        F.col("o_orderdate").alias("last_activity"),
+        (F.col("o_orderkey") % 101).cast("decimal(5,2)").alias("completion_rate"))
+    return upsert(d.mooc_progress, src, KEYS, ["completion_rate", "last_activity"], "last_activity")
 
 
 @register("upsert_progress_twice", UPSERT_COLS, "SELECT * FROM (" + """
@@ -58,8 +81,8 @@ FULL OUTER JOIN (
 ON t.user_id = s.user_id AND t.course_id = s.course_id""" + ") x", "A17 idempotence")
 def q_upsert_twice(d):
     src = _refetched_progress(d)
-    once = upsert(d.mooc_progress, src, KEYS, ["completion_rate", "last_activity"])
-    return upsert(once, src, KEYS, ["completion_rate", "last_activity"])
+    once = upsert(d.mooc_progress, src, KEYS, ["completion_rate", "last_activity"], "last_activity")
+    return upsert(once, src, KEYS, ["completion_rate", "last_activity"], "last_activity")
 
 
 # --- L1 save ------------------------------------------------------------------------
@@ -107,14 +130,15 @@ def q_save_hist(d):
 # --- L2 / L3 / L4 / C10 -----------------------------------------------------------------
 
 @register("apply_scores", "user_id:i course_id:s mooc_grade_percentage:d fail_risk_score:d", """
-SELECT COALESCE(f.user_id, s.user_id) AS user_id, COALESCE(f.course_id, s.course_id) AS course_id,
-  f.mooc_grade_percentage,
-  CASE WHEN s.user_id IS NOT NULL THEN s.fail_risk_score ELSE NULL END AS fail_risk_score
-FROM student_features f FULL OUTER JOIN (SELECT user_id, course_id, fail_risk_score FROM predictions
-  WHERE is_latest) s ON f.user_id = s.user_id AND f.course_id = s.course_id""", "L2")
+SELECT f.user_id, f.course_id, f.mooc_grade_percentage,
+  (SELECT s.fail_risk_score FROM predictions s
+   WHERE s.is_latest AND s.user_id = f.user_id AND s.course_id = f.course_id) AS fail_risk_score
+FROM student_features f""", "L2")
 def q_apply(d):
+    """The new scores include keys (an archived course) that have no wide row: an update ignores them."""
     new = d.predictions.where(F.col("is_latest"))
-    return P.apply_scores(d.student_features, new)
+    archived = new.withColumn("course_id", F.concat(F.col("course_id"), F.lit(" archived")))
+    return P.apply_scores(d.student_features, new.unionByName(archived))
 
 
 SYNC_OUT = PRED_OUT + " snapshot_grade:d"
@@ -143,12 +167,12 @@ def q_sync(d):
 
 
 @register("cleanup_counts", "course_id:s before:i after:i deleted:i", """
-SELECT b.course_id, b.n AS before, COALESCE(a.n, 0) AS after, b.n - COALESCE(a.n, 0) AS deleted
-FROM (SELECT course_id, COUNT(*) AS n FROM predictions GROUP BY 1) b
-LEFT JOIN (SELECT p.course_id, COUNT(*) AS n FROM predictions p
-           JOIN (SELECT user_id, course_id, MAX(id) AS keep_id FROM predictions GROUP BY 1, 2) l
-             ON p.user_id = l.user_id AND p.course_id = l.course_id AND p.id = l.keep_id
-           GROUP BY 1) a ON a.course_id = b.course_id""", "L4 C10")
+WITH judged AS (
+  SELECT a.course_id, EXISTS (SELECT 1 FROM predictions b
+    WHERE b.user_id = a.user_id AND b.course_id = a.course_id AND b.id > a.id) AS outdated
+  FROM predictions a)
+SELECT course_id, count(*) AS before, count(*) FILTER (NOT outdated) AS after, count(*) FILTER (outdated) AS deleted
+FROM judged GROUP BY course_id""", "L4 C10")
 def q_cleanup(d):
     return P.cleanup_counts(d.predictions)
 
@@ -232,6 +256,36 @@ def q_backfill(d):
     return P.backfill_counts(raw)
 
 
+_BACKFILL = """FROM student_features f LEFT JOIN (SELECT user_id, course_id, fail_risk_score, predicted_at
+  FROM predictions WHERE is_latest) p USING (user_id, course_id)"""
+
+
+def _backfill_raw(d):
+    scores = d.predictions.where(F.col("is_latest")).select(*KEYS, "fail_risk_score", F.col("predicted_at").alias("extracted_at"))
+    return d.student_features.join(scores, KEYS, "left")
+
+
+@register("backfill_features", "user_id:i course_id:s mooc_grade_percentage:d mooc_completion_rate:d h5p_total_contents:i",
+          "SELECT user_id, course_id, f.mooc_grade_percentage, f.mooc_completion_rate, f.h5p_total_contents " + _BACKFILL, "L10")
+def q_backfill_features(d):
+    return P.backfill_tables(_backfill_raw(d))["features"]
+
+
+@register("backfill_predictions", "user_id:i course_id:s model_name:s fail_risk_score:d risk_level:s predicted_at:t is_latest:b",
+          "SELECT user_id, course_id, 'backfill' AS model_name, p.fail_risk_score, ['LOW', 'MEDIUM', 'HIGH'][1 + "
+          "(p.fail_risk_score >= 40)::INT + (p.fail_risk_score >= 70)::INT] AS risk_level, p.predicted_at, TRUE AS is_latest "
+          + _BACKFILL + " WHERE p.fail_risk_score IS NOT NULL", "L10")
+def q_backfill_predictions(d):
+    return P.backfill_tables(_backfill_raw(d))["predictions"]
+
+
+@register("backfill_training", "user_id:i course_id:s is_passed:b final_grade:d semester:s",
+          "SELECT user_id, course_id, f.mooc_is_passed AS is_passed, f.mooc_grade_percentage AS final_grade, 'backfill' AS semester "
+          + _BACKFILL + " WHERE f.mooc_is_passed IS NOT NULL", "L10")
+def q_backfill_training(d):
+    return P.backfill_tables(_backfill_raw(d))["training"]
+
+
 @register("stale_courses", "course_id:s students_without_recent_prediction:i", f"""
 SELECT f.course_id, COUNT(*) AS students_without_recent_prediction
 FROM student_features f

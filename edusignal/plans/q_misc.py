@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..operators import roster as R
+from ..operators.exercises import order_attempts
+from ..operators.ranking import with_position
 from ..operators.suggestions import suggestion_text
 from .base import register
-from .q_marts import ROSTER_COLS, _ROSTER_FROM, _roster_sql
+from .q_marts import ROSTER_COLS, ROSTER_SQL
 
 KEYS = ["user_id", "course_id"]
 
@@ -39,6 +41,7 @@ def q_top10(d):
     return top_risk(d.predictions, 10)
 
 
+# The plain suggestions and when they are made.
 _PARTS = [
     ("f.days_since_last_activity > 7", "📧 Gửi email nhắc nhở sinh viên quay lại học"),
     ("f.days_since_last_activity > 14", "📞 Liên hệ trực tiếp qua điện thoại hoặc tin nhắn"),
@@ -118,18 +121,31 @@ def q_b12(d):
     return out.select(*KEYS, "weeks_since_enrollment")
 
 
-@register("roster_sorted_by_name", ROSTER_COLS,
-          "SELECT * FROM (" + _roster_sql(_ROSTER_FROM) + ") r ORDER BY full_name ASC NULLS FIRST, course_id, user_id",
-          "F1 B6")
-def q_f1(d):
-    return R.sort_roster(R.roster(d.student_features, d.enrollments, d.mooc_grades, d.predictions), "name", "asc")
+def _roster_order(by: str, order: str, sql_order: str):
+    """The roster in the route's order, with each row's place in it."""
+    @register(f"roster_sorted_by_{by}_{order}", ROSTER_COLS + " position:i",
+              f"SELECT r.*, ROW_NUMBER() OVER (ORDER BY {sql_order}, course_id, user_id) AS position FROM ({ROSTER_SQL}) r", "F1 B6")
+    def q_f1(d):
+        r = R.roster(d.student_features, d.enrollments, d.mooc_grades, d.predictions)
+        return with_position(R.sort_roster(r, by, order))
 
 
-@register("student_attempts_ordered",
-          "course_id:s content_id:i user_id:i percentage:d finished:i",
-          "SELECT course_id, content_id, user_id, CAST(percentage AS DOUBLE) AS percentage, finished "
-          "FROM h5p_scores ORDER BY percentage ASC, content_id", "F4")
-def q_f4(d):
-    from ..operators.exercises import order_attempts
-    h = d.h5p_scores.select("course_id", "content_id", "user_id", "percentage", "finished")
-    return order_attempts(h, by="student")
+_roster_order("name", "asc", "full_name ASC NULLS FIRST")
+_roster_order("risk_score", "desc", "raw_risk_score DESC NULLS LAST")
+_roster_order("last_activity", "asc", "days_since_last_activity ASC NULLS FIRST")
+
+
+def _attempt_order(by: str, sql_order: str):
+    """attempts in the order of the content page or the student page, with their place."""
+    @register(f"{by}_attempts_ordered",
+              "course_id:s content_id:i user_id:i percentage:d finished:i opened:i time_spent:i position:i",
+              "SELECT course_id, content_id, user_id, CAST(percentage AS DOUBLE) AS percentage, finished, opened, time_spent, "
+              f"ROW_NUMBER() OVER (ORDER BY {sql_order}, course_id, content_id, user_id, finished, opened, time_spent, percentage) "
+              "AS position FROM h5p_scores", "F4")
+    def q_f4(d):
+        h = d.h5p_scores.select("course_id", "content_id", "user_id", "percentage", "finished", "opened", "time_spent")
+        return with_position(order_attempts(h, by=by))
+
+
+_attempt_order("student", "percentage ASC, content_id")
+_attempt_order("content", "percentage DESC, finished DESC, user_id")

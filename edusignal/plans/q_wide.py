@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import wide as W
 from .contract import hdiv
 from .base import AS_OF, avg_round, hround, register
@@ -240,3 +242,41 @@ def q_wide(d):
 def q_wide_nb(d):
     return W.build_raw(d.enrollments, d.h5p_scores, d.video_progress, d.mooc_grades, d.mooc_progress,
                        d.mooc_discussions, None, d.as_of)
+
+
+# Wide rows fed by stored tables: the exercise summary as the populate job's rollup has it (its numbers
+# differ from sums over the attempts), and dashboard rows of the students with progress.
+_HS = _WIDE_SQL[_WIDE_SQL.index("hs AS ("):_WIDE_SQL.index("vs AS (")]
+_STORED_SQL = _WIDE_SQL.replace(_HS, """hs AS (SELECT user_id, course_id, total_contents, completed_contents, total_score, total_max_score,
+  floor(avg_percentage) AS overall_percentage, total_time_spent FROM h5p_rollup),
+""")
+
+
+def _stored(d):
+    from ..operators.exercises import h5p_rollup
+    return h5p_rollup(d.h5p_scores).withColumn("overall_percentage", F.floor("avg_percentage").cast("double"))
+
+
+@register("wide_row_stored_summaries", WIDE_COLS, _STORED_SQL, "C7 I22 with summary tables")
+def q_wide_stored(d):
+    from ..operators.exercises import video_summary
+    return W.build_raw(d.enrollments, d.h5p_scores, d.video_progress, d.mooc_grades, d.mooc_progress,
+                       d.mooc_discussions, _bench(d), d.as_of, h5p_sums=_stored(d), video_sums=video_summary(d.video_progress))
+
+
+_DASH_SQL = (_WIDE_SQL
+             .replace("overall AS progress_percent, overall AS overall_completion, h_done + v_done AS completed_blocks,\n"
+                      "  h_total + v_total AS total_blocks,",
+                      "CASE WHEN db > 0 THEN db ELSE overall END AS progress_percent, CASE WHEN db > 0 THEN db ELSE overall END "
+                      "AS overall_completion, CASE WHEN db > 0 THEN db_done ELSE h_done + v_done END AS completed_blocks, "
+                      "CASE WHEN db > 0 THEN db_total ELSE h_total + v_total END AS total_blocks,")
+             .replace("COALESCE(vv.views, 0) AS views,", "COALESCE(vv.views, 0) AS views, CAST(p.completion_rate AS DOUBLE) AS db, "
+                      "p.completed_blocks AS db_done, p.total_blocks AS db_total,"))
+
+
+@register("wide_row_dashboard", WIDE_COLS, _DASH_SQL, "C7 I22 with dashboard rows")
+def q_wide_dashboard(d):
+    dash = d.mooc_progress.select("user_id", "course_id", "completion_rate", "completed_blocks", "total_blocks").toDF(
+        "user_id", "course_id", "overall_completion", "completed_items", "total_items")
+    return W.build_raw(d.enrollments, d.h5p_scores, d.video_progress, d.mooc_grades, d.mooc_progress,
+                       d.mooc_discussions, _bench(d), d.as_of, dash=dash)

@@ -42,28 +42,6 @@ class Domain:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    # in-memory rows are larger than compressed parquet; a conservative factor
-    MEMORY_EXPANSION = 4
-
-    def input_bytes(self, name: str) -> int:
-        """Size of a base table's files (file-system metadata only, no data read)."""
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{name}.parquet")
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return int(fs.getContentSummary(p).getLength())
-
-    def checked_broadcast(self, df: DataFrame, tables: list[str]) -> DataFrame:
-        """Broadcast ``df`` only if the files it derives from, expanded to an
-        in-memory estimate, fit the broadcast threshold; beyond it the join
-        stays a shuffle join (sort-merge, with AQE skew handling)."""
-        limit = self.spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").strip()
-        if limit.startswith("-"):  # broadcasting switched off
-            return df
-        limit_bytes = int(self.spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils
-                          .byteStringAsBytes(limit))
-        size = sum(self.input_bytes(t) for t in tables) * self.MEMORY_EXPANSION
-        return F.broadcast(df) if 0 <= size <= limit_bytes else df
-
     # -- spine -----------------------------------------------------------------
     @cached_property
     def enrollments(self) -> DataFrame:
@@ -94,16 +72,11 @@ class Domain:
         li = self.base("lineitem")
         o = self.base("orders").select("o_orderkey", "o_custkey", "o_orderdate")
         c = self.base("customer").select("c_custkey", "c_mktsegment")
-        # Join the two smaller tables first, so the largest one (attempt rows)
-        # is shuffled at most once, on the order key — and not at all when the
-        # orders side is provably small enough to broadcast.
-        ob = self.checked_broadcast(o, ["orders"])
-        if ob is not o:  # both small: two broadcast joins, the attempt rows never move
-            j = (li.join(ob, F.col("l_orderkey") == F.col("o_orderkey"))
-                   .join(self.checked_broadcast(c, ["customer"]), F.col("o_custkey") == F.col("c_custkey")))
-        else:
-            oc = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
-            j = li.join(oc, F.col("l_orderkey") == F.col("o_orderkey"))
+        # The two smaller tables first: the attempt rows are shuffled at most
+        # once, on the order key, and not at all when AQE measures the other
+        # side as small enough to broadcast.
+        oc = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+        j = li.join(oc, F.col("l_orderkey") == F.col("o_orderkey"))
         content = F.col("l_partkey") % 50
         return j.select(
             F.col("c_custkey").alias("user_id"),

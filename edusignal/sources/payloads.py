@@ -72,14 +72,14 @@ def parse_ts(c) -> Column:
 
 # --- A1 / A2 / A3 / G1 ---------------------------------------------------------------
 
+# Fixed values (here and below): the field names and types of the platform's payloads.
 STUDENT_INFO = _struct(mssv=S, first_name=S, middle_name=S, last_name=S, full_name_vn=S,
                        class_code=S, department=S, faculty=S)
 ENROLL_ITEM = _struct(user_id=L, id=L, username=S, email=S, full_name=S, enrollment_id=L, mode=S,
                       is_active=B, created=S, student_info=STUDENT_INFO, all_attributes=S)
 # ``data`` is an object in one shape and a list in another, and lists may hold
 # non-object items: read the candidates as raw JSON text and decode each
-# element on its own (a non-object element decodes to NULL and is skipped,
-# but still counts toward the page size, as in the pager).
+# element on its own (a non-object element decodes to NULL and is skipped).
 ENROLL_PAGE = _struct(data=S, enrollments=S, results=S)
 
 
@@ -87,32 +87,32 @@ def _is_list(c: Column) -> Column:
     return F.ltrim(c).startswith("[")
 
 
-def read_enrollment_pages(spark: SparkSession, root: str, page_size: int = 100) -> DataFrame:
-    """A1 + G1: one row per enrolment item from every page of every course.
+def read_enrollment_pages(spark: SparkSession, root: str) -> DataFrame:
+    """A1 + G1: one row per enrolment item of every landed page of every course."""
+    return enrollment_items(_read(spark, root, "enrollments", ENROLL_PAGE))
+
+
+def enrollment_items(df: DataFrame, *keep: str) -> DataFrame:
+    """A1 on page rows (``ENROLL_PAGE`` columns, ``course_id``, ``_file``).
 
     The list is the first present of ``data.enrollments``, ``enrollments``,
-    ``results``, ``data`` (as a list); non-object items are dropped; pages
-    after a course's first empty or short page are ignored (the pager stops
-    there).  ``user_key`` is ``user_id`` else ``id`` (for the user list)."""
-    df = _read(spark, root, "enrollments", ENROLL_PAGE)
+    ``results``, ``data`` (as a list); non-object items are dropped.  (A short
+    page tells a pager to stop fetching; pages that have landed all count.)
+    ``user_key`` is ``user_id`` else ``id`` (for the user list)."""
     data, enr, res = F.col("data"), F.col("enrollments"), F.col("results")
     data_enr = F.get_json_object(data, "$.enrollments")
     text = (F.when(F.ltrim(data).startswith("{") & _is_list(data_enr), data_enr)
             .when(_is_list(enr), enr).when(_is_list(res), res).when(_is_list(data), data))
     elements = F.coalesce(F.from_json(text, T.ArrayType(S)), F.array().cast("array<string>"))
-    page = F.regexp_extract("_file", r"(\d+)$", 1).cast("int")
-    pages = df.select("course_id", page.alias("page"), elements.alias("elements"))
-    sizes = pages.select("course_id", "page", F.size("elements").alias("n"))
-    stop = sizes.where(F.col("n") < page_size).groupBy("course_id").agg(F.min("page").alias("stop_page"))
-    kept = pages.join(stop, "course_id", "left").where(
-        F.col("stop_page").isNull() | (F.col("page") <= F.col("stop_page")))
-    ex = kept.select("course_id", "page", F.posexplode("elements").alias("pos", "raw"))
+    page = F.regexp_extract("_file", r"(\d+)$", 1).try_cast("int")  # null for a name without digits
+    pages = df.select("course_id", *keep, page.alias("page"), elements.alias("elements"))
+    ex = pages.select("course_id", *keep, "page", F.posexplode("elements").alias("pos", "raw"))
     item = F.when(F.ltrim("raw").startswith("{"), F.from_json("raw", ENROLL_ITEM))
-    return ex.select("course_id", "page", "pos", item.alias("item")).where(F.col("item").isNotNull()) \
-        .select("course_id", "page", "pos", "item.*").withColumn("user_key", F.coalesce("user_id", "id"))
+    return ex.select("course_id", *keep, "page", "pos", item.alias("item")).where(F.col("item").isNotNull()) \
+        .select("course_id", *keep, "page", "pos", "item.*").withColumn("user_key", F.coalesce("user_id", "id"))
 
 
-def flatten_enrollments(items: DataFrame, fetched_at: str) -> DataFrame:
+def flatten_enrollments(items: DataFrame, fetched_at: str, *keep: str) -> DataFrame:
     """A2: one ``enrollments`` row per item: student_info fields default '',
     mode 'audit', active true, attributes as JSON text (NULL when empty)."""
     si = "student_info"
@@ -122,7 +122,7 @@ def flatten_enrollments(items: DataFrame, fetched_at: str) -> DataFrame:
 
     attrs = F.col("all_attributes")
     return items.select(
-        "course_id", "user_id", F.coalesce("username", F.lit("")).alias("username"), "email", "full_name",
+        "course_id", *keep, "user_id", F.coalesce("username", F.lit("")).alias("username"), "email", "full_name",
         "enrollment_id", F.coalesce("mode", F.lit("audit")).alias("mode"),
         F.coalesce("is_active", F.lit(True)).alias("is_active"), parse_ts("created").alias("created"),
         info("mssv"), info("first_name"), info("middle_name"), info("last_name"), info("full_name_vn"),
@@ -136,8 +136,12 @@ COURSE_INFO = _struct(success=B, data=_struct(display_name=S, start=S, end=S))
 
 
 def read_course_info(spark: SparkSession, root: str) -> DataFrame:
-    df = _read(spark, root, "course_info", COURSE_INFO).where(F.col("success"))
-    return df.select("course_id", F.col("data.display_name").alias("course_name"),
+    return course_info_rows(_read(spark, root, "course_info", COURSE_INFO))
+
+
+def course_info_rows(df: DataFrame) -> DataFrame:
+    """A3 source: name, start and end from successful course payloads."""
+    return df.where(F.col("success")).select("course_id", F.col("data.display_name").alias("course_name"),
                      parse_ts("data.start").alias("course_start"), parse_ts("data.end").alias("course_end"))
 
 
@@ -157,11 +161,21 @@ H5P_SUMMARY = _struct(total_contents=L, completed_contents=L, total_score=L, tot
 H5P_PAYLOAD = _struct(scores=T.ArrayType(H5P_ITEM), summary=H5P_SUMMARY)
 
 
+def _per_user(spark: SparkSession, root: str, kind: str, schema: T.StructType) -> DataFrame:
+    """Payload rows of one kind with ``course_id`` and ``user_id`` (from the file name)."""
+    return _read(spark, root, kind, schema).withColumn("user_id", _user_from_file())
+
+
 def flatten_h5p(spark: SparkSession, root: str, fetched_at: str) -> tuple[DataFrame, DataFrame]:
-    """A4: attempt rows (``time`` -> ``time_spent``) and one summary row per user."""
-    df = _read(spark, root, "h5p", H5P_PAYLOAD).withColumn("user_id", _user_from_file())
+    """A4 from landed files: (attempt rows, summary rows)."""
+    df = _per_user(spark, root, "h5p", H5P_PAYLOAD)
+    return h5p_attempts(df, fetched_at), h5p_summaries(df)
+
+
+def h5p_attempts(df: DataFrame, fetched_at: str) -> DataFrame:
+    """A4: one row per attempt of each user's payload (``time`` -> ``time_spent``)."""
     ex = df.select("course_id", "user_id", F.explode(F.coalesce("scores", F.array())).alias("s"))
-    detail = ex.where(F.col("s").isNotNull()).select(
+    return ex.where(F.col("s").isNotNull()).select(
         "user_id", "course_id", F.col("s.content_id").alias("content_id"),
         F.col("s.content_title").alias("content_title"),
         _z("s.score").alias("score"), _z("s.max_score").alias("max_score"),
@@ -169,13 +183,16 @@ def flatten_h5p(spark: SparkSession, root: str, fetched_at: str) -> tuple[DataFr
         _z("s.opened").alias("opened"), _z("s.finished").alias("finished"), _z("s.time").alias("time_spent"),
         F.col("s.folder_id").alias("folder_id"), F.col("s.folder_name").alias("folder_name"),
         F.lit(fetched_at).cast("timestamp_ntz").alias("fetched_at"))
-    summary = df.select(
-        "user_id", "course_id",
+
+
+def h5p_summaries(df: DataFrame, *keep: str) -> DataFrame:
+    """A4: one summary row per user's payload (``keep``: further columns to carry)."""
+    return df.select(
+        "user_id", "course_id", *keep,
         *[_z(f"summary.{c}").alias(c) for c in ("total_contents", "completed_contents", "total_score",
                                                  "total_max_score")],
         F.coalesce(F.col("summary.overall_percentage"), F.lit(0.0)).cast("decimal(5,2)").alias("overall_percentage"),
         _z("summary.total_time_spent").alias("total_time_spent"))
-    return detail, summary
 
 
 VIDEO_ITEM = _struct(content_id=L, content_title=S, progress_percent=D, current_time=L, duration=L, status=S,
@@ -186,22 +203,30 @@ VIDEO_PAYLOAD = _struct(video_progress=T.ArrayType(VIDEO_ITEM), summary=VIDEO_SU
 
 
 def flatten_video(spark: SparkSession, root: str, fetched_at: str) -> tuple[DataFrame, DataFrame]:
-    """A5: video position rows and one summary row per user."""
-    df = _read(spark, root, "video", VIDEO_PAYLOAD).withColumn("user_id", _user_from_file())
+    """A5 from landed files: (position rows, summary rows)."""
+    df = _per_user(spark, root, "video", VIDEO_PAYLOAD)
+    return video_positions(df, fetched_at), video_summaries(df)
+
+
+def video_positions(df: DataFrame, fetched_at: str) -> DataFrame:
+    """A5: one row per video of each user's payload."""
     ex = df.select("course_id", "user_id", F.explode(F.coalesce("video_progress", F.array())).alias("v"))
-    detail = ex.where(F.col("v").isNotNull()).select(
+    return ex.where(F.col("v").isNotNull()).select(
         "user_id", "course_id", F.col("v.content_id").alias("content_id"),
         F.col("v.content_title").alias("content_title"),
         F.coalesce(F.col("v.progress_percent"), F.lit(0.0)).cast("decimal(5,2)").alias("progress_percent"),
         _z("v.current_time").alias("current_time"), _z("v.duration").alias("duration"),
         F.col("v.status").alias("status"), F.col("v.folder_id").alias("folder_id"),
         F.col("v.folder_name").alias("folder_name"), F.lit(fetched_at).cast("timestamp_ntz").alias("fetched_at"))
-    summary = df.select(
-        "user_id", "course_id",
+
+
+def video_summaries(df: DataFrame, *keep: str) -> DataFrame:
+    """A5: one summary row per user's payload."""
+    return df.select(
+        "user_id", "course_id", *keep,
         *[_z(f"summary.{c}").alias(c) for c in ("total_videos", "completed_videos", "in_progress_videos",
                                                  "not_started_videos", "total_duration", "total_watched_time")],
         F.coalesce(F.col("summary.overall_progress"), F.lit(0.0)).cast("decimal(5,2)").alias("overall_progress"))
-    return detail, summary
 
 
 # --- A6 / A7 -----------------------------------------------------------------------------
@@ -226,12 +251,15 @@ DASH_COLS = ["user_id", "course_id", "overall_completion", "total_items", "compl
 
 
 def flatten_combined(spark: SparkSession, root: str) -> DataFrame:
+    return combined_rows(_per_user(spark, root, "combined", COMBINED))
+
+
+def combined_rows(df: DataFrame, *keep: str) -> DataFrame:
     """Combined-progress payload -> ``dashboard_summary``;
     items_to_complete = max(0, total - completed); folder stats 0."""
-    df = _read(spark, root, "combined", COMBINED).withColumn("user_id", _user_from_file())
     tot, done = _z("overall.total_items"), _z("overall.completed_items")
     return df.select(
-        "user_id", "course_id", F.coalesce(F.col("overall.overall_completion"), F.lit(0.0)).alias("overall_completion"),
+        "user_id", "course_id", *keep, F.coalesce(F.col("overall.overall_completion"), F.lit(0.0)).alias("overall_completion"),
         tot.alias("total_items"), done.alias("completed_items"),
         F.greatest(F.lit(0).cast("bigint"), tot - done).alias("items_to_complete"),
         _z("scores.total_contents").alias("h5p_total_contents"),
@@ -248,8 +276,11 @@ def flatten_combined(spark: SparkSession, root: str) -> DataFrame:
 
 
 def flatten_dashboard(spark: SparkSession, root: str) -> DataFrame:
+    return dashboard_rows(_per_user(spark, root, "dashboard", DASHBOARD))
+
+
+def dashboard_rows(df: DataFrame) -> DataFrame:
     """The older dashboard payload -> the same table."""
-    df = _read(spark, root, "dashboard", DASHBOARD).withColumn("user_id", _user_from_file())
     return df.select(
         "user_id", "course_id", _z("overview.overall_completion", "double").alias("overall_completion"),
         _z("overview.total_items").alias("total_items"), _z("overview.completed_items").alias("completed_items"),
@@ -287,33 +318,33 @@ DISCUSSIONS = _struct(students=T.ArrayType(_struct(user_id=L, username=S, email=
                                                     total_upvotes=L)))
 
 
-def students_of(df: DataFrame) -> DataFrame:
+def students_of(df: DataFrame, *keep: str) -> DataFrame:
     """Explode a ``{students: [...]}`` payload frame (needs ``course_id``)."""
-    return df.select("course_id", F.explode(F.coalesce("students", F.array())).alias("s")) \
-        .where(F.col("s").isNotNull() & F.col("s.user_id").isNotNull()).select("course_id", "s.*")
+    return df.select("course_id", *keep, F.explode(F.coalesce("students", F.array())).alias("s")) \
+        .where(F.col("s").isNotNull() & F.col("s.user_id").isNotNull()).select("course_id", *keep, "s.*")
 
 
 def _students(spark, root, kind, schema):
     return students_of(_read(spark, root, kind, schema))
 
 
-def grades_rows(s: DataFrame) -> DataFrame:
+def grades_rows(s: DataFrame, *keep: str) -> DataFrame:
     passed = F.coalesce("is_passed", F.lit(False))
-    return s.select("user_id", "course_id", "username", "email", "full_name",
+    return s.select("user_id", "course_id", *keep, "username", "email", "full_name",
                     _z("percent_grade", "double").cast("decimal(5,2)").alias("percent_grade"),
                     _z("grade_percentage", "double").cast("decimal(5,2)").alias("grade_percentage"),
                     F.when(passed, F.lit("Pass")).otherwise(F.lit("")).alias("letter_grade"),
                     passed.alias("is_passed"))
 
 
-def progress_rows(s: DataFrame) -> DataFrame:
-    return s.select("user_id", "course_id", "current_chapter", "current_section", "current_unit",
+def progress_rows(s: DataFrame, *keep: str) -> DataFrame:
+    return s.select("user_id", "course_id", *keep, "current_chapter", "current_section", "current_unit",
                     _z("completion_rate", "double").cast("decimal(5,2)").alias("completion_rate"),
                     parse_ts("last_activity").alias("last_activity"))
 
 
-def discussion_rows(s: DataFrame) -> DataFrame:
-    return s.select("user_id", "course_id", "username", "email", "full_name",
+def discussion_rows(s: DataFrame, *keep: str) -> DataFrame:
+    return s.select("user_id", "course_id", *keep, "username", "email", "full_name",
                     *[_z(c).alias(c) for c in ("threads_count", "comments_count", "total_interactions",
                                                "questions_count", "total_upvotes")])
 
@@ -342,18 +373,24 @@ STATS_PROG = _struct(success=B, summary=_struct(avg_progress=D, completion_rate=
 
 
 def benchmarks_from_stats(spark: SparkSession, root: str) -> DataFrame:
+    return stats_benchmarks(_read(spark, root, "stats_activity", STATS_ACT),
+                            _read(spark, root, "stats_assessment", STATS_ASMT),
+                            _read(spark, root, "stats_progress", STATS_PROG))
+
+
+def stats_benchmarks(activity: DataFrame, assessment: DataFrame, progress: DataFrame) -> DataFrame:
     """Course benchmarks from the three stats payloads (full outer join
     on course); per-user averages rounded to 2 only when the denominator > 0;
     total students = max(assessment, progress).  Columns the payloads do not
     carry stay 0, as the reference stores them."""
-    a = _read(spark, root, "stats_activity", STATS_ACT).where(F.col("success")).select(
+    a = activity.where(F.col("success")).select(
         "course_id", _z("summary.avg_score", "double").alias("activity_avg_score"),
         _z("summary.total_activities").alias("activity_total_activities"),
         _z("summary.total_active_users").alias("active_students"))
-    s = _read(spark, root, "stats_assessment", STATS_ASMT).where(F.col("success")).select(
+    s = assessment.where(F.col("success")).select(
         "course_id", _z("summary.avg_score", "double").alias("assessment_avg_score"),
         _z("summary.unique_students").alias("asmt_students"), _z("summary.total_attempts").alias("total_attempts"))
-    p = _read(spark, root, "stats_progress", STATS_PROG).where(F.col("success")).select(
+    p = progress.where(F.col("success")).select(
         "course_id", _z("summary.avg_progress", "double").alias("progress_avg_completion"),
         _z("summary.completion_rate", "double").alias("progress_completion_rate"),
         _z("summary.total_students").alias("prog_students"))

@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
+
 # --- versioned tables ----------------------------------------------------------------
 
 
@@ -91,13 +94,18 @@ def write_features(df: DataFrame, path: str) -> None:
 
 
 def write_predictions(df: DataFrame, path: str, as_of: str) -> None:
-    """Predictions as CSV, one folder per course and day."""
+    """Predictions as CSV, one folder per course and day.  Running a day again
+    replaces that day's folders (dynamic partition overwrite) and no other."""
     out = df.withColumn("day", F.date_format(F.lit(as_of).cast("timestamp_ntz"), "yyyyMMdd"))
-    out.write.mode("append").partitionBy("course_id", "day").option("header", True).csv(path)
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("course_id", "day").option("header", True).csv(path))
 
 
 def write_eval(folds: DataFrame, summary: DataFrame, path: str) -> None:
-    """Per-fold rows as CSV and JSON, the summary as JSON lines."""
+    """Per-fold rows as CSV and JSON, the summary as JSON lines.  The frames hold
+    a row per fold; they are worked out once and written three times, one file each."""
+    ensure_checkpoint_dir(folds.sparkSession)
+    folds, summary = folds.checkpoint(), summary.checkpoint()
     folds.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/folds_csv")
     folds.coalesce(1).write.mode("overwrite").json(f"{path}/folds_json")
     summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary_json")
@@ -105,6 +113,7 @@ def write_eval(folds: DataFrame, summary: DataFrame, path: str) -> None:
 
 # --- A18 -----------------------------------------------------------------------------------
 
+# Fields of an intervention post.
 INTERVENTION_SCHEMA = "user_id bigint, course_id string, type string, action string, notes string"
 
 
@@ -124,13 +133,17 @@ def append_interventions(spark: SparkSession, posts: DataFrame, path: str, as_of
 
 # --- A19 -----------------------------------------------------------------------------------
 
+# Columns of the export file.
 EXPORT_COLUMNS = ["user_id", "full_name", "email", "risk_level", "fail_risk_score", "mooc_grade_percentage",
                   "mooc_completion_rate", "days_since_last_activity"]
 
 
 def export_name(course_id: str | None, as_of: str) -> str:
-    """``early_warning_<course with : + / \\ -> _, max 80>_<yyyymmdd>.csv``."""
-    safe = re.sub(r"[:+/\\]", "_", course_id or "course")[:80]
+    """``early_warning_<course with : + / \\ -> _, max 80>_<yyyymmdd>.csv``.  A longer course
+    name ends in a hash of the whole id instead, so that no two courses share a file."""
+    safe = re.sub(r"[:+/\\]", "_", course_id or "course")
+    if len(safe) > 80:
+        safe = f"{safe[:71]}_{zlib.crc32((course_id or '').encode()):08x}"
     return f"early_warning_{safe}_{as_of[:10].replace('-', '')}.csv"
 
 

@@ -65,30 +65,41 @@ def streamed_with_open_days(spark: SparkSession, events_dir: str, out_dir: str)
 
 # --- N1 ------------------------------------------------------------------------------
 
-_KINDS = {"grades": (PL.GRADES, PL.grades_rows), "progress": (PL.PROGRESS, PL.progress_rows),
-          "discussions": (PL.DISCUSSIONS, PL.discussion_rows)}
+_BY = "_landed"  # when the payload's file landed, carried beside the rows
+# kind -> (payload schema, rows of a batch of payloads with course_id, user_id / _file and _landed)
+_KINDS = {
+    "enrollments": (PL.ENROLL_PAGE, lambda df, at: PL.flatten_enrollments(PL.enrollment_items(df, _BY), at, _BY)),
+    "h5p": (PL.H5P_PAYLOAD, lambda df, at: PL.h5p_summaries(df, _BY)),
+    "video": (PL.VIDEO_PAYLOAD, lambda df, at: PL.video_summaries(df, _BY)),
+    "combined": (PL.COMBINED, lambda df, at: PL.combined_rows(df, _BY)),
+    "grades": (PL.GRADES, lambda df, at: PL.grades_rows(PL.students_of(df, _BY), _BY)),
+    "progress": (PL.PROGRESS, lambda df, at: PL.progress_rows(PL.students_of(df, _BY), _BY)),
+    "discussions": (PL.DISCUSSIONS, lambda df, at: PL.discussion_rows(PL.students_of(df, _BY), _BY)),
+}
 
 
 def payload_stream(spark: SparkSession, landing_root: str, table_base: str, kind: str = "grades",
-                   name: str | None = None) -> None:
-    """Upsert newly landed ``{students: [...]}`` payloads of one kind into the
-    versioned table at ``table_base`` (keys user, course)."""
-    from ..operators.upsert import upsert
+                   name: str | None = None, as_of: str = "1970-01-01 00:00:00") -> None:
+    """Upsert newly landed payloads of one kind into the versioned table at ``table_base``.
+    Of several payloads of a key in a batch, the one whose file landed last counts."""
+    from ..operators.upsert import dedupe_source, upsert
 
     schema, rows_of = _KINDS[kind]
+    path = F.col("_metadata.file_path")
     src = (spark.readStream.schema(schema).option("multiLine", True)
            .json(f"{landing_root.rstrip('/')}/*/{kind}/*.json")
-           .withColumn("course_id", F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)/{kind}/[^/]+$", 1)))
+           .select("*", F.regexp_extract(path, rf"/([^/]+)/{kind}/[^/]+$", 1).alias("course_id"),
+                   F.regexp_extract(path, r"/([^/]+)\.json$", 1).alias("_file"),
+                   F.col("_metadata.file_modification_time").alias(_BY)))
+    keys = ["enrollment_id", "course_id", "user_id", "username"] if kind == "enrollments" else ["user_id", "course_id"]
 
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = rows_of(PL.students_of(batch))
-        keys = ["user_id", "course_id"]
-        if list_versions(batch.sparkSession, table_base):
-            new = upsert(read_latest(batch.sparkSession, table_base), rows, keys,
-                         [c for c in rows.columns if c not in keys])
-        else:
-            new = rows
-        write_version(new, table_base)
+        session = batch.sparkSession
+        payloads = batch.withColumn("user_id", F.col("_file").try_cast("bigint"))
+        rows = dedupe_source(rows_of(payloads, as_of), keys, _BY).drop(_BY)
+        updated = [c for c in rows.columns if c not in keys]
+        table = read_latest(session, table_base) if list_versions(session, table_base) else None
+        write_version(upsert(table, rows, keys, updated, updated), table_base)
 
     (src.writeStream.foreachBatch(upsert_batch)
         .option("checkpointLocation", checkpoint_path(spark, name or f"payload_{kind}"))

@@ -18,10 +18,10 @@ from .conftest import SMALL
 def test_upsert_cases_and_idempotence(spark):
     t = spark.createDataFrame([(1, "a", 10), (2, "b", 20)], "k long, v string, n long")
     s = spark.createDataFrame([(2, None, 99), (3, "c", 30)], "k long, v string, n long")
-    once = upsert(t, s, ["k"], ["v"])
+    once = upsert(t, s, ["k"], ["v"], "n")
     rows = {r.k: (r.v, r.n) for r in once.collect()}
     assert rows == {1: ("a", 10), 2: (None, 20), 3: ("c", 30)}  # only-target, matched NULL src, insert
-    twice = upsert(once, s, ["k"], ["v"])
+    twice = upsert(once, s, ["k"], ["v"], "n")
     assert sorted(twice.collect()) == sorted(once.collect())
 
 

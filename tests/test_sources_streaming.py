@@ -29,7 +29,7 @@ def _put(root, course, kind, name, obj):
 def landing():
     root = tempfile.mkdtemp(prefix="edusignal-landing-")
     item = lambda uid, **kw: {"user_id": uid, "username": f"u{uid}", "email": f"u{uid}@x", **kw}
-    # course A: three shapes over pages; page 2 is short, page 3 must be ignored
+    # course A: three shapes over pages, the later ones short; every landed page counts
     _put(root, "A", "enrollments", "page_1", {"data": {"enrollments": [item(1), item(2, mode="verified")]}})
     _put(root, "A", "enrollments", "page_2", {"results": [item(3, student_info={"mssv": "S3"}), "junk"]})
     _put(root, "A", "enrollments", "page_3", {"enrollments": [item(4)]})
@@ -39,7 +39,7 @@ def landing():
                                                                      "start": "2024-01-01T00:00:00Z"}})
     _put(root, "A", "h5p", "1", {"scores": [{"content_id": 10, "score": 4, "max_score": 5, "percentage": 80,
                                              "opened": 100, "finished": 200, "time": 33}],
-                                 "summary": {"total_contents": 1, "completed_contents": 1}})
+                                 "summary": {"total_contents": 10, "completed_contents": 1}})
     _put(root, "A", "video", "1", {"video_progress": [{"content_id": 5, "progress_percent": 100, "duration": 60}]})
     _put(root, "A", "combined", "1", {"overall": {"total_items": 4, "completed_items": 6, "overall_completion": 40}})
     _put(root, "A", "dashboard", "1", {"overview": {"overall_completion": 10}})
@@ -57,10 +57,9 @@ def landing():
     return root
 
 
-def test_enrollment_pages_shapes_and_short_page_stop(spark, landing):
-    items = PL.read_enrollment_pages(spark, landing, page_size=2)
+def test_enrollment_pages_shapes_and_all_pages(spark, landing):
+    items = PL.read_enrollment_pages(spark, landing)
     got = sorted((r.course_id, r.user_key) for r in items.collect())
-    # page_2 is full (the junk item counts), page_3 is short: all four are read
     assert got == [("A", 1), ("A", 2), ("A", 3), ("A", 4), ("B", 7)]
     flat = {(r.course_id, r.user_id): r for r in PL.flatten_enrollments(items, ASOF).collect()}
     assert flat[("A", 1)].mode == "audit" and flat[("A", 2)].mode == "verified"
@@ -148,6 +147,28 @@ def test_streaming_payload_upsert(spark, landing):
     assert set(t) == {1, 2} and t[1].letter_grade == "Pass"
 
 
+@pytest.mark.parametrize("kind,n", [("enrollments", 5), ("h5p", 1), ("video", 1), ("combined", 1), ("progress", 1), ("discussions", 1)])
+def test_streaming_payloads_of_every_kind(spark, landing, kind, n):
+    base = tempfile.mkdtemp(prefix="edusignal-n1-") + f"/{kind}"
+    SJ.payload_stream(spark, landing, base, kind, name=f"n1-{os.path.basename(os.path.dirname(base))}")
+    assert SK.read_latest(spark, base).count() == n
+
+
+def test_streaming_payload_landed_last_counts(spark):
+    root = tempfile.mkdtemp(prefix="edusignal-landing-")
+    for k, grade in enumerate((10, 90)):
+        _put(root, "A", "grades", f"g{k}", {"students": [{"user_id": 1, "grade_percentage": grade}]})
+        os.utime(os.path.join(root, "A", "grades", f"g{k}.json"), (1_000_000 + 100 * k,) * 2)
+    base = tempfile.mkdtemp(prefix="edusignal-n1-") + "/grades"
+    SJ.payload_stream(spark, root, base, "grades", name=f"n1-{os.path.basename(os.path.dirname(base))}")
+    assert [float(r.grade_percentage) for r in SK.read_latest(spark, base).collect()] == [90.0]
+
+
+def test_export_names_of_long_courses_differ():
+    a, b = ("c" * 90 + x for x in "ab")
+    assert SK.export_name(a, ASOF) != SK.export_name(b, ASOF)
+
+
 def test_daily_counts_match_streaming_batch_twin(spark):
     from edusignal.sources.fixtures import Domain
     d = Domain(spark, SMALL)
