@@ -20,3 +20,4 @@ from . import q_evaluation  # noqa: E402,F401
 from . import q_events  # noqa: E402,F401
 from . import q_models  # noqa: E402,F401
 from . import q_misc  # noqa: E402,F401
+from . import q_sources  # noqa: E402,F401
