@@ -49,7 +49,11 @@ def attempts_by_content(h: DataFrame) -> DataFrame:
     per distinct expression).  A consumer needing several rollups uses one
     combined aggregate (:func:`h5p_user_rollup`), so it reads attempts once —
     separate consumers would not share the scan, because column pruning makes
-    their aggregates differ."""
+    their aggregates differ.  Several rollups can also share the rows: write
+    this result once (``skew.settle``) and pass it wherever attempts are taken;
+    it is recognised and returned as it is."""
+    if "done_fin" in h.columns:
+        return h
     fin = F.col("finished") > 0
     pct = F.col("percentage")
     cents = (pct * 100).cast("bigint")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import attach, settle, shard_of
 from ..functions.expr import LEVELS, display_score, risk_level
 from .roster import KEYS, latest_only
 
@@ -178,13 +179,13 @@ def prediction_freshness(p: DataFrame, as_of: str, stale_days: int = 7) -> DataF
 def vs_class(f: DataFrame, metrics: list[str]) -> DataFrame:
     """Each student's metrics next to the class average and the gap.
 
-    The class average is a course-level groupBy (partial aggregation) joined
-    back on ``course_id``; a window over the course would put a whole course
-    into one task.
-    """
-    avgs = f.groupBy("course_id").agg(*[F.avg(F.col(m).cast("double")).alias(f"class_avg_{m}")
-                                        for m in metrics])
-    j = f.select(*KEYS, *metrics).join(avgs, "course_id")
+    The rows are written once; the class average is a course-level groupBy
+    (partial aggregation) that meets a big course's students in parts, so no
+    task holds a course."""
+    rows = settle(f.select(*KEYS, *metrics)).withColumn("__shard", shard_of(f.sparkSession, F.col("user_id")))
+    avgs = rows.groupBy("course_id").agg(*[F.avg(F.col(m).cast("double")).alias(f"class_avg_{m}")
+                                           for m in metrics])
+    j = attach(rows, avgs, "course_id").drop("__shard")
     extra = [(F.col(m).cast("double") - F.col(f"class_avg_{m}")).alias(f"diff_{m}") for m in metrics]
     return j.select("*", *extra)
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..operators import events as EVT
-from ..operators import wide as W
+from ..operators.skew import settle
 from .contract import hround
-from .q_wide import _WIDE_SQL, WIDE_COLS, _bench
+from .q_wide import _WIDE_SQL, WIDE_COLS, wide_rows
 from .base import avg_round, register
 
 _PROB = "action IN ('problem_attempt', 'problem_correct')"
@@ -55,7 +55,7 @@ M1_COLS = ("user_id:i course_id:s problem_total_attempts:i problem_total_correct
 
 @register("activity_stats", M1_COLS, _M1_SQL, "M1 E11")
 def q_m1(d):
-    return EVT.activity_stats(d.activity)
+    return EVT.activity_stats(settle(EVT.activity_rollup(d.activity)))
 
 
 @register("daily_activity", "user_id:i course_id:s day:dt events:i",
@@ -128,7 +128,7 @@ M3_COLS = ("user_id:i course_id:s tracked_week:i completion_percent:d completed_
 
 @register("progress_weekly", M3_COLS, _M3_SQL, "M3 E10")
 def q_m3(d):
-    return EVT.progress_weekly(d.activity)
+    return EVT.progress_weekly(settle(EVT.activity_rollup(d.activity)))
 
 
 def _strip_with(sql: str) -> str:
@@ -159,10 +159,8 @@ LEFT JOIN c ON c.user_id = w.user_id AND c.course_id = w.course_id"""
           "user_id:i course_id:s late_night_ratio:d weekend_ratio:d max_inactive_gap_days:i "
           "assessment_improvement_rate:d progress_acceleration:d", _M4_SQL, "M4")
 def q_m4(d):
-    raw = W.build_raw(d.enrollments, d.h5p_scores, d.video_progress, d.mooc_grades, d.mooc_progress,
-                      d.mooc_discussions, _bench(d), d.as_of)
-    act = d.activity
-    out = EVT.enrich_raw(raw, EVT.activity_stats(act), EVT.assessment_details(d.h5p_scores),
+    act = settle(EVT.activity_rollup(d.activity))  # the log is read once, for M1 and M3
+    out = EVT.enrich_raw(wide_rows(d), EVT.activity_stats(act), EVT.assessment_details(d.h5p_scores),
                          EVT.progress_weekly(act))
     return out.select("user_id", "course_id", "late_night_ratio", "weekend_ratio", "max_inactive_gap_days",
                       "assessment_improvement_rate", "progress_acceleration")

@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import wide as W
+from ..operators.exercises import attempts_by_content, h5p_rollup, video_summary
+from ..operators.skew import settle
 from .contract import hdiv
 from .base import AS_OF, avg_round, hround, register
 
 
-def _bench(d):
-    from ..operators.exercises import video_summary
-    return W.benchmarks_from_tables(d.enrollments, d.h5p_scores, d.mooc_progress,
+def _bench(d, attempts=None):
+    return W.benchmarks_from_tables(d.enrollments, d.h5p_scores if attempts is None else attempts, d.mooc_progress,
                                     video_summary(d.video_progress), d.mooc_discussions, d.mooc_grades)
 
 
+def wide_rows(d, bench: bool = True, **stored):
+    """C7 for every student; the attempts are read once, for totals, metrics and benchmarks."""
+    attempts = settle(attempts_by_content(d.h5p_scores))
+    return W.build_raw(d.enrollments, attempts, d.video_progress, d.mooc_grades, d.mooc_progress,
+                       d.mooc_discussions, _bench(d, attempts) if bench else None, d.as_of, **stored)
+
+
 @register("populate_features",
           "user_id:i course_id:s enrollment_mode:s is_active:b weeks_since_enrollment:i mooc_grade_percentage:d "
           "mooc_letter_grade:s mooc_is_passed:b h5p_total_contents:i h5p_completed_contents:i h5p_total_score:i "
@@ -233,15 +241,13 @@ FROM n"""
 
 @register("wide_row", WIDE_COLS, _WIDE_SQL, "C7 I21-I34 D9 D10 D23 D22")
 def q_wide(d):
-    return W.build_raw(d.enrollments, d.h5p_scores, d.video_progress, d.mooc_grades, d.mooc_progress,
-                       d.mooc_discussions, _bench(d), d.as_of)
+    return wide_rows(d)
 
 
 @register("wide_row_no_benchmarks", WIDE_COLS, _WIDE_SQL.replace(
     "LEFT JOIN bench b ON b.course_id = s.course_id", "LEFT JOIN bench b ON FALSE"), "C7 I33 defaults")
 def q_wide_nb(d):
-    return W.build_raw(d.enrollments, d.h5p_scores, d.video_progress, d.mooc_grades, d.mooc_progress,
-                       d.mooc_discussions, None, d.as_of)
+    return wide_rows(d, bench=False)
 
 
 # Wide rows fed by stored tables: the exercise summary as the populate job's rollup has it (its numbers
@@ -253,15 +259,12 @@ _STORED_SQL = _WIDE_SQL.replace(_HS, """hs AS (SELECT user_id, course_id, total_
 
 
 def _stored(d):
-    from ..operators.exercises import h5p_rollup
     return h5p_rollup(d.h5p_scores).withColumn("overall_percentage", F.floor("avg_percentage").cast("double"))
 
 
 @register("wide_row_stored_summaries", WIDE_COLS, _STORED_SQL, "C7 I22 with summary tables")
 def q_wide_stored(d):
-    from ..operators.exercises import video_summary
-    return W.build_raw(d.enrollments, d.h5p_scores, d.video_progress, d.mooc_grades, d.mooc_progress,
-                       d.mooc_discussions, _bench(d), d.as_of, h5p_sums=_stored(d), video_sums=video_summary(d.video_progress))
+    return wide_rows(d, h5p_sums=_stored(d), video_sums=video_summary(d.video_progress))
 
 
 _DASH_SQL = (_WIDE_SQL
@@ -278,5 +281,4 @@ _DASH_SQL = (_WIDE_SQL
 def q_wide_dashboard(d):
     dash = d.mooc_progress.select("user_id", "course_id", "completion_rate", "completed_blocks", "total_blocks").toDF(
         "user_id", "course_id", "overall_completion", "completed_items", "total_items")
-    return W.build_raw(d.enrollments, d.h5p_scores, d.video_progress, d.mooc_grades, d.mooc_progress,
-                       d.mooc_discussions, _bench(d), d.as_of, dash=dash)
+    return wide_rows(d, dash=dash)
