@@ -32,7 +32,7 @@ def op1_mixture_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"))
+    return urls.judge(table(spark, sf_dir, "pages")).withColumn("score", F.round("score", 6))
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,16 +68,101 @@ def op9_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    found = quality.judge(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 QUERIES = {f.__name__: f for f in (
     op1_mixture_language_id, op2_url_filter, op3_bpe_round_trip, op4_simhash_near_dedup, op5_ordinal_toxicity,
     op6_exact_dedup, op7_boosted_pii, op8_license_scan, op9_min_slack_packing, op10_divergence_quality)}
 
+UPPER, LOWER = exactdedup.UPPER, exactdedup.UPPER.lower()
+
+
+def url_oracle() -> str:
+    """op2 in SQL: rules, counts of one to four symbols, Witten-Bell models, scores, cut."""
+    def low(x):
+        return f"translate({x}, '{UPPER}', '{LOWER}')"
+
+    def rules(value):
+        ordered = sorted(urls.RULES, key=lambda r: -len(r[0] + r[1]))
+        return "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v if value else h + p}'"
+                                  for h, p, v in ordered) + " END"
+    models = []
+    for o in range(1, 5):
+        shorter = "1 / 32.0" if o == 1 else "b.p"
+        before = "" if o == 1 else f"JOIN p{o - 1} b USING (gram, a)"
+        models.append(f"""
+p{o} AS (SELECT m.gram, m.a, CASE WHEN k.cn IS NULL THEN {shorter} ELSE (ifnull(n.n, 0) + k.ck * {shorter}) / (k.cn + k.ck) END AS p
+  FROM m {before} LEFT JOIN n ON n.accepted = m.a AND n.o = {o} AND n.x = m.gram % {32 ** o}
+  LEFT JOIN ctx k ON k.accepted = m.a AND k.o = {o} AND k.c = (m.gram % {32 ** o}) // 32)""")
+    return rf"""
+WITH u AS (SELECT row_number() OVER () AS r, page_id, ifnull(url, '') AS url FROM pages),
+h AS (SELECT *, CASE WHEN contains(url, '://') THEN {low(r"regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")} ELSE '' END AS host,
+  CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
+s AS (SELECT *, {rules(False)} AS rule, {rules(True)} AS said, regexp_matches(host, '{"|".join(urls.SPAM_TERMS)}') AS spam,
+  substr(md5(url), 1, 1) IN ('0', '1', '2', '3') AS held,
+  regexp_replace(regexp_replace({low("host || path")}, '[0-9]', '0', 'g'), '[^a-z0/.-]', '*', 'g') AS line FROM h),
+c AS (SELECT *, CASE WHEN host = '' THEN NULL WHEN spam THEN FALSE WHEN said IS DISTINCT FROM 'block' THEN TRUE END AS accepted,
+  [31, 31, 31] || list_transform(list_filter(string_split(line, ''), lambda x: x <> ''), lambda x: instr('{urls.ALPHABET}', x) - 1) AS code FROM s),
+g AS (SELECT r, accepted, held, ((code[i - 3] * 32 + code[i - 2]) * 32 + code[i - 1]) * 32 + code[i] AS gram
+  FROM (SELECT *, unnest(range(4, len(code) + 1)) AS i FROM c)),
+n AS (SELECT accepted, o, gram % CAST(32 ** o AS BIGINT) AS x, count(*) AS n FROM g, (VALUES (1), (2), (3), (4)) v(o)
+  WHERE NOT held AND accepted IS NOT NULL GROUP BY ALL),
+ctx AS (SELECT accepted, o, x // 32 AS c, sum(n) AS cn, count(*) AS ck FROM n GROUP BY ALL),
+m AS (SELECT DISTINCT gram, a FROM g, (VALUES (TRUE), (FALSE)) t(a)),{",".join(models)},
+ratio AS (SELECT x.gram, ln(x.p / y.p) AS x FROM p4 x JOIN p4 y ON y.gram = x.gram AND x.a AND NOT y.a),
+score AS (SELECT r, avg(ratio.x) AS score FROM g JOIN ratio USING (gram) GROUP BY r),
+ends AS (SELECT quantile_cont(score, 0.005) FILTER (accepted) AS low, quantile_cont(score, 0.995) FILTER (NOT accepted) AS high
+  FROM c JOIN score USING (r) WHERE held),
+cut AS (SELECT CASE WHEN low IS NULL OR high IS NULL THEN NULL WHEN high < low THEN (low + high) / 2 ELSE low END AS cut FROM ends)
+SELECT page_id, host, path, rule, CASE WHEN said IS NOT NULL THEN said WHEN score < cut THEN 'block' ELSE 'allow' END AS verdict,
+  round(score, 6) AS score
+FROM c LEFT JOIN score USING (r), cut"""
+
+
+def quality_oracle() -> str:
+    """op10 in SQL: counts, histograms, references and Jensen-Shannon distances."""
+    def distance(a, b):
+        p, q = f"(x[1] / list_sum({a}))", f"(x[2] / list_sum({b}))"
+        part = " + ".join(f"CASE WHEN {v} > 0 THEN {v} * log2({v} / (({p} + {q}) / 2)) ELSE 0 END" for v in (p, q))
+        return (f"CASE WHEN list_sum({a}) > 0 AND list_sum({b}) > 0 THEN "
+                f"sqrt(greatest(0, list_sum(list_transform(list_zip({a}, {b}), lambda x: {part})) / 2)) END")
+    lists = " ".join(f"WHEN '{k}' THEN {v.split()!r}" for k, v in quality.COMMON.items())
+
+    def sums(name, n):
+        return "[" + ", ".join(f"sum({name}[{i}])" for i in range(1, n + 1)) + "]"
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, ifnull(text, '') AS t, CASE WHEN lang IN {tuple(quality.COMMON)} THEN lang ELSE '' END AS lang_ref
+  FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+  CASE lang_ref {lists} END AS own,
+  list_filter(string_split(lower(regexp_replace(t, '\P{{L}}+', ' ', 'g')), ' '), lambda x: x <> '') AS tokens FROM t),
+win AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+rep AS (SELECT r, count(DISTINCT i + k) AS covered FROM (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, g) > 1), (VALUES (0), (1), (2)) v(k) GROUP BY r),
+c AS (SELECT r, doc_id, lang_ref, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, length(t) AS n,
+  length(regexp_replace(t, '\P{{L}}+', '', 'g')) AS l, length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS u,
+  length(regexp_replace(t, '\P{{Nd}}+', '', 'g')) AS d, length(regexp_replace(t, '[^.,;:!?''"()\-]+', '', 'g')) AS p,
+  list_transform(own, lambda x: len(list_filter(tokens, lambda y: y = x))) AS hits, len(tokens) AS n_tokens FROM w),
+k AS (SELECT c.*, ifnull(rep.covered, 0) AS n_repeat_words, n_words < 50 OR 100 * ifnull(rep.covered, 0) > 50 * n_words AS base_failed,
+  [l - u, u, d, n - word_chars, p, n_symbols, greatest(0, n - l - d - (n - word_chars) - p - n_symbols)] AS chars,
+  hits || [n_tokens - list_sum(hits)] AS common FROM c LEFT JOIN rep USING (r)),
+refs AS (SELECT lang_ref, {sums("chars", 7)} AS rc, {sums("common", 17)} AS rw FROM k WHERE NOT base_failed AND lang_ref <> '' GROUP BY lang_ref
+  UNION ALL SELECT '', {sums("chars", 7)}, {sums("common", 17)} FROM k WHERE NOT base_failed),
+j AS (SELECT k.*, CASE WHEN list_sum(chars) >= {quality.LEAST_CHARS} THEN {distance("chars", "rc")} END AS cd,
+  CASE WHEN n_words >= {quality.LEAST_WORDS} THEN {distance("common", "rw")} END AS wd FROM k LEFT JOIN refs USING (lang_ref))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND ifnull(cd, 0) <= {quality.CHAR_LIMIT} AND ifnull(wd, 0) <= {quality.WORD_LIMIT} AS kept,
+  round(cd, 6) AS char_distance, round(wd, 6) AS word_distance FROM j"""
+
+
 ORACLES = {
     "op6_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)""",
+    "op2_url_filter": url_oracle(),
+    "op10_divergence_quality": quality_oracle(),
 }

@@ -102,7 +102,7 @@ def judge(urls: DataFrame, accepted: Column | None = None, rejected: Column | No
     rows = settle(rows.select(
         F.monotonically_increasing_id().alias("__row"), "page_id", "host", "path", "rule", "__said", codes().alias("code"),
         F.when(F.col("host") == "", None).when(rejected, False).when(accepted, True).alias("accepted"),
-        (F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(4)) == 0).alias("held")))  # row numbers are as written
+        F.substring(F.md5(F.coalesce(F.col("url"), F.lit(""))), 1, 1).isin("0", "1", "2", "3").alias("held")))  # row numbers are as written
     table = settle(log_ratios(rows))  # 32**4 rows of two numbers at most: safe to broadcast
     score = (rows.select("__row", F.explode(grams(F.col("code"))).alias("g")).join(F.broadcast(table), "g")
              .groupBy("__row").agg(F.avg("x").alias("score")))
