@@ -1,9 +1,9 @@
 """Byte-level BPE, encoded in batched numpy merge rounds and decoded again.
 
-The new words of a batch lie in one flat symbol array.  A round looks up every adjacent
-pair of every unfinished word by binary search over the sorted pair keys, takes each word's
-lowest rank, and merges all places of that pair in the word, left to right.  Words
-without a known pair are finished and leave the array.  Word ids are remembered (a
+The new words of a batch lie in one flat symbol array.  Every adjacent pair's rank is found
+by binary search over the sorted pair keys.  A round takes each unfinished word's
+lowest rank, merges all places of that pair in the word, left to right, and looks up the pairs that
+now hold a merged symbol.  Words without a known pair are finished and leave the array.  Word ids are remembered (a
 bounded number), so frequent words are merged once a worker.
 
 Defined cases: a null text counts as empty (no ids, empty decoded text); the special token's
@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,10 +27,15 @@ from pyspark.sql import functions as F
 
 from .common import id_text
 
-#: Fixed value: how byte-level BPE cuts a text before merging.
+# Fixed value: how byte-level BPE cuts a text before merging.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words whose ids a worker remembers, and bytes of new words merged in one array, at most.
-REMEMBERED, FLAT = 300_000, 4_000_000
+# The letters, numbers and white space among the first 256 code points; texts within
+# them are cut by the standard library's faster expressions.
+LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+"
+                   rf"|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+#: Words whose ids a worker remembers as recent (as many again as older), and characters of text merged together.
+REMEMBERED, FLAT = 600_000, 4_000_000
 DONE = np.iinfo(np.int64).max
 
 
@@ -57,71 +64,80 @@ class Bpe:
         self.made = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
         self.words = regex.compile(WORDS)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.known: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def ranks(self, symbols: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rank of the pair that begins at each position ``at``; ``DONE`` if there is none."""
+        nxt = np.minimum(at + 1, len(symbols) - 1)
+        key = symbols[at] << 32 | symbols[nxt]
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[found] == key) & (owner[nxt] == owner[at]) & (nxt > at), self.rank[found], DONE)
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, as little-endian uint32."""
         out: list[bytes] = [b""] * len(words)
         symbols = self.single[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        rank = self.ranks(symbols, owner, np.arange(len(symbols)))
         while len(symbols):
-            pair = np.flatnonzero(owner[1:] == owner[:-1])
-            key = symbols[pair] << 32 | symbols[pair + 1]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.full(len(symbols), DONE)
-            rank[pair] = np.where(self.keys[at] == key, self.rank[at], DONE)
             starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
             sizes = np.diff(np.append(starts, len(symbols)))
-            low = np.repeat(np.minimum.reduceat(rank, starts), sizes)
-            merge = (rank == low) & (low != DONE)
+            lowest = np.minimum.reduceat(rank, starts)
+            low = np.repeat(lowest, sizes)
             # In a run of overlapping places (aaa) every second one merges, from the left.
-            run = np.flatnonzero(merge)
+            run = np.flatnonzero((rank == low) & (low != DONE))
             first = np.concatenate(([True], np.diff(run) != 1)) if len(run) else np.zeros(0, bool)
             since = np.arange(len(run)) - np.maximum.accumulate(np.where(first, np.arange(len(run)), 0))
             run = run[since % 2 == 0]
             symbols[run] = self.made[rank[run]]
-            keep = np.ones(len(symbols), bool)
+            keep = low != DONE
             keep[run + 1] = False
-            done = low == DONE
-            if done.any():
-                ends = np.flatnonzero(done[starts])
-                for s, n in zip(starts[ends].tolist(), sizes[ends].tolist()):
-                    out[owner[s]] = symbols[s:s + n].astype("<u4").tobytes()
-                keep &= ~done
-            symbols, owner = symbols[keep], owner[keep]
+            done = np.flatnonzero(lowest == DONE)
+            if len(done):
+                raw = symbols.astype("<u4").tobytes()
+                for word, s, n in zip(owner[starts[done]].tolist(), starts[done].tolist(), sizes[done].tolist()):
+                    out[word] = raw[4 * s:4 * (s + n)]
+            # Only pairs with a merged symbol have a new rank.
+            merged = (np.cumsum(keep) - 1)[run]
+            symbols, owner, rank = symbols[keep], owner[keep], rank[keep]
+            if len(merged):
+                new = np.concatenate((merged, merged[merged > 0] - 1))
+                rank[new] = self.ranks(symbols, owner, new)
         return out
 
-    def learn(self, words: list[str]) -> None:
-        """Merge words that aren't known yet, some MB at a time."""
-        batch, size = [], 0
-        for i, w in enumerate(words):
-            batch.append(w)
-            size += len(w)
-            if size >= FLAT or i + 1 == len(words):
-                for word, ids in zip(batch, self.merge([w.encode("utf-8", "surrogatepass") for w in batch])):
-                    self.known[word] = ids
-                batch, size = [], 0
+    def learn(self, words: set[str]) -> None:
+        """Afterwards ``recent`` has all of ``words``; words not met for long are forgotten."""
+        new = words.difference(self.recent)
+        if len(self.recent) + len(new) > REMEMBERED:
+            self.older, self.recent, new = self.recent, {}, words
+        known = new.intersection(self.older)
+        self.recent.update((w, self.older[w]) for w in known)
+        self.recent.update((w, i.to_bytes(4, "little")) for w, i in self.special.items())  # no other word has its text
+        rest = list(new.difference(self.recent))
+        self.recent.update(zip(rest, self.merge([w.encode("utf-8", "surrogatepass") for w in rest])))
+
+    def split(self, text: str) -> list[str]:
+        """The words and special tokens of a text."""
+        if self.cut and any(t in text for t in self.special):
+            parts = self.cut.split(text)
+            return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else self.words.findall(part))]
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.words.findall(text)
+        return LATIN.findall(text)
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text, as little-endian uint32, in groups of texts of some MB."""
+        """Ids of each text, as little-endian uint32; the new words of some MB of text are merged together."""
         group, size = [], 0
         for i, text in enumerate(texts):
-            parts = self.cut.split(text) if self.cut else [text]
-            words: list = []
-            for k, part in enumerate(parts):
-                if k % 2:
-                    words.append(self.special[part])
-                elif part:
-                    words += self.words.findall(part)
-            group.append(words)
+            group.append(self.split(text))
             size += len(text)
             if size >= FLAT or i + 1 == len(texts):
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                self.learn([w for w in set().union(*group).difference(self.known) if isinstance(w, str)])
-                known = self.known
+                self.learn(set().union(*group))
                 for words in group:
-                    yield b"".join([known[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in words])
+                    yield b"".join(map(self.recent.__getitem__, words))
                 group, size = [], 0
 
     def decode(self, ids: bytes) -> str:
@@ -129,10 +145,16 @@ class Bpe:
         return raw.decode("utf-8", "replace")
 
 
+@cache
+def tables(path: str) -> Bpe:
+    """One a worker process: what it remembers serves the worker's later tasks."""
+    return Bpe(path)
+
+
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, ids: array<int>) of every document."""
     def run(batches):
-        bpe = Bpe(vocabulary)
+        bpe = tables(vocabulary)
         for texts in batches:
             yield pd.Series([np.frombuffer(x, "<u4").astype(np.int32) for x in bpe.encode_batch(list(texts))])
     return id_text(docs).select("doc_id", _iter_udf(run, "array<int>")("text").alias("ids"))
@@ -141,7 +163,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
 def decode(rows: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids)."""
     def run(batches):
-        bpe = Bpe(vocabulary)
+        bpe = tables(vocabulary)
         for ids in batches:
             yield pd.Series([bpe.decode(np.asarray(x, dtype="<u4").tobytes()) for x in ids])
     return rows.select("doc_id", _iter_udf(run, "string")("ids").alias("text"))
@@ -150,7 +172,7 @@ def decode(rows: DataFrame, vocabulary: str) -> DataFrame:
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded, decoded and digested in one pass."""
     def run(batches):
-        bpe = Bpe(vocabulary)
+        bpe = tables(vocabulary)
         for texts in batches:
             out = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(bpe.decode(x).encode()).hexdigest())
                    for x in bpe.encode_batch(list(texts))]
