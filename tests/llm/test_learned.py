@@ -230,6 +230,17 @@ def test_pii(every, documents, edge, empty):
     assert pii.train(empty).trees is None and pii.find(empty, pii.Model()).count() == 0
 
 
+def test_pii_added_spans(documents):
+    model = pii.train(documents)
+    text = ("Mail me: john.doe (at) example.com or jane[at]site.org, tel 0044 (017) 555-7713, host 10[.]0[.]0[.]1, order 1234567890123, "
+            "on 2024-01-02 10:11:12, ISBN 978-3-16-148410-0, +1 (425) 555-9684")
+    base, every = model.spans(text)
+    found = {text[a:b] for _, a, b in every}
+    assert [text[a:b] for _, a, b in base] == ["+1 (425) 555-9684"]
+    assert {"john.doe (at) example.com", "jane[at]site.org", "0044 (017) 555-7713", "+1 (425) 555-9684"} <= found
+    assert not any(x.startswith(("123", "2024", "978")) for x in found)
+
+
 def test_boosting_learns():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 3))
