@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -50,14 +51,16 @@ def build_session(app: str = "edusignal", master: str | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names shared storage and is respected as is.
-    Only when it is unset (local tests) do we create a scratch folder.
+    The setting names shared storage and is respected as is; without it a
+    cluster is refused.  Only a one-process ``local[...]`` master, whose driver is its
+    executor, gets a scratch folder of its own where the setting is missing.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder (HDFS/object store) on a cluster")
         d = tempfile.mkdtemp(prefix="edusignal-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not spark.sparkContext.getCheckpointDir():  # Spark sets it itself from the setting
+        spark.sparkContext.setCheckpointDir(d)
     return d

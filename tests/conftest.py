@@ -13,9 +13,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from edusignal.session import build_session
-    s = build_session("edusignal-tests", "local[*]", 8)
+    s = build_session("edusignal-tests", "local[*]", 8,
+                      extra={"spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('checkpoints')}"})
     yield s
     s.stop()
 
