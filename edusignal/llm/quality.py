@@ -32,7 +32,7 @@ COMMON = {
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 #: Limits on the distances, and the characters and words from which they hold.
-CHAR_LIMIT, WORD_LIMIT, LEAST_CHARS, LEAST_WORDS = 0.30, 0.32, 200, 100
+CHAR_LIMIT, WORD_LIMIT, LEAST_CHARS, LEAST_WORDS = 0.30, 0.27, 200, 100
 
 
 def let(value: Column, use) -> Column:
