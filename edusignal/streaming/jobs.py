@@ -36,9 +36,19 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
 
 
 def daily_activity_stream(spark: SparkSession, events_dir: str, out_dir: str, name: str = "daily_activity",
-                          late: str = "2 days", files_per_trigger: int = 1) -> None:
-    """Count events per (user, day) with a watermark; append finalized days."""
-    ev = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(events_dir)
+                          late: str = "2 days", files_per_trigger: int | None = None) -> int:
+    """Count events per (user, day) with a watermark; append finalized days.
+
+    One run takes all files that have landed since the last one together, in any
+    order, so the watermark moves between runs only (``files_per_trigger`` splits a
+    run; files should then be in time order).  Returns how many counts (of a user and
+    day within a task) came later than the watermark allows and were left out: 0 means
+    that the output is complete, otherwise :func:`daily_counts` of the log is the way
+    to repair the days."""
+    reader = spark.readStream.schema(EVENT_SCHEMA)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    ev = reader.parquet(events_dir)
     ev = ev.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need a zoned timestamp (UTC session)
     counts = (ev.withWatermark("ts", late)
                 .groupBy(F.window("ts", "1 day").alias("w"), "user_id")
@@ -48,6 +58,7 @@ def daily_activity_stream(spark: SparkSession, events_dir: str, out_dir: str, na
          .option("checkpointLocation", checkpoint_path(spark, name)).option("path", out_dir)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    return sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators)
 
 
 def streamed_with_open_days(spark: SparkSession, events_dir: str, out_dir: str) -> DataFrame:

@@ -124,22 +124,36 @@ def test_versioned_writes_and_export(spark):
     assert rows == ["call", "email"] and out.select("id").distinct().count() == 2
 
 
-def test_streaming_daily_counts_equal_batch(spark):
-    scratch = tempfile.mkdtemp(prefix="edusignal-stream-")
-    ev = spark.read.parquet(f"{SMALL}/events.parquet")
-    src = os.path.join(scratch, "events")
-    # weekly files landed one after another (the file source orders by
-    # modification time) -> several micro-batches in event-time order
+def _weeks(ev, src, weeks):
+    """Weekly event files, landed in the given order."""
     week = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 7)
-    for w in range(6):
+    for w in weeks:
         ev.where(week == w).coalesce(1).write.mode("append").parquet(src)
-    out = os.path.join(scratch, "daily")
-    SJ.daily_activity_stream(spark, src, out, name=f"n2-{os.path.basename(scratch)}")
+
+
+@pytest.mark.parametrize("weeks,step", [((0, 1, 2, 3, 4, 5), 1), ((3, 0, 5, 1, 4, 2), None)])
+def test_streaming_daily_counts_equal_batch(spark, weeks, step):
+    """Ordered files one a trigger, and unordered files in one run, give the batch result."""
+    scratch = tempfile.mkdtemp(prefix="edusignal-stream-")
+    ev = spark.read.parquet(f"{SMALL}/events.parquet")
+    src, out = os.path.join(scratch, "events"), os.path.join(scratch, "daily")
+    _weeks(ev, src, weeks)
+    assert SJ.daily_activity_stream(spark, src, out, name=f"n2-{os.path.basename(scratch)}", files_per_trigger=step) == 0
     streamed = SJ.streamed_with_open_days(spark, src, out)
     batch = ev.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).cast("bigint").alias("events"))
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
 
 
+def test_streaming_reports_what_came_too_late(spark):
+    scratch = tempfile.mkdtemp(prefix="edusignal-stream-")
+    ev = spark.read.parquet(f"{SMALL}/events.parquet")
+    src, out, name = os.path.join(scratch, "events"), os.path.join(scratch, "daily"), f"n2-{os.path.basename(scratch)}"
+    _weeks(ev, src, (2, 3))
+    assert SJ.daily_activity_stream(spark, src, out, name=name) == 0
+    _weeks(ev, src, (0,))
+    assert SJ.daily_activity_stream(spark, src, out, name=name) > 0
+
+
 def test_streaming_payload_upsert(spark, landing):
     base = tempfile.mkdtemp(prefix="edusignal-n1-") + "/grades"
     SJ.payload_stream(spark, landing, base, "grades", name=f"n1-{os.path.basename(base)}")
