@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled
+from .common import sampled, settle
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (5, 6, 7)
@@ -114,7 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, features: int
     """Model from the labelled documents among ``docs``; the bounds are described above."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
     marks = sampled(marks, sample)  # at most about ``sample`` rows of two numbers: safe to broadcast
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(marks), "doc_id")
+    # Read from the documents once, and written: the three passes below read the sample only.
+    rows = settle(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(marks), "doc_id"))
 
     def count(batches):
         for part in batches:
