@@ -107,8 +107,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, per_language: int = 5000) -> Mixture:
-    """Likelihoods from ``docs`` (text, lang, doc_id); rows with a null there are left out."""
-    rows = docs.where("doc_id is not null and lang is not null and text is not null")
+    """Likelihoods from ``docs`` (text, lang, doc_id); rows with a null there teach nothing."""
+    rows = docs.where("doc_id is not null and lang is not null")  # no text is read for the sizes
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not sizes:
         return Mixture({})
