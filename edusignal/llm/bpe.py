@@ -17,7 +17,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import held, id_text
 
 # Fixed value: how byte-level BPE cuts a text before merging.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -145,10 +144,9 @@ class Bpe:
         return raw.decode("utf-8", "replace")
 
 
-@cache
 def tables(path: str) -> Bpe:
-    """One a worker process: what it remembers serves the worker's later tasks."""
-    return Bpe(path)
+    """The worker's tables: what they remember serves its later tasks."""
+    return held(f"merges of {path}", lambda: Bpe(path))
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:

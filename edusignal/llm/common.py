@@ -17,6 +17,18 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """What an operator keeps in a worker process between tasks (remembered words and the like).
+    Only the latest operator's is kept: a worker never holds that of two stages."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def kept_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, hash of text) is in ``keep`` (columns
     ``__id``, ``__h``), with all their columns; of rows that repeat both, one."""

@@ -22,14 +22,13 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, settle, shard_of
+from .common import held, id_text, settle, shard_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words that a worker remembers as recent, and as many again as older.
@@ -77,10 +76,9 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, folded(text).encode("utf-8", "surrogatepass").split()))
 
 
-@cache
 def word_ids(path: str) -> WordIds:
-    """One table a worker process: what it remembers serves the worker's later tasks."""
-    return WordIds(path)
+    """The worker's table: what it remembers serves its later tasks."""
+    return held(f"words of {path}", lambda: WordIds(path))
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

@@ -33,13 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, kept_rows, settle, shard_of
+from .common import attach, held, kept_rows, settle, shard_of
 
 BITS = 64
 #: Fingerprints a block, and variants a bucket (a power of two) at most: bounds on a task's memory.
-BLOCK, BUCKET = 4096, 1 << 23
+BLOCK, BUCKET = 1024, 1 << 22
 #: Hash bits beyond those that count the variants: a chance collision in one of 2**SPARE.
-SPARE = 11
+SPARE = 9
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -110,13 +110,14 @@ def links(prints: DataFrame, distance: int) -> DataFrame:
     n = prints.count()
     variants = max(1, n * len(ball))
     bits = max(24, min(60, math.ceil(math.log2(variants)) + SPARE))
-    top = max(0, math.ceil(math.log2(max(1, variants / (BUCKET / 2)))))
+    top = max(0, math.ceil(math.log2(max(1, variants / BUCKET))))
     rest = bits - top
     blocks = max(1, math.ceil(n / BLOCK))
     # Few bytes but much work a block: a stated number of partitions, which Spark doesn't merge.
     block = prints.select(F.pmod(F.xxhash64("fp", F.lit("block")), F.lit(blocks)).cast("int").alias("block"), "fp").repartition(blocks, "block")
 
     def hashes(fps: pd.Series) -> np.ndarray:
+        held("balls", dict)  # no other stage's memory beside these arrays
         own = fps.to_numpy(np.int64).view(np.uint64)
         return mixed((own[:, None] ^ ball[None, :]).reshape(-1), bits)
 
@@ -129,6 +130,7 @@ def links(prints: DataFrame, distance: int) -> DataFrame:
         return pd.DataFrame(out, columns=["bucket", "block", "data"])
 
     def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        held("balls", dict)
         parts = [unpack(d) for d in rows["data"]]
         all_ = np.concatenate(parts)
         all_.sort()
