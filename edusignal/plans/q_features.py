@@ -38,7 +38,7 @@ _STD_PREP = """
    / NULLIF((mooc_completion_rate IS NOT NULL)::INT + (video_completion_rate IS NOT NULL)::INT
    + (h5p_completion_rate IS NOT NULL)::INT, 0) AS m3"""
 
-ALL_COLS = ("user_id:i course_id:s mooc_completion_rate:d discussion_score:d engagement_score:d "
+ALL_COLS = ("user_id:i course_id:s mooc_completion_rate:d discussion_score:d video_score:d h5p_score:d quiz_score:d engagement_score:d "
             "activity_recency:d activity_consistency:d is_inactive:i is_highly_inactive:i "
             "relative_completion:d is_struggling:i is_at_risk:i completion_consistency:d "
             "discussion_engagement_rate:d has_no_discussion:i video_engagement_rate:d h5p_engagement_rate:d "
@@ -58,7 +58,8 @@ y AS (SELECT x.*,
         discussion_total_interactions / CASE WHEN dmean = 0 THEN 1.0 ELSE dmean END AS discussion_engagement_rate
       FROM x)
 SELECT user_id, course_id, COALESCE(mooc_completion_rate, 0) AS mooc_completion_rate,
-  COALESCE(discussion_score, 0) AS discussion_score, engagement_score,
+  COALESCE(discussion_score, 0) AS discussion_score, ifnull(video_completion_rate, 0) AS video_score,
+  ifnull(h5p_completion_rate, 0) AS h5p_score, ifnull(quiz_avg_score, 0) AS quiz_score, engagement_score,
   COALESCE(activity_recency, 0) AS activity_recency,
   COALESCE((engagement_score + activity_recency) / 2, 0) AS activity_consistency,
   COALESCE(days_since_last_activity > 7, FALSE)::INT AS is_inactive,
@@ -88,7 +89,8 @@ def q_all_features(d):
 
 FB_COLS = ("user_id:i course_id:s engagement_score:d activity_recency:d activity_consistency:d is_inactive:i "
            "is_struggling:i relative_completion:d completion_consistency:d discussion_engagement_rate:d "
-           "interaction_score:d progress_rate:d weeks_remaining:d enrollment_phase:s")
+           "interaction_score:d progress_rate:d weeks_remaining:d enrollment_phase:s is_highly_inactive:i is_at_risk:i "
+           "has_no_discussion:i video_engagement_rate:d h5p_engagement_rate:d")
 
 
 @register("fallback_features", FB_COLS, f"""
@@ -109,7 +111,9 @@ SELECT user_id, course_id, engagement_score, activity_recency,
   mooc_completion_rate / CASE WHEN weeks_since_enrollment = 0 THEN 1.0 ELSE weeks_since_enrollment END
     AS progress_rate,
   CASE WHEN weeks_since_enrollment IS NULL THEN NULL ELSE LEAST(GREATEST(16 - weeks_since_enrollment, 0.0), 16.0) END AS weeks_remaining,
-  'mid' AS enrollment_phase
+  'mid' AS enrollment_phase, ifnull(days_since_last_activity > 14, FALSE)::INT AS is_highly_inactive,
+  ifnull(mooc_completion_rate < 40, FALSE)::INT AS is_at_risk, ifnull(discussion_total_interactions = 0, FALSE)::INT AS has_no_discussion,
+  video_completion_rate / 100 AS video_engagement_rate, h5p_completion_rate / 100 AS h5p_engagement_rate
 FROM x""", "I20")
 def q_fallback(d):
     return FE.fallback_features(features_input(d))
