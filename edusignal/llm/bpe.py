@@ -34,7 +34,7 @@ LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t-
 LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+"
                    rf"|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 #: Words whose ids a worker remembers as recent (as many again as older), and characters of text merged together.
-REMEMBERED, FLAT = 600_000, 4_000_000
+REMEMBERED, FLAT = 200_000, 4_000_000
 DONE = np.iinfo(np.int64).max
 
 
