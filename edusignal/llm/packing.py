@@ -28,13 +28,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_alphabet
 from .common import held, id_text, settle, shard_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words that a worker remembers as recent, and as many again as older.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: ASCII punctuation (no apostrophe) right after a letter: there the tokenizer cuts anyway.
-AFTER_LETTER = re.compile(r"(?<=[a-z])[!-&(-/:-@\[-`{-~]")
+AFTER_LETTER = re.compile(r"(?<=[a-zß-öø-ÿ])[!-&(-/:-@\[-`{-~]")
+#: The byte-level stand-ins of bytes whose own character isn't printable.
+STAND_INS = {b: c for c, b in byte_alphabet().items() if ord(c) != b}
 
 
 def folded(text: str) -> str:
@@ -65,7 +68,12 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            ids = array("I", self.tok.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids).tobytes()
+            shown = word.decode("utf-8", "surrogatepass")
+            if shown.isalpha() and shown.islower() and max(shown) <= "ÿ":  # one piece that needs no normalising
+                own = [t.id for t in self.tok.model.tokenize(word.decode("latin-1").translate(STAND_INS))]
+            else:
+                own = self.tok.encode(shown, add_special_tokens=False).ids
+            ids = array("I", own).tobytes()
         if len(self) >= REMEMBERED:  # words not met for long are forgotten
             self.older = dict(self)
             self.clear()
