@@ -21,6 +21,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expr import DEFAULT_AS_OF
 from ..session import ensure_checkpoint_dir
 from ..sources import payloads as PL
 from ..sources.sinks import list_versions, read_latest, write_version
@@ -90,7 +91,7 @@ _KINDS = {
 
 
 def payload_stream(spark: SparkSession, landing_root: str, table_base: str, kind: str = "grades",
-                   name: str | None = None, as_of: str = "1970-01-01 00:00:00") -> None:
+                   name: str | None = None, as_of: str = DEFAULT_AS_OF) -> None:
     """Upsert newly landed payloads of one kind into the versioned table at ``table_base``.
     Of several payloads of a key in a batch, the one whose file landed last counts."""
     from ..operators.upsert import dedupe_source, upsert
