@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -48,6 +50,23 @@ def build_session(app: str = "edusignal", master: str | None = None,
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application (as ``--py-files`` does),
+    so that Python workers can import it wherever the driver found it."""
+    sc, package = spark.sparkContext, Path(__file__).resolve().parent
+    if sc.applicationId in _SHIPPED or not package.is_dir():
+        return
+    _SHIPPED.add(sc.applicationId)
+    path = Path(tempfile.mkdtemp(prefix="edusignal-code-")) / "edusignal-package.zip"  # Spark's file server hands it out
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(path))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
