@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from ..operators.skew import attach, settle, shard_of, shards  # noqa: F401  (for the operators here)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def id_text(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of every row; a null text counts as empty."""
+    ship_package(docs.sparkSession)
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
@@ -45,6 +48,7 @@ def kept_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
 def sampled(rows: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
     """About ``limit`` rows (all, if there are fewer), chosen by the hash of ``key``:
     the same rows on every run, and no more as the table grows."""
+    ship_package(rows.sparkSession)
     n = rows.count()
     if n <= limit:
         return rows

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 BUCKETS, PENALTY, SMOOTH = 1 << 15, 3.0, 0.1
 #: Overlapping trigrams count each character three times.
 OVERLAP = 3
@@ -108,6 +110,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, per_language: int = 5000) -> Mixture:
     """Likelihoods from ``docs`` (text, lang, doc_id); rows with a null there teach nothing."""
+    ship_package(docs.sparkSession)
     rows = docs.where("doc_id is not null and lang is not null")  # no text is read for the sizes
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not sizes:

@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import attach, held, kept_rows, settle, shard_of
 
 BITS = 64
@@ -195,6 +196,7 @@ def near_groups(docs: DataFrame, shingle: int = 4, distance: int = 4, seed: int
     """One row a document: doc_id, ``__h`` (hash of the text), fp (signed), component_id and
     ``__rep`` (struct of the row that stands for its component)."""
     spark = docs.sparkSession
+    ship_package(spark)
     rows = settle(docs.select("doc_id", F.xxhash64("text").alias("__h"), shard_of(spark, F.col("doc_id")).alias("__shard"),
                               fingerprint_udf(shingle, seed)(F.coalesce(F.col("text"), F.lit(""))).alias("fp")))
     mine = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__h").alias("h"))
