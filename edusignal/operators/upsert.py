@@ -54,4 +54,4 @@ def upsert(target: DataFrame | None, src: DataFrame, keys: list[str], update_col
         else:
             v = F.when(in_t, tv).otherwise(sv)       # matched keeps target; inserted gets source
         out.append(v.alias(c))
-    return j.select(*out)
+    return j.select(*out).select(*target.columns, *[c for c in s_cols if c not in target.columns])
