@@ -1,0 +1,21 @@
+"""K7 and K11 over the whole job: every learner and week on ten folds (the fits replaced by fixed scores)."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from edusignal.operators import models as M
+from edusignal.plans.registry import REGISTRY
+
+from .conftest import SMALL
+
+NAMES = {"ml_compare_learners": {"logistic", "rf", "svm", "gbt"}, "ml_checkpoint_eval": {"gbt"}}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_whole_comparison(spark, duck, monkeypatch, name):
+    fitted = []
+    monkeypatch.setattr(M, "train", lambda df, cat, num, kind, *a, **k: fitted.append(kind))
+    monkeypatch.setattr(M, "score", lambda model, df: df.withColumn("fail_risk_score", F.pmod(F.xxhash64("user_id"), F.lit(101)).cast("double")))
+    got = sorted(map(tuple, REGISTRY[name].run(spark, SMALL).collect()))
+    assert got == sorted(duck.execute(REGISTRY[name].oracle()).fetchall()) and len(got) == 40
+    assert set(fitted) == NAMES[name] and len(fitted) == 40
