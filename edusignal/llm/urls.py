@@ -20,6 +20,8 @@ allowed unless a rule fits; without URLs of either kind nothing is blocked but b
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +94,54 @@ def log_ratios(rows: DataFrame) -> DataFrame:
     return accepted.join(rejected, "g").select("g", F.log(F.col("a") / F.col("r")).alias("x"))
 
 
+def order_statistics(rows: DataFrame, ranks: dict[bool, list[int]], buckets: int = 4096) -> dict[tuple[bool, int], float]:
+    """The value of each (kind, 0-based rank) of ``rows`` (kind boolean, x double without nulls).
+
+    Values are counted by bucket of the range that holds a rank; the bucket with the rank is the next
+    range, until its smallest and largest value are one.  Tasks and driver see ``buckets`` rows a range
+    at most, however many values or repeats there are."""
+    ends = {r["kind"]: (r["lo"], r["hi"]) for r in rows.groupBy("kind").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}  # two rows
+    # (kind, rank): smallest and largest value of the range that holds it, and how many of its kind are below.
+    at, found = {(k, r): (*ends[k], 0) for k, own in ranks.items() for r in own}, {}
+    while True:
+        found |= {key: lo for key, (lo, hi, _) in at.items() if lo == hi}
+        at = {key: a for key, a in at.items() if key not in found}
+        if not at:
+            return found
+        ranges, number = sorted({(k, *a) for (k, _), a in at.items()}), F.lit(None).cast("int")
+        place = F.lit(None).cast("int")
+        for i, (kind, lo, hi, _) in enumerate(ranges):
+            own = (F.col("kind") == kind) & F.col("x").between(lo, hi)
+            part = F.least(F.lit(buckets - 1), F.floor((F.col("x") / 2 - lo / 2) / (hi / 2 - lo / 2) * buckets).cast("int"))
+            number, place = F.when(own, i).otherwise(number), F.when(own, part).otherwise(place)
+        counted = (rows.select(number.alias("i"), place.alias("b"), "x").where("i is not null").groupBy("i", "b")
+                   .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect())
+        by: dict[int, list] = {}
+        for r in sorted(counted, key=lambda r: (r["i"], r["b"])):
+            by.setdefault(r["i"], []).append(r)
+        for (kind, rank), a in list(at.items()):
+            below = a[2]
+            for r in by[ranges.index((kind, *a))]:
+                if rank < below + r["n"]:
+                    at[kind, rank] = (r["lo"], r["hi"], below)
+                    break
+                below += r["n"]
+
+
+def percentiles(rows: DataFrame, shares: dict[bool, float]) -> dict[bool, float]:
+    """The exact percentile of ``x`` for each kind that has rows, between two values as F.percentile has it."""
+    n = {r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()}  # two rows
+    at = {k: (n[k] - 1) * share for k, share in shares.items() if k in n}
+    ranks = {k: sorted({math.floor(p), math.ceil(p)}) for k, p in at.items()}
+    value = order_statistics(rows, ranks) if ranks else {}
+    out = {}
+    for k, p in at.items():
+        low, high = math.floor(p), math.ceil(p)
+        a, b = value[k, low], value[k, high]
+        out[k] = a if a == b else (high - p) * a + (p - low) * b
+    return out
+
+
 def judge(urls: DataFrame, accepted: Column | None = None, rejected: Column | None = None, rules=RULES, margin: float = 0.005) -> DataFrame:
     """``urls`` (page_id, url) with host, path, rule, verdict and score."""
     rule, said = ruled(rules)
@@ -107,11 +157,10 @@ def judge(urls: DataFrame, accepted: Column | None = None, rejected: Column | No
     score = (rows.select("__row", F.explode(grams(F.col("code"))).alias("g")).join(F.broadcast(table), "g")
              .groupBy("__row").agg(F.avg("x").alias("score")))
     scored = settle(rows.drop("code").join(score, "__row", "left"))
-    ends = scored.where("held and accepted is not null").agg(
-        F.percentile(F.when(F.col("accepted"), F.col("score")), F.lit(margin)).alias("low"),
-        F.percentile(F.when(~F.col("accepted"), F.col("score")), F.lit(1 - margin)).alias("high"))
+    ends = percentiles(scored.where("held and accepted is not null and score is not null").select(F.col("accepted").alias("kind"), F.col("score").alias("x")),
+                       {True: margin, False: 1 - margin})
+    low, high = ends.get(True), ends.get(False)
     # Midway if the kinds are apart, else at most ``margin`` of the accepted fall below.
-    cut = ends.select(F.when(F.col("low").isNull() | F.col("high").isNull(), None).when(F.col("high") < F.col("low"), (F.col("low") + F.col("high")) / 2)
-                      .otherwise(F.col("low")).alias("cut"))
-    by_model = F.when(F.col("score") < cut.scalar(), "block").otherwise("allow")
+    cut = None if low is None or high is None else (low + high) / 2 if high < low else low
+    by_model = F.when(F.col("score") < F.lit(cut).cast("double"), "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("__said", by_model).alias("verdict"), "score")
