@@ -6,7 +6,8 @@ after up to three symbols; contexts of variable order: Witten-Bell smoothing pas
 shorter context, entirely so for contexts that were never seen.  The log ratio of the
 models is a table of at most 32**4 rows whatever the input, joined by broadcast.  A URL's
 score is its mean log ratio a symbol; it is rejected below a threshold calibrated on a held-out
-quarter of the training URLs.
+quarter of the training URLs (by md5 of the URL), which never enters the models: they are counts
+of the other three quarters, as the SQL has it, also once the cut is known.
 
 Explicit rules (host, path, verdict) come first: a rule fits its host and all subdomains if
 the path starts with the rule's, and the longest that fits decides.
