@@ -54,3 +54,10 @@ def sampled(rows: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
         return rows
     share = limit / n
     return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def one_a_key(rows: DataFrame, key: str, *rest: str) -> DataFrame:
+    """(key, text, ``rest``) of one row a key, the text with the smallest hash; ``rest`` is the same in all
+    rows of a key.  Repeats go before the shuffle, so no task sees all rows of a key.  64 parts whatever their size."""
+    found = rows.groupBy(key).agg(F.min_by("text", F.xxhash64("text")).alias("text"), *[F.max(c).alias(c) for c in rest])
+    return found.repartition(64)

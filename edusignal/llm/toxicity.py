@@ -3,7 +3,7 @@
 Features of a text are its words and their 5- to 7-letter beginnings, each with the value
 (1 + sqrt(min(1, 50 * count / words))) / 2: half for being there, half for how often.  One more feature counts the words
 with a loud feature (log odds of 3.5 or more, in a hundredth of the toxic documents).  Training uses a bounded sample of labelled documents
-(``sample``, default 8000, by hash of doc_id): the executors count in how many toxic and other
+(``sample``, default 8000, by hash of doc_id; of rows that repeat a doc_id, one): the executors count in how many toxic and other
 documents each feature occurs, the ``features`` (default 4096) that are most associated with toxic ones stay, and the
 sample's sparse rows go to the driver, whose size these two parameters bound.
 
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled, settle
+from .common import one_a_key, sampled, settle
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (5, 6, 7)
@@ -115,7 +115,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, features: int
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
     marks = sampled(marks, sample)  # at most about ``sample`` rows of two numbers: safe to broadcast
     # Read from the documents once, and written: the three passes below read the sample only.
-    rows = settle(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(marks), "doc_id"))
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(marks), "doc_id")
+    rows = settle(one_a_key(rows, "doc_id", "__toxic"))
 
     def count(batches):
         for part in batches:
