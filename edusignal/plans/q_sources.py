@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models as M
 from ..operators import roster as R
+from ..operators.skew import attach, shard_of
 from ..sources import payloads as PL
 from ..sources import sinks as SK
 from .base import AS_OF, register
@@ -73,13 +74,32 @@ def q_a22(d):
 
 # --- A4 / A5 -----------------------------------------------------------------------------------
 
+PART = 100  # items a payload, about
+
+
+def in_parts(rows: DataFrame, item: F.Column, name: str) -> DataFrame:
+    """Per student, payloads of about ``PART`` items each: a student with more has several,
+    by a hash of the row, however large the student's share of the table is."""
+    big = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART)
+    big = big.select(F.struct(*KEYS).alias("_student"), F.ceil(F.col("n") / PART).alias("_parts"))
+    own = F.struct(*rows.columns)
+    dealt = rows.withColumns({"_student": F.struct(*KEYS), "__shard": shard_of(rows.sparkSession, own)})
+    part = F.pmod(F.xxhash64(F.lit("part"), own), F.coalesce("_parts", F.lit(1)))
+    return attach(dealt, big, "_student").groupBy(*KEYS, part.alias("_part")).agg(F.collect_list(item).alias(name))
+
+
 def h5p_payloads(d) -> DataFrame:
-    """One payload per student: the attempts (a student's own) and the stored summary."""
+    """A student's attempts in payloads of about 100."""
     item = F.struct("content_id", "content_title", "score", "max_score", F.col("percentage").cast("double").alias("percentage"), "opened",
                     "finished", F.col("time_spent").alias("time"), "folder_id", "folder_name")
-    by = d.h5p_scores.groupBy(*KEYS).agg(F.collect_list(item).alias("scores"), F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"))
+    return landed(in_parts(d.h5p_scores, item, "scores"), PL.H5P_PAYLOAD, F.struct("scores"), *KEYS)
+
+
+def h5p_totals(d) -> DataFrame:
+    """One payload per student: the stored summary."""
+    by = d.h5p_scores.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"))
     summary = F.struct(F.col("n").alias("total_contents"), F.col("s").alias("total_score"))
-    return landed(by, PL.H5P_PAYLOAD, F.struct("scores", summary.alias("summary")), *KEYS)
+    return landed(by, PL.H5P_PAYLOAD, F.struct(summary.alias("summary")), *KEYS)
 
 
 @register("landed_h5p_attempts",
@@ -95,14 +115,18 @@ def q_a4(d):
 SELECT user_id, course_id, count(*) AS total_contents, 0 AS completed_contents, sum(score) AS total_score, 0.0 AS overall_percentage
 FROM h5p_scores GROUP BY ALL""", "A4")
 def q_a4s(d):
-    return PL.h5p_summaries(h5p_payloads(d))
+    return PL.h5p_summaries(h5p_totals(d))
 
 
 def video_payloads(d) -> DataFrame:
     item = F.struct("content_id", "content_title", F.col("progress_percent").cast("double").alias("progress_percent"), "current_time",
                     "duration", "status", "folder_id", "folder_name")
-    by = d.video_progress.groupBy(*KEYS).agg(F.collect_list(item).alias("video_progress"), F.sum("duration").alias("t"))
-    return landed(by, PL.VIDEO_PAYLOAD, F.struct("video_progress", F.struct(F.col("t").alias("total_duration")).alias("summary")), *KEYS)
+    return landed(in_parts(d.video_progress, item, "video_progress"), PL.VIDEO_PAYLOAD, F.struct("video_progress"), *KEYS)
+
+
+def video_totals(d) -> DataFrame:
+    by = d.video_progress.groupBy(*KEYS).agg(F.sum("duration").alias("t"))
+    return landed(by, PL.VIDEO_PAYLOAD, F.struct(F.struct(F.col("t").alias("total_duration")).alias("summary")), *KEYS)
 
 
 @register("landed_video_positions",
@@ -117,7 +141,7 @@ def q_a5(d):
           "SELECT user_id, course_id, 0 AS total_videos, sum(duration) AS total_duration, 0.0 AS overall_progress "
           "FROM video_progress GROUP BY ALL", "A5")
 def q_a5s(d):
-    return PL.video_summaries(video_payloads(d))
+    return PL.video_summaries(video_totals(d))
 
 
 # --- A6 / A7 -----------------------------------------------------------------------------------
