@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdedup, langid, licenses, packing, pii, quality, simhash, toxicity, urls
+from . import bpe, exactdedup, langid, licenses, packing, pii, prefixtrie, quality, simhash, toxicity, urls
 from .common import table
 
 VOCABULARIES = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -72,9 +72,13 @@ def op10_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations")).drop("tour_at")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mixture_language_id, op2_url_filter, op3_bpe_round_trip, op4_simhash_near_dedup, op5_ordinal_toxicity,
-    op6_exact_dedup, op7_boosted_pii, op8_license_scan, op9_min_slack_packing, op10_divergence_quality)}
+    op6_exact_dedup, op7_boosted_pii, op8_license_scan, op9_min_slack_packing, op10_divergence_quality, op11_conversation_trie)}
 
 UPPER, LOWER = exactdedup.UPPER, exactdedup.UPPER.lower()
 
@@ -158,7 +162,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   round(cd, 6) AS char_distance, round(wd, 6) AS word_distance FROM j"""
 
 
+def trie_oracle() -> str:
+    """op11 in SQL: crc32 bit by bit, rebuilt conversations, prefixes as lists of digests, sums over the nodes below."""
+    return r"""
+WITH RECURSIVE t AS (SELECT conv_id, n, d, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) - 1 AS i
+  FROM (SELECT conv_id, turn, length(ifnull(text, '')) AS n, sha256(length(ifnull(role, '')) || ':' || ifnull(role, '') || ifnull(text, '')) AS d
+        FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(
+    [4294967295] || flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS own, i, n, d FROM c JOIN t ON t.conv_id = c.base AND t.i < c.h
+  UNION ALL SELECT c.conv_id, 1, i, n, d FROM c JOIN t ON t.conv_id = c.conv_id AND t.i >= c.h),
+k AS (SELECT conv_id, n, d, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS depth FROM r),
+p AS (SELECT conv_id, 0::BIGINT AS depth, '' AS key, 0::BIGINT AS n FROM c
+  UNION ALL SELECT k.conv_id, k.depth, sha256(p.key || k.d), k.n FROM p JOIN k ON k.conv_id = p.conv_id AND k.depth = p.depth + 1),
+e AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ended FROM p),
+node AS (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(n) AS saved,
+  sha256(ifnull(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256 FROM e GROUP BY ALL),
+up AS (SELECT x.depth, x.key, y.conv_id AS parent_conv_id FROM node x JOIN e ON e.conv_id = x.conv_id AND e.depth = x.depth - 1
+  JOIN node y ON y.depth = e.depth AND y.key = e.key),
+kids AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM up GROUP BY ALL),
+below AS (SELECT e.depth, e.key, sum(x.saved) AS saved, count(*) FILTER (k.n_children IS NULL) AS leaves
+  FROM node x LEFT JOIN kids k ON k.conv_id = x.conv_id AND k.depth = x.depth JOIN e ON e.conv_id = x.conv_id AND e.depth <= x.depth GROUP BY ALL)
+SELECT n.conv_id, n.depth, parent_conv_id, n_convs, ifnull(n_children, 0) AS n_children, leaves AS n_leaves,
+  CAST(b.saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM node n JOIN below b USING (depth, key) LEFT JOIN up USING (depth, key) LEFT JOIN kids ON kids.conv_id = n.conv_id AND kids.depth = n.depth"""
+
+
 ORACLES = {
+    "op11_conversation_trie": trie_oracle(),
     "op6_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
