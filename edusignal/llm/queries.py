@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdedup, langid, licenses, packing, pii, prefixtrie, quality, simhash, toxicity, urls
+from . import bpe, collocations, exactdedup, langid, licenses, packing, parsing, pii, prefixtrie, quality, simhash, toxicity, urls
 from .common import table
 
 VOCABULARIES = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -76,9 +76,18 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations")).drop("tour_at")
 
 
+def op12_parsed_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mixture_language_id, op2_url_filter, op3_bpe_round_trip, op4_simhash_near_dedup, op5_ordinal_toxicity,
-    op6_exact_dedup, op7_boosted_pii, op8_license_scan, op9_min_slack_packing, op10_divergence_quality, op11_conversation_trie)}
+    op6_exact_dedup, op7_boosted_pii, op8_license_scan, op9_min_slack_packing, op10_divergence_quality, op11_conversation_trie,
+    op12_parsed_fingerprints, op13_phrase_collocations)}
 
 UPPER, LOWER = exactdedup.UPPER, exactdedup.UPPER.lower()
 
@@ -190,7 +199,29 @@ SELECT n.conv_id, n.depth, parent_conv_id, n_convs, ifnull(n_children, 0) AS n_c
 FROM node n JOIN below b USING (depth, key) LEFT JOIN up USING (depth, key) LEFT JOIN kids ON kids.conv_id = n.conv_id AND kids.depth = n.depth"""
 
 
+def collocation_oracle() -> str:
+    """op13 in SQL: every phrase of up to four words, counted; cuts, scores and longer phrases."""
+    return rf"""
+WITH p AS (SELECT ifnull(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(ifnull(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+s AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS n FROM s, (VALUES (1), (2), (3), (4)) v(k)
+  WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND n >= 30),
+inside AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN
+  (SELECT lang, a, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, k)) AS i FROM c), (VALUES (2), (3)) v(m)
+   WHERE m < k AND i + m - 1 <= k) x ON x.lang = c.lang AND x.phrase = c.phrase AND 100::HUGEINT * x.a >= 80::HUGEINT * c.a),
+cut AS (SELECT *, array_to_string(ws[1:j], ' ') AS lp, array_to_string(ws[j + 1:k], ' ') AS rp
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c ANTI JOIN inside USING (lang, phrase))),
+sc AS (SELECT cut.lang, cut.phrase, a, x.n AS l, y.n AS r, CAST(2000000::HUGEINT * a // (x.n + y.n) AS BIGINT) AS score, j
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = lp JOIN f y ON y.lang = cut.lang AND y.phrase = rp),
+low AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM low JOIN (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang) USING (lang) QUALIFY rank <= 2000"""
+
+
 ORACLES = {
+    "op13_phrase_collocations": collocation_oracle(),
     "op11_conversation_trie": trie_oracle(),
     "op6_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
