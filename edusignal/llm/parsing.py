@@ -18,7 +18,9 @@ empty table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +33,8 @@ from .common import id_text, settle
 
 #: Levels of the fingerprint, hashes a level, phrases that a level needs to count.
 LEVELS, KEEP, LEAST = (2, 3, 4), 24, 4
-#: Bytes of text parsed together; copies that one task writes at most.
-FLAT, COPIES = 2_000_000, 1000
+#: Bytes of text parsed together; bytes of text a partition.
+FLAT, PART = 2_000_000, 128 << 20
 
 
 def tossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -154,50 +156,92 @@ def likeness(one: str, other: str) -> float:
 
 
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-
-def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each document against its edited text and the next document, of which ``head`` and ``next`` (fingerprint) are there."""
+ROUTED = "slab int, kind int, none boolean, id long, h binary, packed binary, copies long"
+#: What a routed row is: a document; the next slab's first one, as the next of this slab's last; copies followed by a copy.
+DOCUMENT, NEXT, COPIES = 0, 1, 2
+
+
+def compared(items: list[tuple]) -> pd.DataFrame:
+    """A row for each (id, none, text, next text, times), ``times`` times; items in order share their neighbours' fingerprints."""
+    own, nexts, edited = [], [], []
+    for _, _, text, after, _ in items:
+        cut = len(text) // 3
+        edited.append(text[:len(text) - cut] + after[:cut])
+        own.append(text)
+    for k, (_, _, text, after, _) in enumerate(items):
+        follows = k + 1 < len(items) and items[k + 1][2] is after
+        nexts.append(k + 1 if follows else k if after is text else len(own))
+        if nexts[-1] == len(own):
+            own.append(after)
+    prints, changed = fingerprints(own), fingerprints(edited)
+    made = [(None if none else i, len(text), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), a, b, likeness(a, b), likeness(a, prints[k]))
+            for (i, none, text, _, _), e, a, b, k in zip(items, edited, prints, changed, nexts)]
+    out = pd.DataFrame([row for row, item in zip(made, items) for _ in range(item[4])], columns=EDITED.replace(",", "").split()[::2])
+    return out.astype({"doc_id": "Int64"})
+
+
+def followed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """Items of a partition's routed rows, which come in order: slab, kind, key."""
+    last = None
     for rows in batches:
-        edited = [t[:len(t) - len(t) // 3] + h[:len(t) // 3] for t, h in zip(rows["text"], rows["head"])]
-        prints = fingerprints(edited)
-        yield pd.DataFrame({
-            "doc_id": rows["doc_id"].astype("Int64"), "n_chars": [len(t) for t in rows["text"]],
-            "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
-            "fingerprint": rows["fingerprint"], "edited_fingerprint": prints,
-            "near_edited": [likeness(a, b) for a, b in zip(rows["fingerprint"], prints)],
-            "near_next": [likeness(a, b) for a, b in zip(rows["fingerprint"], rows["next"])]})
+        for slab, kind, none, i, h, packed, copies in zip(*(rows[c] for c in ("slab", "kind", "none", "id", "h", "packed", "copies"))):
+            key = (slab, none, i, h)
+            if kind == DOCUMENT and last and last[0] == key:  # a copy from another batch
+                last[2] += copies
+                continue
+            text = zlib.decompress(packed).decode("utf-8", "surrogatepass")
+            if last:
+                (_, none_, i_, _), before, times = last
+                yield i_, none_, before, text, 1
+                if times > 1:
+                    yield i_, none_, before, before, times - 1
+            if kind == COPIES:
+                yield i, none, text, text, copies
+            last = [key, text, copies] if kind == DOCUMENT else None
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document."""
-    @F.pandas_udf("string")
-    def fingerprint(text: pd.Series) -> pd.Series:
-        return pd.Series(fingerprints(text.tolist()))
-
-    texts = id_text(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    marked = texts.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("__id"),
-                          F.unhex(F.md5(F.concat(F.when(F.col("doc_id").isNull(), "-").otherwise("+"), "text"))).alias("__h"))
-    key = ["__id", "__h"]
-    # The order, from ids and digests alone: which document's head goes where, and how much of it.
-    light = marked.groupBy(*key).agg(F.max("doc_id").alias("doc_id"), F.max(F.length("text")).alias("n"))
-    order = settle(with_position(light.orderBy(F.col("doc_id").desc_nulls_last(), "__h"), "pos"))
-    total = order.count()
-    to = order.select((F.col("pos") % max(total, 1) + 1).alias("pos"), F.col("__id").alias("__to_id"), F.col("__h").alias("__to_h"),
-                      F.floor(F.col("n") / 3).cast("int").alias("__take"))
-    sent = order.join(to, "pos").select(*key, "__to_id", "__to_h", "__take")
-    # Texts travel once, a third of them (the heads) once more; fingerprints are made before, once a row.
-    own = (marked.withColumn("fingerprint", fingerprint("text"))
-           .groupBy(*key).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"),
-                              F.first("fingerprint").alias("fingerprint"), F.count(F.lit(1)).alias("copies")))
-    heads = own.join(sent, key).select(F.col("__to_id").alias("__id"), F.col("__to_h").alias("__h"),
-                                       F.expr("left(text, __take)").alias("head"), F.col("fingerprint").alias("next"))
-    last = own.join(heads, key).select("doc_id", "text", "fingerprint", "head", "next").mapInPandas(compared, EDITED)
-    again = (own.where("copies > 1").select("doc_id", "text", "fingerprint", F.col("text").alias("head"), F.col("fingerprint").alias("next"), "copies"))
-    extra = F.struct(*[F.col(c) for c in ("doc_id", "text", "fingerprint", "head", "next")])
-    spread = (again.select(extra.alias("r"), (F.col("copies") - 1).alias("n"))
-              .withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))))
-              .select("r", "k", F.least(F.col("n") - F.col("k") * COPIES, F.lit(COPIES)).alias("n"))
-              .repartition(F.xxhash64("r.doc_id", "r.fingerprint", "k")))
-    others = spread.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("r.*").mapInPandas(compared, EDITED)
-    return last.unionByName(others)
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document.
+
+    Ids and digests alone are sorted first; every so many of them a slab begins, and the driver sees the first key of each slab.
+    Then each text travels once, compressed, to its slab, and a slab's first one to the slab before as well."""
+    spark = docs.sparkSession
+    doc_id = F.col("doc_id").cast("long")
+    rows = id_text(docs).select(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.unhex(F.md5("text")).alias("h"), "text")
+    order = [F.col("none"), F.col("id").desc(), F.col("h")]
+    light = rows.groupBy("none", "id", "h").agg(F.sum(F.octet_length("text")).alias("size"))
+    keys = settle(with_position(light.orderBy(*order), "pos"))
+    total, size = keys.agg(F.count(F.lit(1)), F.sum("size")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size or 0) // PART)
+    apart = -(-total // (4 * parts)) or 1
+    first = [(r["none"], -r["id"], bytes(r["h"])) for r in keys.where((F.col("pos") - 1) % apart == 0).orderBy("pos").collect()]  # a row a slab
+
+    def route(batches):
+        starts = {key: k for k, key in enumerate(first)}
+        for at, got in enumerate(batches):
+            found = {}
+            for none, i, h, text in zip(got["none"], got["id"], got["h"], got["text"]):
+                found.setdefault((none, -i, bytes(h)), [0, text])[0] += 1
+            out = []
+            for key, (n, text) in found.items():
+                packed = zlib.compress(text.encode("utf-8", "surrogatepass"), 1)
+                one = (key[0], -key[1], key[2], packed)
+                out.append((bisect.bisect_right(first, key) - 1, DOCUMENT, *one, 1))
+                if key in starts:
+                    out.append(((starts[key] - 1) % len(first), NEXT, *one, 0))
+                if n > 1:  # copies go anywhere
+                    out.append(((zlib.crc32(key[2]) + at) % len(first), COPIES, *one, n - 1))
+            yield pd.DataFrame(out, columns=["slab", "kind", "none", "id", "h", "packed", "copies"])
+
+    def compare(batches):
+        items, size = [], 0
+        for item in followed(batches):
+            items.append(item)
+            size += len(item[2])
+            if size >= FLAT or len(items) >= 5000 or item[4] > 1:
+                yield compared(items)
+                items, size = [], 0
+        yield compared(items)
+
+    routed = rows.mapInPandas(route, ROUTED).repartition(parts, "slab")
+    return routed.sortWithinPartitions("slab", "kind", *order).mapInPandas(compare, EDITED)

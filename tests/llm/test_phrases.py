@@ -114,7 +114,7 @@ def test_trie_holds_its_phrases_only(rows, seed):
 def pairs(rows):
     """(text, next text) by falling doc_id, null last, then the digest."""
     def key(r):
-        return (r[0] is None, -(r[0] or 0), hashlib.md5((("-" if r[0] is None else "+") + r[1]).encode()).digest())
+        return (r[0] is None, -(r[0] or 0), hashlib.md5(r[1].encode()).digest())
     rows = sorted(rows, key=key)
     return [(i, t, rows[(k + 1) % len(rows)][1]) for k, (i, t) in enumerate(rows)]
 
