@@ -52,6 +52,28 @@ def positions(df: DataFrame, group: list[str], key_col: str, bucket: F.Column,
                  .drop("_bkt", "_local", "_off"))
 
 
+def prefix_sums(df: DataFrame, group: list[str], key_col: str, bucket: F.Column, values: dict[str, F.Column],
+                tie_cols: list[str] | None = None) -> DataFrame:
+    """Add ``<name>_before`` and ``<name>_total`` per value: its sum over the rows of the ``group`` before the row (by
+    ``key_col``, then ``tie_cols``), and over all of them, with no group in one task (see above)."""
+    b = df.withColumns({"_bkt": bucket, **{f"_{name}": v for name, v in values.items()}})
+    sums = b.groupBy(*group, "_bkt").agg(*[F.sum(f"_{name}").alias(f"_{name}_b") for name in values])
+    wg = Window.partitionBy(*group).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    wt = Window.partitionBy(*group)
+    offsets = sums.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_bkt").alias("_gb"),
+                          *[F.coalesce(F.sum(f"_{name}_b").over(wg), F.lit(0)).alias(f"_{name}_off") for name in values],
+                          *[F.sum(f"_{name}_b").over(wt).alias(f"{name}_total") for name in values])
+    wi = (Window.partitionBy(*group, "_bkt").orderBy(F.col(key_col), *[F.col(c) for c in (tie_cols or [])])
+          .rowsBetween(Window.unboundedPreceding, -1))
+    local = b.withColumns({f"_{name}_in": F.coalesce(F.sum(f"_{name}").over(wi), F.lit(0)) for name in values})
+    same = F.col("_bkt") == F.col("_gb")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    out = local.join(offsets, same)
+    return (out.withColumns({f"{name}_before": F.col(f"_{name}_off") + F.col(f"_{name}_in") for name in values})
+            .drop("_bkt", "_gb", *[f"_g{i}" for i in range(len(group))], *[f"_{n}{x}" for n in values for x in ("", "_in", "_off")]))
+
+
 def with_position(ordered: DataFrame, out: str = "position") -> DataFrame:
     """``ordered`` (the result of an ``orderBy``) with each row's 1-based place in it.
 
