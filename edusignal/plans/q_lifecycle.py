@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.expr import as_of_lit
 from ..operators import predictions as P
 from ..operators.upsert import upsert
+from ..session import ensure_checkpoint_dir
+from ..sources.buckets import read_buckets, upsert_buckets
 from .base import AS_OF, register
 
 KEYS = ["user_id", "course_id"]
@@ -28,7 +32,7 @@ def _refetched_progress(d):
         ((k * 53) % 101).cast("decimal(5,2)").alias("completion_rate"), "last_activity")
 
 
-@register("upsert_progress", UPSERT_COLS, """
+_UPSERT_SQL = """
 SELECT COALESCE(t.user_id, s.user_id) AS user_id, COALESCE(t.course_id, s.course_id) AS course_id,
   t.total_blocks, t.completed_blocks, t.progress_percent,
   CASE WHEN s.user_id IS NOT NULL THEN s.completion_rate ELSE t.completion_rate END AS completion_rate,
@@ -39,11 +43,23 @@ FULL OUTER JOIN (
          CAST((c.c_custkey * 53) % 101 AS DECIMAL(5,2)) AS completion_rate, m.last_activity
   FROM customer c LEFT JOIN (SELECT o_custkey, MAX(o_orderdate) AS last_activity FROM orders GROUP BY 1) m
     ON c.c_custkey = m.o_custkey) s
-ON t.user_id = s.user_id AND t.course_id = s.course_id""", "A17 Q11")
+ON t.user_id = s.user_id AND t.course_id = s.course_id"""
+
+
+@register("upsert_progress", UPSERT_COLS, _UPSERT_SQL, "A17 Q11")
 def q_upsert(d):
     return upsert(d.mooc_progress, _refetched_progress(d), KEYS, ["completion_rate", "last_activity"], "last_activity")
 
 
+@register("upsert_progress_buckets", UPSERT_COLS, _UPSERT_SQL, "A17 N1 in hash buckets, read back from storage")
+def q_upsert_buckets(d):
+    """The same upsert into a bucketed table: two writes, one manifest each, then a scan of the files it names."""
+    base = f"{ensure_checkpoint_dir(d.spark).rstrip('/')}/tables/{uuid.uuid4()}"
+    upsert_buckets(d.spark, base, d.mooc_progress, KEYS, "last_activity")
+    upsert_buckets(d.spark, base, _refetched_progress(d), KEYS, "last_activity", update_cols=["completion_rate", "last_activity"])
+    return read_buckets(d.spark, base)
+
+
 @register("upsert_progress_repeated", UPSERT_COLS, """
 WITH fetched AS (
   SELECT o.o_custkey AS user_id, c.c_mktsegment AS course_id, o.o_orderdate AS last_activity,

@@ -139,9 +139,9 @@ def read_course_info(spark: SparkSession, root: str) -> DataFrame:
     return course_info_rows(_read(spark, root, "course_info", COURSE_INFO))
 
 
-def course_info_rows(df: DataFrame) -> DataFrame:
+def course_info_rows(df: DataFrame, *keep: str) -> DataFrame:
     """A3 source: name, start and end from successful course payloads."""
-    return df.where(F.col("success")).select("course_id", F.col("data.display_name").alias("course_name"),
+    return df.where(F.col("success")).select("course_id", *keep, F.col("data.display_name").alias("course_name"),
                      parse_ts("data.start").alias("course_start"), parse_ts("data.end").alias("course_end"))
 
 
@@ -172,11 +172,11 @@ def flatten_h5p(spark: SparkSession, root: str, fetched_at: str) -> tuple[DataFr
     return h5p_attempts(df, fetched_at), h5p_summaries(df)
 
 
-def h5p_attempts(df: DataFrame, fetched_at: str) -> DataFrame:
+def h5p_attempts(df: DataFrame, fetched_at: str, *keep: str) -> DataFrame:
     """A4: one row per attempt of each user's payload (``time`` -> ``time_spent``)."""
-    ex = df.select("course_id", "user_id", F.explode(F.coalesce("scores", F.array())).alias("s"))
+    ex = df.select("course_id", "user_id", *keep, F.explode(F.coalesce("scores", F.array())).alias("s"))
     return ex.where(F.col("s").isNotNull()).select(
-        "user_id", "course_id", F.col("s.content_id").alias("content_id"),
+        "user_id", "course_id", *keep, F.col("s.content_id").alias("content_id"),
         F.col("s.content_title").alias("content_title"),
         _z("s.score").alias("score"), _z("s.max_score").alias("max_score"),
         F.coalesce(F.col("s.percentage"), F.lit(0.0)).cast("decimal(5,2)").alias("percentage"),
@@ -208,11 +208,11 @@ def flatten_video(spark: SparkSession, root: str, fetched_at: str) -> tuple[Data
     return video_positions(df, fetched_at), video_summaries(df)
 
 
-def video_positions(df: DataFrame, fetched_at: str) -> DataFrame:
+def video_positions(df: DataFrame, fetched_at: str, *keep: str) -> DataFrame:
     """A5: one row per video of each user's payload."""
-    ex = df.select("course_id", "user_id", F.explode(F.coalesce("video_progress", F.array())).alias("v"))
+    ex = df.select("course_id", "user_id", *keep, F.explode(F.coalesce("video_progress", F.array())).alias("v"))
     return ex.where(F.col("v").isNotNull()).select(
-        "user_id", "course_id", F.col("v.content_id").alias("content_id"),
+        "user_id", "course_id", *keep, F.col("v.content_id").alias("content_id"),
         F.col("v.content_title").alias("content_title"),
         F.coalesce(F.col("v.progress_percent"), F.lit(0.0)).cast("decimal(5,2)").alias("progress_percent"),
         _z("v.current_time").alias("current_time"), _z("v.duration").alias("duration"),
@@ -279,10 +279,10 @@ def flatten_dashboard(spark: SparkSession, root: str) -> DataFrame:
     return dashboard_rows(_per_user(spark, root, "dashboard", DASHBOARD))
 
 
-def dashboard_rows(df: DataFrame) -> DataFrame:
+def dashboard_rows(df: DataFrame, *keep: str) -> DataFrame:
     """The older dashboard payload -> the same table."""
     return df.select(
-        "user_id", "course_id", _z("overview.overall_completion", "double").alias("overall_completion"),
+        "user_id", "course_id", *keep, _z("overview.overall_completion", "double").alias("overall_completion"),
         _z("overview.total_items").alias("total_items"), _z("overview.completed_items").alias("completed_items"),
         _z("overview.items_to_complete").alias("items_to_complete"),
         _z("h5p_stats.total_contents").alias("h5p_total_contents"),
@@ -372,6 +372,9 @@ STATS_ASMT = _struct(success=B, summary=_struct(avg_score=D, unique_students=L,
 STATS_PROG = _struct(success=B, summary=_struct(avg_progress=D, completion_rate=D, total_students=L))
 
 
+STATS = {"stats_activity": STATS_ACT, "stats_assessment": STATS_ASMT, "stats_progress": STATS_PROG}
+
+
 def benchmarks_from_stats(spark: SparkSession, root: str) -> DataFrame:
     return stats_benchmarks(_read(spark, root, "stats_activity", STATS_ACT),
                             _read(spark, root, "stats_assessment", STATS_ASMT),

@@ -1,10 +1,10 @@
 """Structured Streaming re-aims (survey N1, N2).  The reference has no
 streaming; these are the two streams a Spark user of it would run.
 
-N1  landed JSON payload files -> a keyed table, processed incrementally
+N1  landed JSON payload files of every kind -> a keyed table, processed incrementally
     with ``Trigger.AvailableNow`` and ``foreachBatch``: each micro-batch is
-    flattened, upserted (A17) into the latest version and committed as a
-    new version (readers never see a half-written table).
+    flattened, upserted (A17) into the buckets that its keys touch and committed with
+    its number (readers never see a half-written table, a replayed batch is skipped).
 N2  daily activity counts per user from the event log with a 2-day
     watermark for late events; finalized days are appended to parquet.  The
     result equals the batch pre-aggregate
@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import DEFAULT_AS_OF
+from ..operators.upsert import dedupe_source
 from ..session import ensure_checkpoint_dir
 from ..sources import payloads as PL
-from ..sources.sinks import list_versions, read_latest, write_version
+from ..sources.buckets import upsert_buckets
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -78,41 +79,59 @@ def streamed_with_open_days(spark: SparkSession, events_dir: str, out_dir: str)
 # --- N1 ------------------------------------------------------------------------------
 
 _BY = "_landed"  # when the payload's file landed, carried beside the rows
-# kind -> (payload schema, rows of a batch of payloads with course_id, user_id / _file and _landed)
+_STUDENT = ["user_id", "course_id"]
+_WHOLE = None  # no key: a row equal in all fields but its fetch time is the same row
+
+
+def _payload_rows(schema):
+    """Course-level payloads as they are (A11 reads its benchmarks from them)."""
+    return lambda df, at: df.select("course_id", *schema.fieldNames(), _BY)
+
+
+# table -> (folder of the payloads, payload schema, rows of a batch with course_id, user_id / _file and _landed, key)
 _KINDS = {
-    "enrollments": (PL.ENROLL_PAGE, lambda df, at: PL.flatten_enrollments(PL.enrollment_items(df, _BY), at, _BY)),
-    "h5p": (PL.H5P_PAYLOAD, lambda df, at: PL.h5p_summaries(df, _BY)),
-    "video": (PL.VIDEO_PAYLOAD, lambda df, at: PL.video_summaries(df, _BY)),
-    "combined": (PL.COMBINED, lambda df, at: PL.combined_rows(df, _BY)),
-    "grades": (PL.GRADES, lambda df, at: PL.grades_rows(PL.students_of(df, _BY), _BY)),
-    "progress": (PL.PROGRESS, lambda df, at: PL.progress_rows(PL.students_of(df, _BY), _BY)),
-    "discussions": (PL.DISCUSSIONS, lambda df, at: PL.discussion_rows(PL.students_of(df, _BY), _BY)),
+    "enrollments": ("enrollments", PL.ENROLL_PAGE, lambda df, at: PL.flatten_enrollments(PL.enrollment_items(df, _BY), at, _BY),
+                    ["enrollment_id", "course_id", "user_id", "username"]),
+    "course_info": ("course_info", PL.COURSE_INFO, lambda df, at: PL.course_info_rows(df, _BY), ["course_id"]),
+    "h5p": ("h5p", PL.H5P_PAYLOAD, lambda df, at: PL.h5p_summaries(df, _BY), _STUDENT),
+    "h5p_attempts": ("h5p", PL.H5P_PAYLOAD, lambda df, at: PL.h5p_attempts(df, at, _BY), _WHOLE),
+    "video": ("video", PL.VIDEO_PAYLOAD, lambda df, at: PL.video_summaries(df, _BY), _STUDENT),
+    "video_positions": ("video", PL.VIDEO_PAYLOAD, lambda df, at: PL.video_positions(df, at, _BY), _WHOLE),
+    "combined": ("combined", PL.COMBINED, lambda df, at: PL.combined_rows(df, _BY), _STUDENT),
+    "dashboard": ("dashboard", PL.DASHBOARD, lambda df, at: PL.dashboard_rows(df, _BY), _STUDENT),
+    "grades": ("grades", PL.GRADES, lambda df, at: PL.grades_rows(PL.students_of(df, _BY), _BY), _STUDENT),
+    "progress": ("progress", PL.PROGRESS, lambda df, at: PL.progress_rows(PL.students_of(df, _BY), _BY), _STUDENT),
+    "discussions": ("discussions", PL.DISCUSSIONS, lambda df, at: PL.discussion_rows(PL.students_of(df, _BY), _BY), _STUDENT),
+    **{kind: (kind, PL.STATS[kind], _payload_rows(PL.STATS[kind]), ["course_id"]) for kind in PL.STATS},
 }
 
 
 def payload_stream(spark: SparkSession, landing_root: str, table_base: str, kind: str = "grades",
-                   name: str | None = None, as_of: str = DEFAULT_AS_OF) -> None:
-    """Upsert newly landed payloads of one kind into the versioned table at ``table_base``.
-    Of several payloads of a key in a batch, the one whose file landed last counts."""
-    from ..operators.upsert import dedupe_source, upsert
-
-    schema, rows_of = _KINDS[kind]
+                   name: str | None = None, as_of: str = DEFAULT_AS_OF, committed=None) -> None:
+    """Upsert newly landed payloads of one kind into the bucketed table at ``table_base`` (:mod:`..sources.buckets`).
+
+    Of several payloads of a key in a batch, the one whose file landed last counts.  A batch rewrites the buckets of its own
+    keys and is committed with its number: one that is replayed after a crash is skipped.  ``committed`` is
+    called with the batch number after each commit."""
+    folder, schema, rows_of, keys = _KINDS[kind]
+    name = name or f"payload_{kind}"
     path = F.col("_metadata.file_path")
     src = (spark.readStream.schema(schema).option("multiLine", True)
-           .json(f"{landing_root.rstrip('/')}/*/{kind}/*.json")
-           .select("*", F.regexp_extract(path, rf"/([^/]+)/{kind}/[^/]+$", 1).alias("course_id"),
+           .json(f"{landing_root.rstrip('/')}/*/{folder}/*.json")
+           .select("*", F.regexp_extract(path, rf"/([^/]+)/{folder}/[^/]+$", 1).alias("course_id"),
                    F.regexp_extract(path, r"/([^/]+)\.json$", 1).alias("_file"),
                    F.col("_metadata.file_modification_time").alias(_BY)))
-    keys = ["enrollment_id", "course_id", "user_id", "username"] if kind == "enrollments" else ["user_id", "course_id"]
 
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
         payloads = batch.withColumn("user_id", F.col("_file").try_cast("bigint"))
-        rows = dedupe_source(rows_of(payloads, as_of), keys, _BY).drop(_BY)
-        updated = [c for c in rows.columns if c not in keys]
-        table = read_latest(session, table_base) if list_versions(session, table_base) else None
-        write_version(upsert(table, rows, keys, updated, updated), table_base)
+        rows = rows_of(payloads, as_of)
+        key = keys or [c for c in rows.columns if c not in ("fetched_at", _BY)]
+        latest = dedupe_source(rows, key, _BY).drop(_BY)
+        rest = [c for c in latest.columns if c not in key] or key[:1]
+        upsert_buckets(batch.sparkSession, table_base, latest, key, rest, batch=(name, batch_id))
+        if committed:
+            committed(batch_id)
 
     (src.writeStream.foreachBatch(upsert_batch)
-        .option("checkpointLocation", checkpoint_path(spark, name or f"payload_{kind}"))
+        .option("checkpointLocation", checkpoint_path(spark, name))
         .trigger(availableNow=True).start().awaitTermination())

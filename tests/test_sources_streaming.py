@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from edusignal.operators.events import daily_counts
 from edusignal.sources import payloads as PL
+from edusignal.sources import buckets as BK
 from edusignal.sources import sinks as SK
+from edusignal.sources.buckets import manifest, read_buckets, upsert_buckets
 from edusignal.streaming import jobs as SJ
 
 from .conftest import SMALL
@@ -154,18 +156,34 @@ def test_streaming_reports_what_came_too_late(spark):
     assert SJ.daily_activity_stream(spark, src, out, name=name) > 0
 
 
+def _stream(spark, landing, kind, **k):
+    base = tempfile.mkdtemp(prefix="edusignal-n1-") + f"/{kind}"
+    name = f"n1-{os.path.basename(os.path.dirname(base))}"
+    SJ.payload_stream(spark, landing, base, kind, name=name, **k)
+    return base, name
+
+
 def test_streaming_payload_upsert(spark, landing):
-    base = tempfile.mkdtemp(prefix="edusignal-n1-") + "/grades"
-    SJ.payload_stream(spark, landing, base, "grades", name=f"n1-{os.path.basename(base)}")
-    t = {r.user_id: r for r in SK.read_latest(spark, base).collect()}
+    base, _ = _stream(spark, landing, "grades")
+    t = {r.user_id: r for r in read_buckets(spark, base).collect()}
     assert set(t) == {1, 2} and t[1].letter_grade == "Pass"
 
 
-@pytest.mark.parametrize("kind,n", [("enrollments", 5), ("h5p", 1), ("video", 1), ("combined", 1), ("progress", 1), ("discussions", 1)])
+@pytest.mark.parametrize("kind,n", [("enrollments", 5), ("h5p", 1), ("h5p_attempts", 1), ("video", 1), ("video_positions", 1), ("combined", 1),
+                                    ("dashboard", 2), ("progress", 1), ("discussions", 1), ("course_info", 1),
+                                    ("stats_activity", 1), ("stats_assessment", 1), ("stats_progress", 1)])
 def test_streaming_payloads_of_every_kind(spark, landing, kind, n):
-    base = tempfile.mkdtemp(prefix="edusignal-n1-") + f"/{kind}"
-    SJ.payload_stream(spark, landing, base, kind, name=f"n1-{os.path.basename(os.path.dirname(base))}")
-    assert SK.read_latest(spark, base).count() == n
+    base, _ = _stream(spark, landing, kind)
+    assert read_buckets(spark, base).count() == n
+
+
+def test_streamed_tables_are_the_batch_tables(spark, landing):
+    """Attempts, positions and the benchmarks made from streamed statistics equal what a batch reads."""
+    detail, _ = PL.flatten_h5p(spark, landing, ASOF)
+    got = read_buckets(spark, _stream(spark, landing, "h5p_attempts", as_of=ASOF)[0]).select(detail.columns)
+    assert got.exceptAll(detail).count() == 0 and detail.exceptAll(got).count() == 0
+    stats = [read_buckets(spark, _stream(spark, landing, k)[0]) for k in ("stats_activity", "stats_assessment", "stats_progress")]
+    assert PL.stats_benchmarks(*stats).collect() == PL.benchmarks_from_stats(spark, landing).collect()
 
 
 def test_streaming_payload_landed_last_counts(spark):
@@ -173,9 +191,64 @@ def test_streaming_payload_landed_last_counts(spark):
     for k, grade in enumerate((10, 90)):
         _put(root, "A", "grades", f"g{k}", {"students": [{"user_id": 1, "grade_percentage": grade}]})
         os.utime(os.path.join(root, "A", "grades", f"g{k}.json"), (1_000_000 + 100 * k,) * 2)
-    base = tempfile.mkdtemp(prefix="edusignal-n1-") + "/grades"
-    SJ.payload_stream(spark, root, base, "grades", name=f"n1-{os.path.basename(os.path.dirname(base))}")
-    assert [float(r.grade_percentage) for r in SK.read_latest(spark, base).collect()] == [90.0]
+    base, _ = _stream(spark, root, "grades")
+    assert [float(r.grade_percentage) for r in read_buckets(spark, base).collect()] == [90.0]
+
+
+def test_a_batch_killed_after_its_commit_is_not_applied_twice(spark):
+    root = tempfile.mkdtemp(prefix="edusignal-landing-")
+    _put(root, "A", "h5p", "1", {"scores": [{"content_id": 5, "score": 4, "max_score": 5}]})
+    base = tempfile.mkdtemp(prefix="edusignal-n1-") + "/attempts"
+    name = f"n1-{os.path.basename(os.path.dirname(base))}"
+
+    def die(batch_id):
+        raise RuntimeError("killed")
+    with pytest.raises(Exception, match="killed"):
+        SJ.payload_stream(spark, root, base, "h5p_attempts", name=name, committed=die)
+    before = manifest(spark, base)
+    assert before["version"] == 1 and before["batches"] == {name: 0}
+    SJ.payload_stream(spark, root, base, "h5p_attempts", name=name)  # replays batch 0
+    assert manifest(spark, base) == before and read_buckets(spark, base).count() == 1
+    _put(root, "A", "h5p", "2", {"scores": [{"content_id": 6, "score": 4, "max_score": 5}]})
+    SJ.payload_stream(spark, root, base, "h5p_attempts", name=name)
+    assert manifest(spark, base)["batches"][name] == 1 and read_buckets(spark, base).count() == 2
+
+
+# --- bucketed tables
+
+def _grades(spark, rows):
+    return spark.createDataFrame(rows, "user_id long, course_id string, grade double, at int")
+
+
+def test_an_upsert_leaves_other_buckets_alone(spark):
+    base = tempfile.mkdtemp(prefix="edusignal-buckets-") + "/t"
+    first = upsert_buckets(spark, base, _grades(spark, [(i, "A", 1.0, 0) for i in range(500)]), ["user_id", "course_id"], "at", buckets=16)
+    second = upsert_buckets(spark, base, _grades(spark, [(7, "A", 9.0, 1), (7, "A", 8.0, 0), (1000, None, 2.0, 1)]), ["user_id", "course_id"], "at")
+    kept = [b for b in first["files"] if first["files"][b] == second["files"].get(b)]
+    assert second["version"] == 2 and second["buckets"] == 16 and 13 <= len(kept) <= 15
+    got = {(r["user_id"], r["course_id"]): r["grade"] for r in read_buckets(spark, base).collect()}
+    assert len(got) == 501 and got[7, "A"] == 9.0 and got[8, "A"] == 1.0 and got[1000, None] == 2.0
+    assert upsert_buckets(spark, base, _grades(spark, []), ["user_id", "course_id"], "at") == second
+
+
+def test_of_two_writers_one_fails_cleanly(spark, monkeypatch):
+    base = tempfile.mkdtemp(prefix="edusignal-buckets-") + "/t"
+    keys = ["user_id", "course_id"]
+    upsert_buckets(spark, base, _grades(spark, [(1, "A", 1.0, 0)]), keys, "at")
+    real, turn = BK._commit, []
+
+    def late(*args):
+        if not turn:  # another writer commits while this one is about to
+            turn.append(1)
+            upsert_buckets(spark, base, _grades(spark, [(2, "A", 2.0, 0)]), keys, "at")
+        real(*args)
+    monkeypatch.setattr(BK, "_commit", late)
+    with pytest.raises(BK.VersionTaken):
+        upsert_buckets(spark, base, _grades(spark, [(1, "A", 5.0, 0)]), keys, "at")
+    assert sorted((r["user_id"], r["grade"]) for r in read_buckets(spark, base).collect()) == [(1, 1.0), (2, 2.0)]
+    assert manifest(spark, base)["version"] == 2
+    upsert_buckets(spark, base, _grades(spark, [(1, "A", 5.0, 0)]), keys, "at")  # tried again, it goes through
+    assert sorted((r["user_id"], r["grade"]) for r in read_buckets(spark, base).collect()) == [(1, 5.0), (2, 2.0)]
 
 
 def test_export_names_of_long_courses_differ():
