@@ -58,14 +58,19 @@ def completion_filter(df: DataFrame, mode: str = "not_completed",
     return df
 
 
+#: Names compare as in the application's database: case, accents and trailing blanks don't count.
+NAME_COLLATION = "UNICODE_CI_AI"
+
+
 def search(df: DataFrame, q: str | None) -> DataFrame:
-    """Lower-cased substring on name or e-mail, or substring of the id."""
+    """Substring of name or e-mail, blind to case and accents (Q12), or substring of the id."""
     if not q:
         return df
-    ql = q.lower()
-    return df.where(F.lower(F.coalesce(F.col("full_name"), F.lit(""))).contains(ql)
-                    | F.lower(F.coalesce(F.col("email"), F.lit(""))).contains(ql)
-                    | F.col("user_id").cast("string").contains(q))
+    wanted = F.collate(F.lit(q), NAME_COLLATION)
+
+    def has(c):
+        return F.contains(F.collate(F.coalesce(F.col(c), F.lit("")), NAME_COLLATION), wanted)
+    return df.where(has("full_name") | has("email") | F.col("user_id").cast("string").contains(q))
 
 
 def by_unit(df: DataFrame, department: str | None = None, class_code: str | None = None) -> DataFrame:
@@ -79,8 +84,11 @@ def by_unit(df: DataFrame, department: str | None = None, class_code: str | None
 
 def sort_roster(df: DataFrame, by: str = "risk_score", order: str = "desc") -> DataFrame:
     """Whitelisted key, fallback risk/desc; NULL first ascending and
-    last descending (MySQL's order), ``user_id`` as the tie-break (Q20)."""
+    last descending (MySQL's order), ``user_id`` as the tie-break (Q20).  Names are
+    ordered blind to case, accents and trailing blanks (Q12)."""
     c = F.col(SORT_COLUMNS.get(by, SORT_COLUMNS["risk_score"]))
+    if by == "name":
+        c = F.collate(c, f"{NAME_COLLATION}_RTRIM")
     o = c.desc_nulls_last() if order.lower() != "asc" else c.asc_nulls_first()
     return df.orderBy(o, F.col("course_id"), F.col("user_id"))
 

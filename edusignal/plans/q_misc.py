@@ -135,6 +135,35 @@ _roster_order("risk_score", "desc", "raw_risk_score DESC NULLS LAST")
 _roster_order("last_activity", "asc", "days_since_last_activity ASC NULLS FIRST")
 
 
+# Names with accents, mixed case and trailing blanks in place of the fixture's plain ones.
+_NAMES = ["Nguyễn Ánh ", "NGUYEN ANH ", "élodie ", "Zoë", "ELODIE"]
+_NAMES_SQL = "CASE user_id % 6 " + " ".join(f"WHEN {i} THEN '{n}' || CASE WHEN user_id % 4 = 0 THEN '' ELSE (user_id % 40)::VARCHAR END || CASE WHEN user_id % 3 = 0 THEN '  ' ELSE '' END"
+                                            for i, n in enumerate(_NAMES)) + " END"
+_PLAIN_SQL = "strip_accents(lower(rtrim(full_name)))"
+
+
+def _named_roster(d):
+    name = F.lit(None).cast("string")
+    for i, n in enumerate(_NAMES):
+        number = F.when(F.col("user_id") % 4 == 0, "").otherwise((F.col("user_id") % 40).cast("string"))
+        name = F.when(F.col("user_id") % 6 == i, F.concat(F.lit(n), number, F.when(F.col("user_id") % 3 == 0, "  ").otherwise(""))).otherwise(name)
+    return R.roster(d.student_features, d.enrollments, d.mooc_grades, d.predictions).withColumn("full_name", name)
+
+
+@register("roster_search_accents", ROSTER_COLS, f"""
+SELECT * FROM (SELECT r.* REPLACE ({_NAMES_SQL} AS full_name) FROM ({ROSTER_SQL}) r)
+WHERE contains({_PLAIN_SQL}, 'nguyen anh') OR contains(lower(email), 'nguyen anh') OR contains(user_id::VARCHAR, 'nguyễn ANH')""", "B5 Q12")
+def q_search_accents(d):
+    return R.search(_named_roster(d), "nguyễn ANH")
+
+
+@register("roster_sorted_by_name_accents", ROSTER_COLS + " position:i", f"""
+SELECT *, ROW_NUMBER() OVER (ORDER BY {_PLAIN_SQL} ASC NULLS FIRST, course_id, user_id) AS position
+FROM (SELECT r.* REPLACE ({_NAMES_SQL} AS full_name) FROM ({ROSTER_SQL}) r)""", "F1 B6 Q12")
+def q_sorted_accents(d):
+    return with_position(R.sort_roster(_named_roster(d), "name", "asc"))
+
+
 def _attempt_order(by: str, sql_order: str):
     """attempts in the order of the content page or the student page, with their place."""
     @register(f"{by}_attempts_ordered",
