@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import stability
 from .ranking import hex_bucket, md5_key, positions
+from .skew import settle
 
 METRICS = ["accuracy", "auc_roc", "precision", "recall", "f1_score"]
-SCORE_BUCKETS = 4096
 
 
 def stratified_folds(df: DataFrame, label: str, key_cols: list[str], k: int = 10, seed: int = 42,
@@ -41,20 +41,18 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str], test_size:
 def _ranked_counts(df: DataFrame, score: str, label: str, g: list[str]) -> DataFrame:
     """One row per (group, score): positives, negatives, and negatives with a lower score.
 
-    No global sort: negatives below a score are per-bucket prefix offsets (a window
-    over <= SCORE_BUCKETS rows per group) plus a prefix inside the bucket.  Scores are
-    expected in [0, 1]; others fall into the first or last bucket, which keeps the
-    result exact (buckets only need to be monotone in the score)."""
+    The distinct scores are sorted into ranges whose borders come from a sample of them, so ranges stay even however the
+    scores crowd; negatives below a score are those of the group's ranges before (a row a range) plus those before it
+    in its own."""
     y = F.col(label).cast("int")
     per = df.groupBy(*g, F.col(score).cast("double").alias("_s")).agg(
         F.sum(y).cast("double").alias("_pos"), F.sum(1 - y).cast("double").alias("_neg"))
-    per = per.withColumn("_b", F.least(F.greatest(F.floor(F.col("_s") * SCORE_BUCKETS), F.lit(0)),
-                                       F.lit(SCORE_BUCKETS)).cast("int"))
-    buckets = per.groupBy(*g, "_b").agg(F.sum("_neg").alias("_bneg"))
-    wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = buckets.select(*g, "_b", F.coalesce(F.sum("_bneg").over(wb), F.lit(0.0)).alias("_off"))
-    wl = Window.partitionBy(*g, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    return per.join(offs, [*g, "_b"]).withColumn(
+    ranges = settle(per.orderBy(*g, "_s")).withColumn("_p", F.spark_partition_id())
+    sizes = ranges.groupBy(*g, "_p").agg(F.sum("_neg").alias("_pneg"))
+    wb = Window.partitionBy(*g).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.select(*g, "_p", F.coalesce(F.sum("_pneg").over(wb), F.lit(0.0)).alias("_off"))
+    wl = Window.partitionBy(*g, "_p").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    return ranges.join(offs, [*g, "_p"]).withColumn(
         "_below", F.col("_off") + F.coalesce(F.sum("_neg").over(wl), F.lit(0.0)))
 
 

@@ -5,8 +5,8 @@ The reference builds this row with about eleven queries per user inside a
 Python loop.  Here it is one plan: the enrolment spine left-joined to each
 rollup on ``(user_id, course_id)`` — Spark shuffles every input once on that
 key and the chain of joins reuses the partitioning — plus one join on
-``course_id`` to the course benchmarks (one row per course; AQE broadcasts it
-when its measured size is small, otherwise it stays a shuffle join).
+``course_id`` to the course benchmarks, done in parts on the spine (a course may
+hold a third of the students).
 
 Python ``round(float, n)`` is done half-up on decimals (documented choice;
 both oracle and engine agree on it).
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import as_of_lit, floor_days, whole_weeks
+from .skew import attach, shard_of
 from .exercises import (SUMMARY_COLS, attempts_by_content, decimal_avg, h5p_rollup, h5p_user_rollup,
                         video_summary, video_views)
 
@@ -162,6 +163,10 @@ def comparative(user_problem, user_completion, user_video, user_discussion,
     return [F.when(has_bench, v).otherwise(defaults[k]).alias(k) for k, v in cols.items()]
 
 
+#: Where a student is in the course.
+PLACE = ["current_chapter", "current_section", "current_unit"]
+
+
 def build_raw(e: DataFrame, h: DataFrame, v: DataFrame, g: DataFrame, prog: DataFrame,
               disc: DataFrame, bench: DataFrame | None, as_of: str,
               dash: DataFrame | None = None, h5p_sums: DataFrame | None = None,
@@ -175,6 +180,18 @@ def build_raw(e: DataFrame, h: DataFrame, v: DataFrame, g: DataFrame, prog: Data
     newest = F.max(F.struct("created", "enrollment_id", "mode", "is_active"))
     spine = e.groupBy(*KEYS).agg(newest["mode"].alias("enrollment_mode"), newest["is_active"].alias("e_active"),
                                  F.min("created").alias("created"))
+    if bench is not None:
+        b = bench.select("course_id", F.col("assessment_avg_score").alias("b_problem"),
+                         F.col("progress_avg_completion").alias("b_completion"),
+                         F.col("video_avg_completion").alias("b_video"),
+                         F.col("discussion_avg_interactions").alias("b_discussion"),
+                         F.lit(True).alias("b_present"))
+        # a course with a third of the students meets its row in parts, before the wide joins
+        spine = attach(spine.withColumn("__shard", shard_of(e.sparkSession, F.col("user_id"))), b, "course_id").drop("__shard")
+    else:
+        spine = spine.withColumns({"b_problem": F.lit(None).cast("double"), "b_completion": F.lit(None).cast("double"),
+                                   "b_video": F.lit(None).cast("double"), "b_discussion": F.lit(None).cast("double"),
+                                   "b_present": F.lit(None).cast("boolean")})
     # exercise summary (D23) and attempt metrics (D9) from one pass over attempts
     rollup = h5p_user_rollup(h)
     if h5p_sums is not None:
@@ -188,7 +205,8 @@ def build_raw(e: DataFrame, h: DataFrame, v: DataFrame, g: DataFrame, prog: Data
         "total_videos", "completed_videos", "in_progress_videos", "total_duration", "total_watched_time")])
     gd = g.select(*KEYS, F.col("grade_percentage").alias("g_grade"), F.col("letter_grade").alias("g_letter"),
                   F.col("is_passed").alias("g_passed"))
-    pd_ = prog.select(*KEYS, F.col("completion_rate").alias("p_rate"), F.col("last_activity").alias("p_last"))
+    place = [F.col(c) if c in prog.columns else F.lit(None).cast("string").alias(c) for c in PLACE]
+    pd_ = prog.select(*KEYS, F.col("completion_rate").alias("p_rate"), F.col("last_activity").alias("p_last"), *place)
     dd = disc.select(*KEYS, *[F.col(c).alias(f"d_{c}") for c in (
         "threads_count", "comments_count", "total_interactions", "questions_count", "total_upvotes")])
     vv = video_views(v).select(*KEYS, F.col("video_views").alias("m_views"))
@@ -202,18 +220,6 @@ def build_raw(e: DataFrame, h: DataFrame, v: DataFrame, g: DataFrame, prog: Data
     else:
         j = j.withColumns({"db_completion": F.lit(None).cast("double"), "db_completed": F.lit(None).cast("bigint"),
                            "db_total": F.lit(None).cast("bigint")})
-    if bench is not None:
-        b = bench.select("course_id", F.col("assessment_avg_score").alias("b_problem"),
-                         F.col("progress_avg_completion").alias("b_completion"),
-                         F.col("video_avg_completion").alias("b_video"),
-                         F.col("discussion_avg_interactions").alias("b_discussion"),
-                         F.lit(True).alias("b_present"))
-        j = j.join(b, "course_id", "left")
-    else:
-        j = j.withColumns({"b_problem": F.lit(None).cast("double"), "b_completion": F.lit(None).cast("double"),
-                           "b_video": F.lit(None).cast("double"), "b_discussion": F.lit(None).cast("double"),
-                           "b_present": F.lit(None).cast("boolean")})
-
     def z(c, t="bigint"):
         return F.coalesce(F.col(c), F.lit(0)).cast(t)
 
@@ -259,7 +265,7 @@ def build_raw(e: DataFrame, h: DataFrame, v: DataFrame, g: DataFrame, prog: Data
         z("g_grade", "double").alias("mooc_grade_percentage"),
         F.coalesce(F.col("g_letter"), F.lit("")).alias("mooc_letter_grade"),
         F.col("g_passed").alias("mooc_is_passed"),
-        comp.alias("mooc_completion_rate"), F.col("p_last").alias("last_activity"),
+        comp.alias("mooc_completion_rate"), *[F.col(c) for c in PLACE], F.col("p_last").alias("last_activity"),
         days.alias("days_since_last_activity"),
         z("d_threads_count").alias("discussion_threads_count"),
         z("d_comments_count").alias("discussion_comments_count"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models as M
 from ..operators import roster as R
-from ..operators.skew import attach, shard_of
+from ..operators.ranking import hex_bucket, positions
 from ..sources import payloads as PL
 from ..sources import sinks as SK
 from .base import AS_OF, register
@@ -30,8 +30,7 @@ def pages(d) -> DataFrame:
     info = F.struct("mssv", "class_code", "department")
     item = F.to_json(F.struct("user_id", "username", "email", "full_name", "enrollment_id", "mode", "is_active",
                               F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created"), info.alias("student_info")))
-    page = F.floor(F.col("user_id") / 100)
-    by = d.enrollments.groupBy("course_id", page.alias("n")).agg(F.array_join(F.collect_list(item), ",").alias("items"))  # 100 a page
+    by = dealt(d.enrollments, ["course_id"]).groupBy("course_id", F.col("_part").alias("n")).agg(F.array_join(F.collect_list(item), ",").alias("items"))
     text = F.concat(F.lit("["), F.col("items"), F.lit("]"))
     even = F.col("n") % 2 == 0
     return by.select("course_id", F.concat(F.lit("page_"), "n").alias("_file"),
@@ -74,18 +73,19 @@ def q_a22(d):
 
 # --- A4 / A5 -----------------------------------------------------------------------------------
 
-PART = 100  # items a payload, about
+PART = 100  # items a payload at most
 
 
 def in_parts(rows: DataFrame, item: F.Column, name: str) -> DataFrame:
-    """Per student, payloads of about ``PART`` items each: a student with more has several,
-    by a hash of the row, however large the student's share of the table is."""
-    big = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART)
-    big = big.select(F.struct(*KEYS).alias("_student"), F.ceil(F.col("n") / PART).alias("_parts"))
-    own = F.struct(*rows.columns)
-    dealt = rows.withColumns({"_student": F.struct(*KEYS), "__shard": shard_of(rows.sparkSession, own)})
-    part = F.pmod(F.xxhash64(F.lit("part"), own), F.coalesce("_parts", F.lit(1)))
-    return attach(dealt, big, "_student").groupBy(*KEYS, part.alias("_part")).agg(F.collect_list(item).alias(name))
+    """Per student, payloads of at most ``PART`` items each: a student with more has several, dealt by the place of
+    the row, so equal rows don't meet in one either."""
+    return dealt(rows, KEYS).groupBy(*KEYS, "_part").agg(F.collect_list(item).alias(name))
+
+
+def dealt(rows: DataFrame, group: list[str]) -> DataFrame:
+    """``rows`` with ``_part``: which ``PART`` of the group's rows, in an order by digest, a row belongs to."""
+    placed = positions(rows.withColumn("_key", F.md5(F.to_json(F.struct(*rows.columns)))), group, "_key", hex_bucket("_key", 2))
+    return placed.withColumn("_part", F.floor((F.col("pos") - 1) / PART)).drop("_key", "pos", "pos_n")
 
 
 def h5p_payloads(d) -> DataFrame:
@@ -172,7 +172,7 @@ def q_a6(d):
 
 def class_files(df: DataFrame, student: F.Column, schema) -> DataFrame:
     """``{students: [...]}`` files of at most 100 students each."""
-    by = df.groupBy("course_id", F.floor(F.col("user_id") / 100).alias("n")).agg(F.collect_list(student).alias("students"))
+    by = dealt(df, ["course_id"]).groupBy("course_id", "_part").agg(F.collect_list(student).alias("students"))
     return PL.students_of(landed(by, schema, F.struct("students"), "course_id"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import wide as W
 from ..operators.exercises import attempts_by_content, h5p_rollup, video_summary
 from ..operators.skew import settle
+from ..sources import payloads as PL
 from .contract import hdiv
 from .base import AS_OF, avg_round, hround, register
 
@@ -282,3 +283,18 @@ def q_wide_dashboard(d):
     dash = d.mooc_progress.select("user_id", "course_id", "completion_rate", "completed_blocks", "total_blocks").toDF(
         "user_id", "course_id", "overall_completion", "completed_items", "total_items")
     return wide_rows(d, dash=dash)
+
+
+@register("wide_row_place", "user_id:i course_id:s current_chapter:s current_section:s current_unit:s", """
+SELECT e.user_id, e.course_id, 'chapter ' || (p.user_id % 9) AS current_chapter,
+  CASE WHEN p.user_id % 4 <> 0 THEN 'section ' || (p.user_id % 7) END AS current_section, 'unit ' || (p.user_id % 11) AS current_unit
+FROM (SELECT DISTINCT user_id, course_id FROM enrollments) e LEFT JOIN mooc_progress p USING (user_id, course_id)""", "C7 A9")
+def q_wide_place(d):
+    """Chapter, section and unit of landed progress payloads in the wide row."""
+    def text(name, n):
+        return F.concat(F.lit(f"{name} "), (F.col("user_id") % n).cast("string"))
+    student = F.struct("user_id", text("chapter", 9).alias("current_chapter"), F.when(F.col("user_id") % 4 != 0, text("section", 7)).alias("current_section"),
+                       text("unit", 11).alias("current_unit"), F.col("completion_rate").cast("double").alias("completion_rate"))
+    landed = d.mooc_progress.select("course_id", F.from_json(F.to_json(F.struct(F.array(student).alias("students"))), PL.PROGRESS).alias("p"))
+    progress = PL.progress_rows(PL.students_of(landed.select("course_id", "p.*")))
+    return W.build_raw(d.enrollments, d.h5p_scores, d.video_progress, d.mooc_grades, progress, d.mooc_discussions, None, d.as_of)

@@ -20,7 +20,7 @@ def test_payloads_of_a_hot_student_are_bounded(spark):
     v = d.video_progress.withColumns(hot).unionByName(d.video_progress.where("user_id % 9 = 0"))
     t = SimpleNamespace(h5p_scores=h, video_progress=v, as_of=d.as_of)
     for payloads, name, source, rows in ((Q.h5p_payloads(t), "scores", h, PL.h5p_attempts), (Q.video_payloads(t), "video_progress", v, PL.video_positions)):
-        assert payloads.agg(F.max(F.size(name))).first()[0] <= 2 * Q.PART
+        assert payloads.agg(F.max(F.size(name))).first()[0] <= Q.PART
         got = rows(payloads, d.as_of)
         cols = [c for c in source.columns if c in got.columns]
         assert got.select(cols).exceptAll(source.select(cols)).count() == 0 and got.count() == source.count()
