@@ -28,9 +28,9 @@ def dedupe_source(src: DataFrame, keys: list[str], order_by: str | list[str]) ->
 
 
 def upsert(target: DataFrame | None, src: DataFrame, keys: list[str], update_cols: list[str],
-           src_order: str | list[str], touch: str | None = None, as_of: str | None = None) -> DataFrame:
+           src_order: str | list[str], touch: str | None = None, as_of: str | None = None, add_cols: list[str] = ()) -> DataFrame:
     """Return the table after the upsert, with the target's column order
-    (source-only columns are appended).  ``src_order`` says which of several
+    (source-only columns are appended); ``add_cols`` of matched rows are summed.  ``src_order`` says which of several
     source rows of a key came last; without a target (``None``, a first load)
     the de-duplicated source is the table."""
     src = dedupe_source(src, keys, src_order)
@@ -49,6 +49,8 @@ def upsert(target: DataFrame | None, src: DataFrame, keys: list[str], update_col
         sv = F.col(f"_s_{c}") if c in s_cols else F.lit(None)
         if c == touch:
             v = F.when(in_s, as_of_lit(as_of) if as_of else F.current_timestamp()).otherwise(tv)
+        elif c in add_cols:
+            v = F.when(in_s & in_t, F.coalesce(tv, F.lit(0)) + F.coalesce(sv, F.lit(0))).when(in_s, sv).otherwise(tv)
         elif c in update_cols:
             v = F.when(in_s, sv).otherwise(tv)       # matched or inserted: source value
         else:

@@ -84,9 +84,10 @@ def _read(spark: SparkSession, base: str, found: dict, buckets) -> DataFrame:
 
 
 def upsert_buckets(spark: SparkSession, base: str, src: DataFrame, keys: list[str], order: str | list[str],
-                   buckets: int = BUCKETS, batch: tuple[str, int] | None = None, update_cols: list[str] | None = None) -> dict:
+                   buckets: int = BUCKETS, batch: tuple[str, int] | None = None, update_cols: list[str] | None = None,
+                   add_cols: list[str] = ()) -> dict:
     """Upsert ``src`` (of several rows of a key the last by ``order`` counts; matched rows take its ``update_cols``, all
-    columns without) and commit the next version; the manifest.
+    columns without, and sum ``add_cols``) and commit the next version; the manifest.
 
     ``batch``: stream and number of a micro-batch; one that the table holds already is skipped, so a replay after a
     crash between this commit and the stream's own changes nothing."""
@@ -105,7 +106,7 @@ def upsert_buckets(spark: SparkSession, base: str, src: DataFrame, keys: list[st
         now = _read(spark, base, old, touched) if old else None
         if now is not None:
             rows_in = rows_in.select(*[c for c in now.columns if c in rows_in.columns], *[c for c in rows_in.columns if c not in now.columns])
-        made = upsert(now, rows_in, keys, update_cols or [c for c in rows_in.columns if c not in keys], order)
+        made = upsert(now, rows_in, keys, update_cols or [c for c in rows_in.columns if c not in keys], order, add_cols=add_cols)
         folder = f"data/{uuid.uuid4()}"
         if touched:
             (made.withColumn("_bucket", place).repartition(len(touched), "_bucket")

@@ -6,7 +6,8 @@ N1  landed JSON payload files of every kind -> a keyed table, processed incremen
     flattened, upserted (A17) into the buckets that its keys touch and committed with
     its number (readers never see a half-written table, a replayed batch is skipped).
 N2  daily activity counts per user from the event log with a 2-day
-    watermark for late events; finalized days are appended to parquet.  The
+    watermark for late events; finalized days are appended to parquet.  Or per
+    user, course and day into a bucketed table that takes late events whenever they come.  The
     result equals the batch pre-aggregate
     :func:`edusignal.operators.events.daily_counts`.
 
@@ -37,6 +38,14 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
 # --- N2 ------------------------------------------------------------------------------
 
 
+def _events(spark: SparkSession, events_dir: str, files_per_trigger: int | None, courses: DataFrame | None) -> DataFrame:
+    reader = spark.readStream.schema(EVENT_SCHEMA)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    ev = reader.parquet(events_dir)
+    return ev if courses is None else ev.join(courses.select("user_id", "course_id"), "user_id")
+
+
 def daily_activity_stream(spark: SparkSession, events_dir: str, out_dir: str, name: str = "daily_activity",
                           late: str = "2 days", files_per_trigger: int | None = None) -> int:
     """Count events per (user, day) with a watermark; append finalized days.
@@ -44,13 +53,9 @@ def daily_activity_stream(spark: SparkSession, events_dir: str, out_dir: str, na
     One run takes all files that have landed since the last one together, in any
     order, so the watermark moves between runs only (``files_per_trigger`` splits a
     run; files should then be in time order).  Returns how many counts (of a user and
-    day within a task) came later than the watermark allows and were left out: 0 means
-    that the output is complete, otherwise :func:`daily_counts` of the log is the way
-    to repair the days."""
-    reader = spark.readStream.schema(EVENT_SCHEMA)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    ev = reader.parquet(events_dir)
+    day within a task) came later than the watermark allows and were left out, summed over the run's batches: 0 means
+    that the output is complete; where files come in any order, :func:`daily_counts_stream` keeps late rows."""
+    ev = _events(spark, events_dir, files_per_trigger, None)
     ev = ev.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need a zoned timestamp (UTC session)
     counts = (ev.withWatermark("ts", late)
                 .groupBy(F.window("ts", "1 day").alias("w"), "user_id")
@@ -59,8 +64,30 @@ def daily_activity_stream(spark: SparkSession, events_dir: str, out_dir: str, na
     q = (counts.writeStream.outputMode("append").format("parquet")
          .option("checkpointLocation", checkpoint_path(spark, name)).option("path", out_dir)
          .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators)
+    dropped: dict[int, int] = {}  # by batch: the query itself keeps its last reports only
+    ended = False
+    while not ended:
+        ended = q.awaitTermination(1)
+        for p in q.recentProgress:
+            dropped[p.batchId] = max(dropped.get(p.batchId, 0), sum(op.numRowsDroppedByWatermark for op in p.stateOperators))
+    return sum(dropped.values())
+
+
+def daily_counts_stream(spark: SparkSession, events_dir: str, table_base: str, courses: DataFrame, name: str = "daily_counts",
+                        files_per_trigger: int | None = None, committed=None) -> None:
+    """Count events per (user, course, day) into a bucketed table, each micro-batch once: its counts are added to
+    those of the rows it touches, however late they come, and committed with its number.  ``courses``: (user_id, course_id)."""
+    keys = ["user_id", "course_id", "day"]
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.groupBy("user_id", "course_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("events"))
+        upsert_buckets(batch.sparkSession, table_base, counts, keys, "events", batch=(name, batch_id), add_cols=["events"])
+        if committed:
+            committed(batch_id)
+
+    (_events(spark, events_dir, files_per_trigger, courses).writeStream.foreachBatch(add)
+        .option("checkpointLocation", checkpoint_path(spark, name))
+        .trigger(availableNow=True).start().awaitTermination())
 
 
 def streamed_with_open_days(spark: SparkSession, events_dir: str, out_dir: str) -> DataFrame:
