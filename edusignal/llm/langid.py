@@ -7,11 +7,12 @@ set one by one while the likelihood rises by more than a penalty of ``PENALTY *
 The likelihood is concave in the proportions, so a language whose first-order gain is below
 the penalty can't pay for itself, and EM is skipped for it; the result is the same.
 
-Training takes at most about ``per_language`` (default 5000) documents of each language, by hash of doc_id.
+Training takes about ``per_language`` (default 5000) documents of each language, by hash of doc_id, one at least, and of rows
+that repeat a doc_id one.  The model is broadcast: half a MB a language.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0; equal likelihoods go
-to the alphabetically first language; without training rows every text is ``und``;
-null doc_ids are not held out and not learned from.
+Defined cases: null texts and texts without a letter (Unicode category L; marks alone are none) are ``und`` with score 0;
+equal likelihoods go to the alphabetically first language; repeated rows are judged one by one; without training rows, as on an
+empty table, every text is ``und``; null doc_ids are not held out and not learned from; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,18 +34,19 @@ OVERLAP = 3
 
 
 @cache
-def letters() -> np.ndarray:
-    """Which code points are letters or combining marks."""
-    return np.array([unicodedata.category(chr(i))[0] in "LM" for i in range(0x30000)] + [False], dtype=bool)
+def letters() -> tuple[np.ndarray, np.ndarray]:
+    """Which code points are letters, and which are letters or combining marks."""
+    kind = np.array([ord(unicodedata.category(chr(i))[0]) for i in range(0x110000)], dtype=np.uint8)
+    return kind == ord("L"), (kind == ord("L")) | (kind == ord("M"))
 
 
 def trigrams(text: str | None) -> np.ndarray:
     """Bucket of every trigram of the text, in order; empty without letters."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    known = letters()
-    is_letter = known[np.minimum(codes, len(known) - 1)]
-    if not is_letter.any():
+    letter, within = letters()
+    if not letter[codes].any():
         return np.zeros(0, np.int64)
+    is_letter = within[codes]  # a mark belongs to its word
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]  # the first of other characters stays, as a space
     line = np.concatenate(([32], np.where(is_letter, codes, 32)[keep], [32])).astype(np.uint64)
@@ -109,15 +111,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, per_language: int = 5000) -> Mixture:
-    """Likelihoods from ``docs`` (text, lang, doc_id); rows with a null there teach nothing."""
+    """Likelihoods from ``docs`` (text, lang, doc_id); rows with a null there teach nothing.  About ``per_language`` doc_ids of
+    each language, by their hash, one at least; of rows that repeat a doc_id and language, the one whose text has the smallest hash."""
     ship_package(docs.sparkSession)
     rows = docs.where("doc_id is not null and lang is not null")  # no text is read for the sizes
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    part = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.03).alias("n"), F.min(part).alias("first")).collect()  # a row a language
     if not sizes:
         return Mixture({})
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
-    part = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
-    rows = rows.where(part < F.element_at(share, F.col("lang"))).select("lang", "text")
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], max(r["first"], min(1.0, per_language / r["n"])))])
+    rows = rows.where(part <= F.element_at(share, F.col("lang")))
+    rows = rows.groupBy("lang", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("lang", "text")
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -131,15 +135,18 @@ def train(docs: DataFrame, per_language: int = 5000) -> Mixture:
 
     summed = rows.mapInPandas(count, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n"))
     counts: dict[str, np.ndarray] = {}
-    for r in summed.collect():  # at most BUCKETS rows a language
+    for r in summed.toArrow().to_pylist():  # at most BUCKETS rows a language
         counts.setdefault(r["lang"], np.zeros(BUCKETS))[r["at"]] = r["n"]
     return Mixture(counts)
 
 
 def identify(docs: DataFrame, model: Mixture) -> DataFrame:
     """doc_id, lang_pred, score (the language's proportion) and mixture (array of language and proportion)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # half a MB a language
+
     @F.pandas_udf("lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
     def run(texts: pd.Series) -> pd.DataFrame:
+        model = shared.value
         found = [model.infer(trigrams(t)) for t in texts]
         return pd.DataFrame({"lang_pred": [x[0][0] if x else "und" for x in found], "score": [min(1.0, x[0][1]) if x else 0.0 for x in found],
                              "mixture": [[{"lang": a, "share": b} for a, b in x] for x in found]})

@@ -79,6 +79,24 @@ URLS = ["http://a.example.net/en/x", "https://EXAMPLE.net/en/", "http://example.
         "http://m.casino-win.example.com/en/4", "x://y://z/p", "http://ÀB.org/FR/", "http://long.org/" + "a1/" * 20000]
 
 
+def test_what_a_letter_is(spark, languages):
+    """Marks alone are no letters; those of late Unicode blocks are."""
+    rows = [(1, "\u0301\u0301"), (2, "\U00030000\U00030001"), (3, "12 .\u0300"), (4, "e\u0301t\u00e9")]
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), languages).collect()}
+    assert got[1]["lang_pred"] == got[3]["lang_pred"] == "und" and got[1]["score"] == 0
+    assert got[2]["lang_pred"] in languages.langs and got[4]["lang_pred"] in languages.langs
+
+
+def test_repeated_ids_lose_no_language(spark):
+    """Most rows of a language have one doc_id: it is learned, from one of them."""
+    text = {"en": "the house and the dog of the night ", "fr": "le chien et la maison de la nuit "}
+    for one in (3, 4, 5, 11, 12):
+        rows = [(i + 100, text["en"] * 3, "en") for i in range(3000)] + [(one, text["fr"] * 3, "fr")] * 3500
+        model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), 500)
+        assert model.langs == ["en", "fr"]
+        assert model.infer(langid.trigrams(text["fr"]))[0][0] == "fr"
+
+
 def test_url_rules(spark):
     rows = [(i, u, "x", "y") for i, u in enumerate(URLS)] + [(None, "http://net/", "x", "y"), (0, URLS[0], "x", "y")]
     got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, host string, score string")).collect()
