@@ -4,12 +4,15 @@ the payload schemas and flattened; the oracle states the tables they must give."
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import models as M
 from ..operators import roster as R
 from ..operators.ranking import hex_bucket, positions
+from ..session import ensure_checkpoint_dir
 from ..sources import payloads as PL
 from ..sources import sinks as SK
 from .base import AS_OF, register
@@ -49,6 +52,33 @@ def q_a2(d):
     return PL.flatten_enrollments(PL.enrollment_items(pages(d)), d.as_of)
 
 
+@register("enrollment_attributes", "course_id:s user_id:i key:s kind:s text:s number:d", """
+WITH e AS (SELECT course_id, user_id, class_code, is_active, enrollment_id % 10 AS n FROM enrollments)
+SELECT course_id, user_id, 'class' AS key, 'text' AS kind, class_code AS text, CAST(NULL AS DOUBLE) AS number FROM e WHERE n <> 9
+UNION ALL SELECT course_id, user_id, 'active', 'boolean', CASE WHEN is_active THEN 'true' ELSE 'false' END, NULL FROM e WHERE n <> 9
+UNION ALL SELECT course_id, user_id, 'visits_' || n, 'number', (user_id * 3)::VARCHAR, user_id * 3 FROM e WHERE n <> 9
+UNION ALL SELECT course_id, user_id, 'points', 'text', n || '.5', n + 0.5 FROM e WHERE n <> 9
+UNION ALL SELECT course_id, user_id, 'tags', 'array', '["a","t' || n || '"]', NULL FROM e WHERE n <> 9
+UNION ALL SELECT course_id, user_id, NULL, 'malformed', '{"class": ' || user_id, NULL FROM e WHERE n = 9""", "A2 B8")
+def q_attributes(d):
+    """Typed values of the unknown keys of every enrolment's attributes, landed as JSON text."""
+    n, user = (F.col("enrollment_id") % 10).cast("string"), F.col("user_id").cast("string")
+    good = F.concat(F.lit('{"class": '), F.to_json(F.array("class_code")).substr(F.lit(2), F.length(F.to_json(F.array("class_code"))) - 2), F.lit(', "active": '),
+                    F.col("is_active").cast("string"), F.lit(', "visits_'), n, F.lit('": '), (F.col("user_id") * 3).cast("string"),
+                    F.lit(', "points": "'), n, F.lit('.5", "tags": ["a", "t'), n, F.lit('"]}'))
+    text = F.when(n == "9", F.concat(F.lit('{"class": '), user)).otherwise(good)
+    return PL.attribute_rows(d.enrollments.select("course_id", "user_id", text.alias("all_attributes")))
+
+
+@register("scan_course_partition", "course_id:s user_id:i enrollment_id:i mode:s", """
+SELECT course_id, user_id, enrollment_id, mode FROM enrollments WHERE course_id = 'BUILDING'""", "A13 with its predicate")
+def q_a13_partition(d):
+    """One course of a table laid out by course: the scan lists that course's folder alone."""
+    path = f"{ensure_checkpoint_dir(d.spark).rstrip('/')}/tables/{uuid.uuid4()}"
+    d.enrollments.select("course_id", "user_id", "enrollment_id", "mode").write.partitionBy("course_id").parquet(path)
+    return SK.scan(d.spark, path, "BUILDING")
+
+
 @register("landed_course_info", "course_id:s user_id:i course_name:s course_start:t", """
 SELECT course_id, user_id, 'Course ' || course_id AS course_name, min(created) OVER (PARTITION BY course_id) AS course_start
 FROM enrollments""", "A3")

@@ -134,6 +134,23 @@ def flatten_enrollments(items: DataFrame, fetched_at: str, *keep: str) -> DataFr
         F.lit(fetched_at).cast("timestamp_ntz").alias("fetched_at"))
 
 
+def attribute_rows(enroll: DataFrame) -> DataFrame:
+    """Every field of every enrolment's ``all_attributes``, whatever its keys: (course_id, user_id, key, kind, text,
+    number); elements of a list have their place as key.  Text that is no JSON is kept as one row of kind ``malformed``."""
+    parsed = enroll.where(F.col("all_attributes").isNotNull()).select("course_id", "user_id", "all_attributes", F.try_parse_json("all_attributes").alias("_v"))
+    each = parsed.where(F.col("_v").isNotNull()).lateralJoin(enroll.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+    value = F.col("value")
+    kind = F.regexp_extract(F.schema_of_variant(value), r"^(\w+)", 1)
+    plain = (F.when(kind == "VOID", "null").when(kind == "STRING", "text").when(kind == "BOOLEAN", "boolean")
+             .when(kind.isin("OBJECT", "ARRAY"), F.lower(kind)).otherwise("number"))
+    fields = each.select("course_id", "user_id", F.coalesce("key", F.col("pos").cast("string")).alias("key"), plain.alias("kind"),
+                         F.when(plain.isin("object", "array"), F.to_json(value)).when(plain != "null", F.try_variant_get(value, "$", "string")).alias("text"),
+                         F.when(plain.isin("number", "text"), F.try_variant_get(value, "$", "double")).alias("number"))
+    bad = parsed.where(F.col("_v").isNull()).select("course_id", "user_id", F.lit(None).cast("string").alias("key"), F.lit("malformed").alias("kind"),
+                                                     F.col("all_attributes").alias("text"), F.lit(None).cast("double").alias("number"))
+    return fields.unionByName(bad)
+
+
 COURSE_INFO = _struct(success=B, data=_struct(display_name=S, start=S, end=S))
 
 
