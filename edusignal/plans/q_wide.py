@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import wide as W
 from ..operators.exercises import attempts_by_content, h5p_rollup, video_summary
 from ..operators.skew import settle
+from ..session import ensure_checkpoint_dir
 from ..sources import payloads as PL
+from ..sources.buckets import read_buckets, upsert_buckets
 from .contract import hdiv
 from .base import AS_OF, avg_round, hround, register
 
@@ -298,3 +302,19 @@ def q_wide_place(d):
     landed = d.mooc_progress.select("course_id", F.from_json(F.to_json(F.struct(F.array(student).alias("students"))), PL.PROGRESS).alias("p"))
     progress = PL.progress_rows(PL.students_of(landed.select("course_id", "p.*")))
     return W.build_raw(d.enrollments, d.h5p_scores, d.video_progress, d.mooc_grades, progress, d.mooc_discussions, None, d.as_of)
+
+
+@register("wide_row_refreshed", WIDE_COLS, _WIDE_SQL, "C7 A17 refresh of changed students")
+def q_wide_refreshed(d):
+    """Stored wide rows from before a fifth of the students changed, and those students' rows made anew and upserted."""
+    base = f"{ensure_checkpoint_dir(d.spark).rstrip('/')}/tables/{uuid.uuid4()}"
+    attempts = settle(attempts_by_content(d.h5p_scores))
+    bench = settle(_bench(d, attempts))
+    later = F.col("user_id") % 5 == 0
+    before = W.build_raw(d.enrollments, attempts.where(~later), d.video_progress.where(~later), d.mooc_grades.where(~later), d.mooc_progress,
+                         d.mooc_discussions, bench, d.as_of)
+    upsert_buckets(d.spark, base, before, ["user_id", "course_id"], "extracted_at", buckets=16)
+    rows = W.refreshed(d.enrollments.where(later), d.enrollments, attempts, d.video_progress, d.mooc_grades, d.mooc_progress, d.mooc_discussions,
+                       bench, d.as_of)
+    upsert_buckets(d.spark, base, rows, ["user_id", "course_id"], "extracted_at")
+    return read_buckets(d.spark, base)

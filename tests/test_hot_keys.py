@@ -71,3 +71,40 @@ def test_weekly_progress_of_a_hot_course(spark):
         hot.where(F.col("action").isin("problem_correct", "video_view") & F.col("item").isNotNull())
         .groupBy("user_id").agg(F.countDistinct("action", "item").alias("n")), "user_id")
     assert last.where("b <> n").count() == 0 and last.count() > 0
+
+
+def test_refresh_reads_and_rewrites_little(spark, tmp_path):
+    """The changed students' rows come from semi joins in front of every rollup, and other buckets keep their files."""
+    from edusignal.operators import wide as W
+    from edusignal.plans.q_wide import _bench
+    from edusignal.sources.buckets import read_buckets, upsert_buckets
+    from edusignal.sources.fixtures import Domain
+
+    from .conftest import SMALL
+
+    d = Domain(spark, SMALL)
+    bench = M.materialize(_bench(d))
+    tables = (d.enrollments, d.h5p_scores, d.video_progress, d.mooc_grades, d.mooc_progress, d.mooc_discussions)
+    full = W.build_raw(*tables, bench, d.as_of)
+    base = str(tmp_path / "raw")
+    first = upsert_buckets(spark, base, full, ["user_id", "course_id"], "extracted_at", buckets=32)
+    graded = d.mooc_grades.withColumn("grade_percentage", F.when(F.col("user_id") == 5, 1).otherwise(F.col("grade_percentage")).cast("decimal(5,2)"))
+    changed = d.enrollments.where("user_id = 5")
+    rows = W.refreshed(changed, *tables[:3], graded, *tables[4:], bench, d.as_of)
+    assert rows.count() == changed.count()
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") >= 6
+    second = upsert_buckets(spark, base, rows, ["user_id", "course_id"], "extracted_at")
+    assert sum(first["files"][b] != second["files"][b] for b in first["files"]) == changed.count()
+    want = W.build_raw(*tables[:3], graded, *tables[4:], bench, d.as_of)
+    got = read_buckets(spark, base).select(want.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_a_course_scan_lists_its_partition(spark, tmp_path):
+    from edusignal.sources.sinks import scan
+
+    spark.range(50).select("id", (F.col("id") % 5).cast("string").alias("course_id")).write.partitionBy("course_id").parquet(str(tmp_path / "t"))
+    df = scan(spark, str(tmp_path / "t"), "3")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(course_id" in plan and df.count() == 10
