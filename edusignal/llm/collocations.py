@@ -1,15 +1,16 @@
 """Phrase collocations, counted by broadcast double-array tries.
 
 A symbol is a 64-bit hash of (lang, word), so everything is per lang; the seed is changed until no two words of the corpus share
-a symbol.  Candidates grow by one word a pass and are Apriori-safe: a frequent phrase followed by a frequent word, whose
-other words are frequent too, seen ``least`` times (tasks send each such phrase once, its count cut at ``least``, so the sum
-decides the question and no more).  Words and candidates of all lengths then make one double-array trie; a pass over all texts advances the
-states of all text positions together, word by word, bincounts the states reached, and the tasks' counts are summed.  These counts,
-not the candidates' sums, are the result.
+a symbol.  Candidates are Apriori-safe: all their words are frequent, and so may be every phrase of two or three words within
+them, judged by a sketch: tasks count such phrases by cell of a hash, the counts of a cell are summed, and a cell below
+``least`` holds no frequent phrase.  A false alarm costs time only.  Words and candidates of all lengths then make one double-array trie; a pass
+over all texts advances the states of all text positions together, word by word, bincounts the states reached, and the tasks'
+counts are summed.
 
 A word's code is two digits in the trie, so a node has few children and the arrays stay dense.  A trie holds ``most`` phrases at
 most, whatever the corpus: beyond that, phrases are split by their first symbol into several tries, each broadcast for a
-pass of its own.  Whether any word is frequent is told by a bit map of fixed size; its false alarms cost time only.
+pass of its own.  The bit maps of frequent words and cells have fixed sizes; on a corpus that fills them they sort out less, and
+the tries become more.
 
 Defined cases: a null text counts as empty, a null lang as ``und``; rows are counted one by one, repeats included, and doc_id is not read; words
 are not cut whatever their length; an empty table or one without frequent phrases gives no rows; extra columns are not read.
@@ -18,6 +19,7 @@ are not cut whatever their length; an empty table or one without frequent phrase
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +27,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import with_position
 from .common import attach, settle, shard_of, ship_package
 
 #: Occurrences of a phrase that counts; words of the longest one; phrases of one trie; rows reported per lang.
 LEAST, LONGEST, MOST, TOP = 30, 4, 2_000_000, 2000
-#: Words in a task's dictionary, keys that it holds unsorted, bits of the map of frequent words.
-KNOWN, HELD, BITS = 500_000, 4_000_000, 1 << 26
+#: Words in a task's dictionary, phrases that it holds unsorted, bits of the map of frequent words, and of the sketch and a row of it.
+KNOWN, HELD, BITS, CELLS, ROW = 300_000, 2_000_000, 1 << 26, 1 << 29, 1 << 16
 CUTS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\xff" * 10 + b" ")  # 0xff is in no UTF-8 text
 SYMBOLS = [f"s{i}" for i in range(1, LONGEST + 1)]
 
@@ -45,49 +48,44 @@ class Trie:
     """Double array over word codes (two digits below ``radix``).  The root's children are at their codes; a node's child by
     digit d is at ``base[node] + d``, if ``check`` there names the node."""
 
-    def __init__(self, alphabet: np.ndarray, phrases: list[np.ndarray], heads: np.ndarray):
-        """``alphabet``: all symbols, sorted; ``phrases[k]``: rows of k + 2 symbols; ``heads``: symbols that are nodes themselves."""
-        self.alphabet = alphabet
-        self.radix = 1 << (len(alphabet).bit_length() + 1) // 2
-        self.end = len(alphabet) + 1
-        self.base = np.zeros(self.end + self.radix, np.int64)
-        self.check = np.full(self.end + self.radix, -1, np.int64)
+    def __init__(self, phrases: list[np.ndarray], numbers: list[np.ndarray]):
+        """``phrases[k]``: rows of k + 1 symbols, whose prefixes are in the rows before; ``numbers``: what stands for each.
+        ``phrases`` is emptied on the way: a trie's rows are not held twice."""
+        self.alphabet = np.unique(np.concatenate([np.unique(r) for r in phrases]))
+        self.radix = 1 << (len(self.alphabet).bit_length() + 1) // 2
+        self.end = len(self.alphabet) + 1
+        self.base = np.zeros(self.end + self.radix, np.int32)
+        self.check = np.full(self.end + self.radix, -1, np.int32)
         self.random = np.random.default_rng(7)
-        at = self.codes(heads)
+        coded = [self.codes(phrases.pop(0).ravel()).reshape(-1, k) for k in range(1, len(phrases) + 1)]
+        at = coded[0].ravel()
         self.check[0], self.check[at] = -2, 0
-        words, states = [heads[:, None]], [at]
-        for rows in phrases:
-            codes = self.codes(rows.ravel()).reshape(rows.shape)
+        states = [at]
+        for codes in coded[1:]:
             state = codes[:, 0]
-            for k in range(1, rows.shape[1] - 1):
+            for k in range(1, codes.shape[1] - 1):
                 state = self.advance(state, codes[:, k])
             states.append(self.add(self.add(state, codes[:, -1] // self.radix), codes[:, -1] % self.radix))
-            words.append(rows)
-        self.number = np.full(len(self.check), -1, np.int32)
-        self.number[np.concatenate(states)] = np.arange(sum(map(len, states)))
-        self.words = np.zeros((sum(map(len, words)), LONGEST), np.int64)
-        first = 0
-        for rows in words:
-            self.words[first:first + len(rows), :rows.shape[1]] = rows
-            first += len(rows)
-        self.base, self.check = self.base.astype(np.int32), self.check.astype(np.int32)
+        self.numbers = np.concatenate(numbers)
+        self.place = np.full(len(self.check), -1, np.int32)  # of a state's number
+        self.place[np.concatenate(states)] = np.arange(len(self.numbers), dtype=np.int32)
 
     def codes(self, symbols: np.ndarray) -> np.ndarray:
         """1 and up; 0 for symbols outside the alphabet."""
         if not len(self.alphabet):
-            return np.zeros(len(symbols), np.int64)
+            return np.zeros(len(symbols), np.int32)
         at = np.minimum(np.searchsorted(self.alphabet, symbols), len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == symbols, at + 1, 0)
+        return np.where(self.alphabet[at] == symbols, at + 1, 0).astype(np.int32)
 
     def grow(self, size: int) -> None:
         more = size + self.radix - len(self.check)
         if more > 0:
-            self.base = np.concatenate([self.base, np.zeros(more, np.int64)])
-            self.check = np.concatenate([self.check, np.full(more, -1, np.int64)])
+            self.base = np.concatenate([self.base, np.zeros(more, np.int32)])
+            self.check = np.concatenate([self.check, np.full(more, -1, np.int32)])
 
     def add(self, parents: np.ndarray, digits: np.ndarray) -> np.ndarray:
         """States of the children (new ones are placed); equal rows get the same state."""
-        pairs, back = np.unique(parents * self.radix + digits, return_inverse=True)
+        pairs, back = np.unique(parents.astype(np.int64) * self.radix + digits, return_inverse=True)
         of, digit = pairs // self.radix, pairs % self.radix
         begin = np.flatnonzero(np.diff(of, prepend=-1))
         sizes = np.diff(np.append(begin, len(of)))
@@ -114,7 +112,7 @@ class Trie:
             tried[rest] = self.random.integers(0, self.end, len(rest))
             mine = np.flatnonzero(tried[group] >= 0)
             slot, who = tried[group[mine]] + digit[mine], group[mine]
-            claim = np.full(len(self.check), -1, np.int64)
+            claim = np.full(len(self.check), -1, np.int32)
             claim[slot] = who
             lost = np.zeros(len(begin), bool)
             lost[who[(self.check[slot] != -1) | (claim[slot] != who)]] = True
@@ -123,7 +121,7 @@ class Trie:
             base[rest[~lost[rest]]] = tried[rest[~lost[rest]]]
             rest = rest[lost[rest]]
         self.base[of[begin]] = base
-        return (base[group] + digit)[back]
+        return (base[group] + digit).astype(np.int32)[back]
 
     def advance(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """The states after one more word each; 0 where there is none."""
@@ -141,7 +139,8 @@ class Reader:
         self.clear()
 
     def clear(self) -> None:
-        self.words: list[tuple[bytes, bytes]] = [(b"", b"")]
+        self.words: list[bytes] = [b""]
+        self.langs: list[bytes] = [b""]
         self.dicts: dict[bytes, Numbers] = {}
 
     def read(self, langs: list, texts: list) -> np.ndarray:
@@ -149,7 +148,7 @@ class Reader:
         for lang, text in zip(langs, texts):
             lang = bytes(lang)
             if lang not in self.dicts:
-                self.dicts[lang] = Numbers(lang, self.words)
+                self.dicts[lang] = Numbers(lang, self)
             tokens = bytes(text).lower().translate(CUTS).replace(b"\xff", b" \xff ").split()
             out.append(np.fromiter(map(self.dicts[lang].__getitem__, tokens), np.int64, len(tokens)))
             out.append(np.zeros(1, np.int64))
@@ -157,33 +156,23 @@ class Reader:
 
     def symbols(self, first: int) -> np.ndarray:
         """Symbols of the words from number ``first`` on."""
-        return np.array([symbol(*w, self.seed) if w[1] else 0 for w in self.words[first:]], np.int64)
+        return np.array([symbol(a, w, self.seed) if w else 0 for a, w in zip(self.langs[first:], self.words[first:])], np.int64)
 
 
 class Numbers(dict):
     """A lang's words to numbers, given out as words are met."""
 
-    def __init__(self, lang: bytes, words: list):
+    def __init__(self, lang: bytes, reader: Reader):
         super().__init__({b"\xff": 0})
-        self.lang, self.words = lang, words
+        self.lang, self.words, self.langs = lang, reader.words, reader.langs
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self.words)
-        self.words.append((self.lang, word))
+        self.words.append(word)
+        self.langs.append(self.lang)
         return n
 
 
-def tallied(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their counts."""
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
-    return key[first], np.add.reduceat(n, first) if len(first) else n
-
-
 def read_batches(batches: Iterator[pd.DataFrame], reader: Reader, rows: int = 500) -> Iterator[np.ndarray]:
     for got in batches:
         for at in range(0, len(got), rows):
@@ -196,8 +185,7 @@ def word_counts(texts: DataFrame, seed: int) -> DataFrame:
         reader, n = Reader(seed), np.zeros(0, np.int64)
 
         def out():
-            langs, words = zip(*reader.words[1:]) if len(reader.words) > 1 else ((), ())
-            return pd.DataFrame({"lang": langs, "word": words, "symbol": reader.symbols(1), "n": np.pad(n, (0, len(reader.words) - len(n)))[1:]})
+            return pd.DataFrame({"lang": reader.langs[1:], "word": reader.words[1:], "n": np.pad(n, (0, len(reader.words) - len(n)))[1:]})
         for flat in read_batches(batches, reader):
             more = np.bincount(flat, minlength=len(reader.words))
             more[:len(n)] += n
@@ -207,125 +195,205 @@ def word_counts(texts: DataFrame, seed: int) -> DataFrame:
                 reader.clear()
                 n = np.zeros(0, np.int64)
         yield out()
-    found = texts.mapInPandas(count, "lang binary, word binary, symbol long, n long")
-    return (found.groupBy("lang", "word", "symbol").agg(F.sum("n").alias("n"))
-            .select(F.col("lang").cast("string").alias("lang"), F.col("word").cast("string").alias("word"), "symbol", "n"))
+
+    @F.pandas_udf("long")
+    def symbols(lang: pd.Series, word: pd.Series) -> pd.Series:
+        return pd.Series([symbol(bytes(a), bytes(b), seed) for a, b in zip(lang, word)], dtype="int64")
+    found = texts.mapInPandas(count, "lang binary, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return found.select(F.col("lang").cast("string").alias("lang"), F.col("word").cast("string").alias("word"), symbols("lang", "word").alias("symbol"), "n")
+
+
+def cell_of(*symbols: np.ndarray) -> np.ndarray:
+    """Cell of the sketch of phrases, given their first symbols, their second ones and so on."""
+    x = np.full(len(symbols[0]), len(symbols), np.uint64)
+    for one in symbols:
+        x = (x ^ one.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+    return (x >> np.uint64(35)).astype(np.int64)
 
 
 class Walk:
-    """What a pass keeps in a task: word numbers, their codes in the trie, what the bit map says of them."""
+    """What a pass keeps in a task: word numbers, their symbols, whether the bit map calls them frequent."""
 
     def __init__(self, shared: dict, seed: int):
-        self.reader, self.trie, self.bits = Reader(seed), shared["trie"], shared["bits"]
-        self.of, self.part = shared["of"], shared["part"]
-        self.symbols, self.code, self.frequent, self.here = (np.zeros(0, x) for x in (np.int64, np.int64, bool, bool))
+        self.reader, self.shared = Reader(seed), shared
+        self.clear()
+
+    def clear(self) -> None:
+        self.reader.clear()
+        self.symbols, self.frequent, self.code = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
 
     def note(self) -> None:
         """Learn the words met since the last call."""
         new = self.reader.symbols(len(self.symbols))
         self.symbols = np.concatenate([self.symbols, new])
-        self.code = np.concatenate([self.code, self.trie.codes(new)])
-        bit = new % BITS
-        self.frequent = np.concatenate([self.frequent, (self.bits[bit >> 3] >> (bit & 7) & 1).astype(bool) & (new != 0)])
-        self.here = np.concatenate([self.here, new % self.of == self.part])
-
-    def clear(self) -> None:
-        self.reader.clear()
-        self.symbols, self.code, self.frequent, self.here = (x[:0] for x in (self.symbols, self.code, self.frequent, self.here))
-
-    def states(self, flat: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For one word, two and so on: the positions whose phrase of that length is in the trie, and its states."""
-        code = np.concatenate([self.code[flat], np.zeros(LONGEST, np.int64)])
+        if "bits" in self.shared:
+            self.frequent = np.concatenate([self.frequent, bit(self.shared["bits"], new % BITS) & (new != 0)])
+        if "trie" in self.shared:
+            self.code = np.concatenate([self.code, self.shared["trie"].codes(new)])
+
+    def runs(self, flat: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        """For two words, three and so on: positions from which that many are frequent, and their symbols."""
+        flat = np.append(flat, np.zeros(LONGEST, np.int64))
+        ok = self.frequent[flat]
+        at = np.flatnonzero(ok)
+        for k in range(1, longest):
+            at = at[ok[at + k]]
+            yield at, [self.symbols[flat[at + j]] for j in range(k + 1)]
+
+    def states(self, flat: np.ndarray) -> Iterator[np.ndarray]:
+        """The states of all positions whose phrase of one word is in the trie, then of two words and so on."""
+        trie, code = self.shared["trie"], np.concatenate([self.code[flat], np.zeros(LONGEST, np.int64)])
         head = code[:len(flat)]
-        at = np.flatnonzero((head > 0) & (self.trie.check[head] == 0))
+        at = np.flatnonzero((head > 0) & (trie.check[head] == 0))
         state = head[at]
-        for k in range(1, longest + 1):
-            yield at, state
-            if k < longest:
-                state = self.trie.advance(state, code[at + k])
+        for k in range(1, LONGEST + 1):
+            yield state
+            if k < LONGEST:
+                state = trie.advance(state, code[at + k])
                 at, state = at[state > 0], state[state > 0]
 
 
-def extended(texts: DataFrame, shared, words: int, seed: int) -> DataFrame:
-    """(s1, ..., n) of phrases of ``words`` + 1 words seen after a trie's phrases of ``words``, a row a task at most."""
-    columns = SYMBOLS[:words + 1]
+def bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
 
-    def extend(batches):
-        walk, keys, counts, held = Walk(shared.value, seed), [], [], 0
+def sketched(texts: DataFrame, shared, seed: int) -> DataFrame:
+    """(row, at, n): counts of phrases of two and three frequent words by cell, a row of ``ROW`` cells each."""
+    def sketch(batches):
+        walk, held, size = Walk(shared.value, seed), [], 0
 
         def out():
-            key, n = tallied(keys, counts)
-            rows = walk.trie.words[walk.trie.number[key >> 32]]
-            made = dict(zip(columns, rows.T)) | {columns[-1]: walk.symbols[key & 0xFFFFFFFF], "n": np.minimum(n, LEAST).astype(np.int32)}
-            return pd.DataFrame(made)
+            cell, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            row = cell // ROW
+            begin = np.flatnonzero(np.diff(row, prepend=-1))
+            ends = np.append(begin[1:], len(row))
+            at, n = (cell % ROW).astype("<u2"), np.minimum(n, 255).astype(np.uint8)
+            return pd.DataFrame({"row": row[begin], "at": [at[a:b].tobytes() for a, b in zip(begin, ends)], "n": [n[a:b].tobytes() for a, b in zip(begin, ends)]})
         for flat in read_batches(batches, walk.reader):
             walk.note()
-            for at, state in walk.states(flat, words):
-                pass
-            follow = np.append(flat, np.zeros(LONGEST, np.int64))[at + words]
-            ok = walk.frequent[follow]
-            if words > 1:  # the phrase without its first word, too, where it is of this trie
-                there = np.zeros(len(flat) + 1, bool)
-                there[at] = True
-                ok &= there[at + 1] | ~walk.here[np.append(flat, 0)[at + 1]]
-            key, n = np.unique(state[ok].astype(np.int64) << 32 | follow[ok], return_counts=True)
-            keys.append(key)
-            counts.append(n)
-            held += len(key)
-            if held > HELD:
-                key, n = tallied(keys, counts)
-                keys, counts, held = [key], [n], 0 if len(key) < HELD // 2 else HELD
-            if len(walk.reader.words) > KNOWN or held >= HELD:
+            for _, symbols in walk.runs(flat, 3):
+                held.append(cell_of(*symbols))
+                size += len(held[-1])
+            if size > HELD or len(walk.reader.words) > KNOWN:
                 yield out()
+                held, size = [], 0
+            if len(walk.reader.words) > KNOWN:
                 walk.clear()
-                keys, counts, held = [], [], 0
         yield out()
-    return texts.mapInPandas(extend, ", ".join(f"{c} long" for c in columns) + ", n int")
+    return texts.mapInPandas(sketch, "row int, at binary, n binary")
+
+
+def frequent_cells(sketches: DataFrame, parts: int, least: int) -> np.ndarray:
+    """Bit map of the cells with ``least`` phrases; a row's counts are summed as they stream by."""
+    def add(batches):
+        row, total = None, None
+
+        def out():
+            return pd.DataFrame({"row": [row], "bits": [zlib.compress(np.packbits(total >= min(least, 255), bitorder="little").tobytes(), 1)]})
+        for got in batches:
+            for k, at, n in zip(got["row"], got["at"], got["n"]):
+                if k != row:
+                    if row is not None:
+                        yield out()
+                    row, total = k, np.zeros(ROW, np.int64)
+                total[np.frombuffer(at, "<u2")] += np.frombuffer(n, np.uint8)
+        if row is not None:
+            yield out()
+    bits = np.zeros(CELLS // 8, np.uint8)
+    summed = sketches.repartition(parts, "row").sortWithinPartitions("row").mapInPandas(add, "row int, bits binary")
+    for r in summed.toLocalIterator():  # CELLS / ROW rows at most
+        bits[r["row"] * (ROW // 8):(r["row"] + 1) * (ROW // 8)] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return bits
+
+
+def candidates(texts: DataFrame, shared, seed: int) -> DataFrame:
+    """(s1, ..., s4) of phrases that may be frequent, 0 after the last word; a row a task at most for each."""
+    def find(batches):
+        walk, held, size = Walk(shared.value, seed), [], 0
+
+        def out():
+            rows = np.concatenate(held) if held else np.zeros((0, LONGEST), np.int64)
+            order = np.lexsort(rows.T)
+            rows = rows[order]
+            return pd.DataFrame(rows[np.any(np.diff(rows, axis=0, prepend=~rows[:1]), axis=1)], columns=SYMBOLS)
+        for flat in read_batches(batches, walk.reader):
+            walk.note()
+            cells, before = shared.value["cells"], np.zeros(0, np.int64)
+            for k, (at, symbols) in enumerate(walk.runs(flat, LONGEST), 2):
+                ok = bit(cells, cell_of(*symbols)) if k < LONGEST else np.ones(len(at), bool)
+                if k > 2:  # the phrases without the last and without the first word
+                    there = np.zeros(len(flat) + 1, bool)
+                    there[before] = True
+                    ok &= there[at] & there[at + 1]
+                before = at[ok]
+                held.append(np.column_stack([s[ok] for s in symbols] + [np.zeros(len(before), np.int64)] * (LONGEST - k)))
+                size += len(before)
+            if size > HELD // 4:  # a phrase takes four numbers
+                made = out()
+                held, size = [made.to_numpy(np.int64)], len(made)
+                if size > HELD // 8:
+                    yield made
+                    held, size = [], 0
+            if len(walk.reader.words) > KNOWN:
+                walk.clear()
+        yield out()
+    return texts.mapInPandas(find, ", ".join(f"{c} long" for c in SYMBOLS)).distinct()
 
 
 def counted(texts: DataFrame, shared, seed: int) -> DataFrame:
-    """(s1, ..., s4, n) of a trie's phrases, a row a task at most."""
+    """(number, n) of a trie's phrases, a row a task at most."""
     def count(batches):
-        walk = Walk(shared.value, seed)
-        n = np.zeros(len(walk.trie.check), np.int64)
+        walk, trie = Walk(shared.value, seed), shared.value["trie"]
+        n, held, size = np.zeros(len(trie.numbers), np.int64), [], 0
         for flat in read_batches(batches, walk.reader):
             walk.note()
-            for _, state in walk.states(flat, LONGEST):
-                n += np.bincount(state, minlength=len(n))
+            for state in walk.states(flat):
+                held.append(trie.place[state])
+                size += len(state)
+            if size > HELD:
+                n += np.bincount(np.concatenate(held), minlength=len(n))
+                held, size = [], 0
             if len(walk.reader.words) > KNOWN:
                 walk.clear()
+        if held:
+            n += np.bincount(np.concatenate(held), minlength=len(n))
         found = np.flatnonzero(n)
-        yield pd.DataFrame(dict(zip(SYMBOLS, walk.trie.words[walk.trie.number[found]].T)) | {"n": n[found]})
-    return texts.mapInPandas(count, ", ".join(f"{c} long" for c in SYMBOLS) + ", n long")
-
+        yield pd.DataFrame({"number": trie.numbers[found], "n": n[found]})
+    return texts.mapInPandas(count, "number long, n long")
 
-def columns_of(df: DataFrame) -> np.ndarray:
-    """A bounded table of longs as rows, in a fixed order."""
-    got = df.toArrow()
-    rows = np.column_stack([c.to_numpy() for c in got.columns]) if got.num_rows else np.zeros((0, got.num_columns), np.int64)
-    return rows[np.lexsort(rows.T[::-1])]
 
-
-def tries(spark, frequent: DataFrame, phrases: list[DataFrame], most: int):
-    """Broadcast tries, one after another, which together hold the frequent words and ``phrases``."""
-    total = frequent.count() + sum(p.count() for p in phrases)
-    of = max(1, -(-total // most))
-    # One row a 64-bit word of the map: BITS / 64 rows at most, whatever the number of words.
+def tries(spark, phrases: DataFrame, most: int):
+    """Broadcast tries, one after another, which together hold ``phrases`` (number, s1, ..., s4)."""
+    of = max(1, -(-phrases.count() // most))
+    for part in range(of):
+        mine = phrases.where(F.pmod("s1", F.lit(of)) == part)
+        rows, numbers = [], []
+        for k in range(1, LONGEST + 1):
+            there = mine.where(F.col(SYMBOLS[k - 1]) != 0)
+            there = there if k == LONGEST else there.where(F.col(SYMBOLS[k]) == 0)
+            got = there.select("number", *SYMBOLS[:k]).orderBy("number").toArrow()
+            numbers.append(got["number"].to_numpy())
+            rows.append(np.column_stack([got[c].to_numpy() for c in SYMBOLS[:k]]))
+            del got
+        yield spark.sparkContext.broadcast({"trie": Trie(rows, numbers)})
+
+
+def word_bits(frequent: DataFrame) -> np.ndarray:
+    """Bit map of symbols, built by 64-bit words: BITS / 64 rows at most, whatever their number."""
     place = F.pmod("symbol", F.lit(BITS))
-    rows = frequent.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(symbol, {BITS}) % 64 as int))")).alias("b")).toArrow()
+    one = F.expr(f"shiftleft(1L, cast(pmod(symbol, {BITS}) % 64 as int))")
+    rows = frequent.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(one).alias("b")).toArrow()
     bits = np.zeros(BITS // 64, np.uint64)
     bits[rows["at"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
-    for part in range(of):
-        heads = columns_of(frequent.where(F.pmod("symbol", F.lit(of)) == part).select("symbol")).ravel()
-        rows = [columns_of(p.where(F.pmod("s1", F.lit(of)) == part)) for p in phrases]
-        alphabet = np.unique(np.concatenate([heads, *[r.ravel() for r in rows]]))
-        yield spark.sparkContext.broadcast({"trie": Trie(alphabet, rows, heads), "bits": bits.view(np.uint8), "of": of, "part": part})
+    return bits.view(np.uint8)
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """All words (lang, word, symbol, n), and (s1, ..., s4, n) of the phrases of 1 to 4 words that occur ``least`` times."""
     spark = docs.sparkSession
     ship_package(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.coalesce("lang", F.lit("und")).cast("binary").alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     seed = 0
     while True:
@@ -334,19 +402,19 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST) -> tupl
             break
         seed += 1
     frequent = settle(words.where(F.col("n") >= least).select("symbol"))
-    phrases: list[DataFrame] = []
-    for size in range(1, LONGEST):
-        seen = None
-        for shared in tries(spark, frequent, phrases, most):
-            more = extended(texts, shared, size, seed)
-            seen = more if seen is None else seen.unionByName(more)
-        keys = SYMBOLS[:size + 1]
-        phrases.append(settle(seen.groupBy(*keys).agg(F.sum("n").alias("n")).where(F.col("n") >= min(least, LEAST)).select(*keys)))
+    bits = word_bits(frequent)
+    judged = {"bits": bits}
+    judged["cells"] = frequent_cells(sketched(texts, spark.sparkContext.broadcast(judged), seed), parts, least)
+    judged = spark.sparkContext.broadcast(judged)  # the driver keeps no copy
+    found = candidates(texts, judged, seed)
+    alone = frequent.select(F.col("symbol").alias("s1"), *[F.lit(0).cast("long").alias(c) for c in SYMBOLS[1:]])
+    phrases = settle(with_position(found.unionByName(alone).orderBy(*SYMBOLS), "number"))
     sums = None
-    for shared in tries(spark, frequent, phrases, most):
+    for shared in tries(spark, phrases, most):
         more = counted(texts, shared, seed)
         sums = more if sums is None else sums.unionByName(more)
-    return words, settle(sums.groupBy(*SYMBOLS).agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    totals = sums.groupBy("number").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return words, settle(phrases.join(totals, "number").select(*SYMBOLS, "n"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, most: int = MOST) -> DataFrame:

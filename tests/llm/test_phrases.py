@@ -70,34 +70,73 @@ def test_colliding_symbols_change_the_seed(spark, edge, monkeypatch):
     assert tried == [0, 1]
 
 
-def test_small_dictionaries_and_buffers(monkeypatch):
-    """Tasks that must empty their tables again and again count the same."""
+class Frame:
+    """One partition of rows, in place of a DataFrame."""
+
+    def __init__(self, rows):
+        self.rows = rows
+
+    def mapInPandas(self, run, schema):
+        import pandas as pd
+        return Rows(pd.concat(list(run(iter([self.rows]))), ignore_index=True))
+
+
+class Rows:
+    def __init__(self, got):
+        self.got = got
+
+    def distinct(self):
+        return self.got
+
+
+class Shared:
+    def __init__(self, **value):
+        self.value = value
+
+
+@pytest.mark.parametrize("known, held", [(3, 50), (500_000, 4_000_000)])
+def test_small_dictionaries_and_buffers(monkeypatch, known, held):
+    """Tasks that must empty their tables again and again find the same."""
     import pandas as pd
 
-    monkeypatch.setattr(collocations, "KNOWN", 3)
+    monkeypatch.setattr(collocations, "KNOWN", known)
+    monkeypatch.setattr(collocations, "HELD", held)
     rows = pd.DataFrame({"lang": [b"en", b"de"] * 600, "text": [b"a b c, d e f", b"a b A B"] * 600})
     a, b, c = (collocations.symbol(b"en", w, 0) for w in (b"a", b"b", b"c"))
-    trie = collocations.Trie(np.unique([a, b, c]), [np.array([[a, b], [b, c]])], np.array([a, b]))
-
-    class Shared:
-        value = {"trie": trie, "bits": np.full(collocations.BITS // 8, 255, np.uint8), "of": 1, "part": 0}
-
-    class Frame:
-        def mapInPandas(self, run, schema):
-            return pd.concat(list(run(iter([rows]))))
-    n = collocations.counted(Frame(), Shared, 0).groupby(collocations.SYMBOLS)["n"].sum()
-    assert sorted(n) == [600] * 4
-    more = collocations.extended(Frame(), Shared, 2, 0).groupby(["s1", "s2", "s3"])["n"].sum()
-    assert len(more) == 1 and more.iloc[0] >= 30
+    everything = np.full(collocations.BITS // 8, 255, np.uint8)
+    found = collocations.candidates(Frame(rows), Shared(bits=everything, cells=np.full(collocations.CELLS // 8, 255, np.uint8)), 0)
+    assert {tuple(r) for r in found.to_numpy()} >= {(a, b, 0, 0), (b, c, 0, 0), (a, b, c, 0)} and len(found.drop_duplicates()) == 6 + 5
+    none = collocations.candidates(Frame(rows), Shared(bits=everything, cells=np.zeros(collocations.CELLS // 8, np.uint8)), 0)
+    assert len(none) == 0
+    empty = np.zeros((0, 3), np.int64)
+    trie = collocations.Trie([np.array([[a], [b]]), np.array([[a, b], [b, c]]), empty, np.zeros((0, 4), np.int64)],
+                             [np.array([1, 2]), np.array([3, 4]), empty[:, 0], empty[:, 0]])
+    n = collocations.counted(Frame(rows), Shared(trie=trie), 0).got.groupby("number")["n"].sum()
+    assert dict(n) == {1: 600, 2: 600, 3: 600, 4: 600}
+    got = collocations.sketched(Frame(rows), Shared(bits=everything), 0).got
+    cells = Counter()
+    for row, at, k in zip(got["row"], got["at"], got["n"]):
+        cells.update({row * collocations.ROW + x: y for x, y in zip(np.frombuffer(at, "<u2").tolist(), np.frombuffer(k, np.uint8).tolist())})
+    one = int(collocations.cell_of(np.array([a]), np.array([b]), np.array([c]))[0])
+    assert cells[one] >= 30  # a task's counts stop at 255 a batch
+
+
+def test_frequent_cells(spark, monkeypatch):
+    rows = [(k, np.array([3, 9], "<u2").tobytes(), bytes([10, n])) for k in (0, 7) for n in (1, 25, 5)]
+    df = spark.createDataFrame(rows, "row int, at binary, n binary").repartition(4)
+    bits = collocations.frequent_cells(df, 3, 31)
+    on = np.flatnonzero(np.unpackbits(bits, bitorder="little"))
+    assert on.tolist() == [9, 7 * collocations.ROW + 9]
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(1, 40), min_size=4, max_size=4), min_size=1, max_size=60), st.integers(0, 3))
 def test_trie_holds_its_phrases_only(rows, seed):
     rows = np.array(rows, np.int64)
-    two, three, four = (np.unique(rows[:, :k], axis=0) for k in (2, 3, 4))
-    trie = collocations.Trie(np.unique(rows), [two, three, four], np.unique(rows))
-    known = {tuple(r) for x in (two, three, four) for r in x}
+    all_ = [np.unique(rows)[:, None], *[np.unique(rows[:, :k], axis=0) for k in (2, 3, 4)]]
+    numbers = np.split(np.arange(sum(map(len, all_))), np.cumsum([len(x) for x in all_])[:-1])
+    trie = collocations.Trie(list(all_), numbers)
+    known = {tuple(r): n for x, ns in zip(all_, numbers) for r, n in zip(x, ns)}
     tried = np.random.default_rng(seed).integers(0, 42, (200, 4))
     for q in np.concatenate([tried, rows]):
         code = trie.codes(q)
@@ -106,7 +145,7 @@ def test_trie_holds_its_phrases_only(rows, seed):
             state = trie.advance(state, code[k:k + 1])
             assert (state[0] > 0) == (tuple(q[:k + 1]) in known)
             if state[0]:
-                assert tuple(trie.words[trie.number[state[0]]][:k + 1]) == tuple(q[:k + 1])
+                assert trie.numbers[trie.place[state[0]]] == known[tuple(q[:k + 1])]
 
 
 # --- parsed fingerprints
