@@ -32,6 +32,8 @@ from .common import attach, settle, shard_of, ship_package
 
 #: Occurrences of a phrase that counts; words of the longest one; phrases of one trie; rows reported per lang.
 LEAST, LONGEST, MOST, TOP = 30, 4, 2_000_000, 2000
+#: Phrases of a row of counts.
+SHARD = 4096
 #: Words in a task's dictionary, phrases that it holds unsorted, bits of the map of frequent words, and of the sketch and a row of it.
 KNOWN, HELD, BITS, CELLS, ROW = 300_000, 2_000_000, 1 << 26, 1 << 29, 1 << 16
 CUTS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\xff" * 10 + b" ")  # 0xff is in no UTF-8 text
@@ -66,9 +68,9 @@ class Trie:
             for k in range(1, codes.shape[1] - 1):
                 state = self.advance(state, codes[:, k])
             states.append(self.add(self.add(state, codes[:, -1] // self.radix), codes[:, -1] % self.radix))
-        self.numbers = np.concatenate(numbers)
-        self.place = np.full(len(self.check), -1, np.int32)  # of a state's number
-        self.place[np.concatenate(states)] = np.arange(len(self.numbers), dtype=np.int32)
+        self.size = 1 + max((int(x.max()) for x in numbers if len(x)), default=-1)
+        self.place = np.full(len(self.check), -1, np.int32)  # what stands for a state's phrase
+        self.place[np.concatenate(states)] = np.concatenate(numbers)
 
     def codes(self, symbols: np.ndarray) -> np.ndarray:
         """1 and up; 0 for symbols outside the alphabet."""
@@ -342,10 +344,12 @@ def candidates(texts: DataFrame, shared, seed: int) -> DataFrame:
 
 
 def counted(texts: DataFrame, shared, seed: int) -> DataFrame:
-    """(number, n) of a trie's phrases, a row a task at most."""
+    """(part, at, counts) of a trie's phrases: a task's counts, ``SHARD`` phrases a row."""
+    part = shared.value["part"]
+
     def count(batches):
         walk, trie = Walk(shared.value, seed), shared.value["trie"]
-        n, held, size = np.zeros(len(trie.numbers), np.int64), [], 0
+        n, held, size = np.zeros(trie.size, np.int64), [], 0
         for flat in read_batches(batches, walk.reader):
             walk.note()
             for state in walk.states(flat):
@@ -358,25 +362,45 @@ def counted(texts: DataFrame, shared, seed: int) -> DataFrame:
                 walk.clear()
         if held:
             n += np.bincount(np.concatenate(held), minlength=len(n))
-        found = np.flatnonzero(n)
-        yield pd.DataFrame({"number": trie.numbers[found], "n": n[found]})
-    return texts.mapInPandas(count, "number long, n long")
+        at = [k for k in range(0, len(n), SHARD) if n[k:k + SHARD].any()]
+        yield pd.DataFrame({"part": part, "at": at, "counts": [zlib.compress(n[k:k + SHARD].astype("<i8").tobytes(), 1) for k in at]})
+    return texts.mapInPandas(count, "part int, at long, counts binary")
 
 
-def tries(spark, phrases: DataFrame, most: int):
-    """Broadcast tries, one after another, which together hold ``phrases`` (number, s1, ..., s4)."""
-    of = max(1, -(-phrases.count() // most))
+def summed(shards: DataFrame, parts: int, least: int) -> DataFrame:
+    """(part, place, n) of the phrases with ``least``: the tasks' counts of a shard are summed as they stream by."""
+    def add(batches):
+        key, total = None, None
+
+        def out():
+            found = np.flatnonzero(total >= least)
+            return pd.DataFrame({"part": key[0], "place": key[1] + found, "n": total[found]})
+        for got in batches:
+            for part, at, counts in zip(got["part"], got["at"], got["counts"]):
+                own = np.frombuffer(zlib.decompress(counts), "<i8")
+                if (part, at) != key:
+                    if key is not None:
+                        yield out()
+                    key, total = (part, at), np.zeros(len(own), np.int64)
+                total = total + own
+        if key is not None:
+            yield out()
+    return shards.repartition(parts, "part", "at").sortWithinPartitions("part", "at").mapInPandas(add, "part int, place long, n long")
+
+
+def tries(spark, phrases: DataFrame, of: int):
+    """Broadcast tries, one after another, which together hold ``phrases`` (part, place, s1, ..., s4)."""
     for part in range(of):
-        mine = phrases.where(F.pmod("s1", F.lit(of)) == part)
+        mine = phrases.where(F.col("part") == part)
         rows, numbers = [], []
         for k in range(1, LONGEST + 1):
             there = mine.where(F.col(SYMBOLS[k - 1]) != 0)
             there = there if k == LONGEST else there.where(F.col(SYMBOLS[k]) == 0)
-            got = there.select("number", *SYMBOLS[:k]).orderBy("number").toArrow()
-            numbers.append(got["number"].to_numpy())
+            got = there.select("place", *SYMBOLS[:k]).orderBy("place").toArrow()
+            numbers.append(got["place"].to_numpy())
             rows.append(np.column_stack([got[c].to_numpy() for c in SYMBOLS[:k]]))
             del got
-        yield spark.sparkContext.broadcast({"trie": Trie(rows, numbers)})
+        yield spark.sparkContext.broadcast({"trie": Trie(rows, numbers), "part": part})
 
 
 def word_bits(frequent: DataFrame) -> np.ndarray:
@@ -408,13 +432,17 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST) -> tupl
     judged = spark.sparkContext.broadcast(judged)  # the driver keeps no copy
     found = candidates(texts, judged, seed)
     alone = frequent.select(F.col("symbol").alias("s1"), *[F.lit(0).cast("long").alias(c) for c in SYMBOLS[1:]])
-    phrases = settle(with_position(found.unionByName(alone).orderBy(*SYMBOLS), "number"))
-    sums = None
-    for shared in tries(spark, phrases, most):
+    phrases = settle(found.unionByName(alone))
+    of = max(1, -(-phrases.count() // most))
+    # A part's phrases are numbered from 0: places in the sorted whole, less that of the part's first.
+    ranked = settle(with_position(phrases.withColumn("part", F.pmod("s1", F.lit(of)).cast("int")).orderBy("part", *SYMBOLS), "number"))
+    first = ranked.groupBy("part").agg(F.min("number").alias("first"))  # ``of`` rows
+    placed = settle(ranked.join(first, "part").select("part", (F.col("number") - F.col("first")).alias("place"), *SYMBOLS))
+    shards = None
+    for shared in tries(spark, placed, of):
         more = counted(texts, shared, seed)
-        sums = more if sums is None else sums.unionByName(more)
-    totals = sums.groupBy("number").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return words, settle(phrases.join(totals, "number").select(*SYMBOLS, "n"))
+        shards = more if shards is None else shards.unionByName(more)
+    return words, settle(placed.join(summed(shards, parts, least), ["part", "place"]).select(*SYMBOLS, "n"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, most: int = MOST) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -111,8 +112,8 @@ def test_small_dictionaries_and_buffers(monkeypatch, known, held):
     empty = np.zeros((0, 3), np.int64)
     trie = collocations.Trie([np.array([[a], [b]]), np.array([[a, b], [b, c]]), empty, np.zeros((0, 4), np.int64)],
                              [np.array([1, 2]), np.array([3, 4]), empty[:, 0], empty[:, 0]])
-    n = collocations.counted(Frame(rows), Shared(trie=trie), 0).got.groupby("number")["n"].sum()
-    assert dict(n) == {1: 600, 2: 600, 3: 600, 4: 600}
+    (row,) = collocations.counted(Frame(rows), Shared(trie=trie, part=0), 0).got.itertuples()
+    assert row.part == row.at == 0 and np.frombuffer(zlib.decompress(row.counts), "<i8").tolist() == [0, 600, 600, 600, 600]
     got = collocations.sketched(Frame(rows), Shared(bits=everything), 0).got
     cells = Counter()
     for row, at, k in zip(got["row"], got["at"], got["n"]):
@@ -121,6 +122,14 @@ def test_small_dictionaries_and_buffers(monkeypatch, known, held):
     assert cells[one] >= 30  # a task's counts stop at 255 a batch
 
 
+def test_counts_of_tasks_are_summed_by_shard(spark):
+    def packed(x):
+        return zlib.compress(np.array(x, "<i8").tobytes())
+    rows = [(0, 0, packed([1, 30, 0])), (0, 0, packed([2, 5, 0])), (0, 4096, packed([40])), (1, 0, packed([3, 29, 30]))]
+    got = collocations.summed(spark.createDataFrame(rows, "part int, at long, counts binary").repartition(3), 2, 30).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 35), (0, 4096, 40), (1, 2, 30)]
+
+
 def test_frequent_cells(spark, monkeypatch):
     rows = [(k, np.array([3, 9], "<u2").tobytes(), bytes([10, n])) for k in (0, 7) for n in (1, 25, 5)]
     df = spark.createDataFrame(rows, "row int, at binary, n binary").repartition(4)
@@ -145,7 +154,7 @@ def test_trie_holds_its_phrases_only(rows, seed):
             state = trie.advance(state, code[k:k + 1])
             assert (state[0] > 0) == (tuple(q[:k + 1]) in known)
             if state[0]:
-                assert trie.numbers[trie.place[state[0]]] == known[tuple(q[:k + 1])]
+                assert trie.place[state[0]] == known[tuple(q[:k + 1])]
 
 
 # --- parsed fingerprints
