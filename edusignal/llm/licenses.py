@@ -4,12 +4,13 @@ parser evaluates licence expressions with AND, OR and WITH.
 Words are runs of a-z, 0-9 and non-ASCII characters of the text with A-Z lower-cased.  Base labels are
 places where a base phrase's words stand consecutively.  The method adds: labels of further
 notice phrases, and licences of expressions behind identifier tags (``SPDX-License-Identifier:``
-and the like), whose known identifiers are the operands.  ``a or b`` offers both,
-``a and b`` asks for both, ``x with e`` is one licence with an exception.
+and the like), whose identifiers are the operands, unknown ones by their own name.  ``a or b`` offers both,
+``a and b`` asks for both, ``x with e`` is one licence with an exception, which the expression keeps.
 
 Defined cases: null counts as empty: no words, no labels, null places, score 0; equal
 places of different phrases all count; a tag with an expression that can't be parsed gives the
-identifiers it has up to the fault.
+identifiers it has up to the fault; null doc_ids and repeated rows are scanned like any other, long texts whole; an empty table
+gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -57,6 +58,8 @@ NOTICES = {
 
 # Tags that an identifier expression follows.
 TAGS = ("spdx-license-identifier:", "license-expression:", "\"license\":", "license:")
+# The tags that only identifiers follow, and how identifiers of one's own begin.
+SURE, REFERENCE = TAGS[:2], ("licenseref-", "documentref-")
 
 # Identifiers (lower case) and their labels.
 IDENTIFIERS = {
@@ -121,19 +124,21 @@ def parse(parts: list[str]) -> list[str]:
     return out + [s for s in reversed(stack) if s != "("]
 
 
-def evaluate(postfix: list[str]) -> tuple[str, set[str]]:
-    """The expression with labels for identifiers (unknown ones drop out), and its labels."""
+def evaluate(postfix: list[str], sure: bool = True) -> tuple[str, set[str]]:
+    """The expression with labels for identifiers, and its labels.  An unknown identifier is its own label where the tag
+    makes ``sure`` that it is one, beside a known one, or if it says so itself (``LicenseRef-``); else the word is prose."""
+    operands = [p for p in postfix if p not in POWER]
+    if not (sure or any(p in IDENTIFIERS or p.startswith(REFERENCE) for p in operands)):
+        return "", set()
     stack: list[tuple[str, set[str]]] = []
     for p in postfix:
         if p not in POWER:
-            label = IDENTIFIERS.get(p)
-            stack.append((label or "", {label} if label else set()))
+            label = IDENTIFIERS.get(p, p)
+            stack.append((label, {label}))
         elif len(stack) > 1:
             (b, more), (a, some) = stack.pop(), stack.pop()
-            if p == "with":  # one licence, its exception gives no label
-                stack.append((a, some))
-            else:
-                stack.append((f"({a} {p} {b})" if a and b else a or b, some | more))
+            # one licence with its exception: the exception is no licence of its own
+            stack.append((f"({a} {p} {b})", some if p == "with" else some | more))
     return stack[-1] if stack else ("", set())
 
 
@@ -167,7 +172,7 @@ def scan(text: str | None) -> dict:
     expressions, offered = [], set()
     low = text.encode("utf-8", "surrogatepass").translate(LOWER).decode("utf-8", "surrogatepass")
     for end, tag in tags.iter(low):
-        shown, found = evaluate(parse(tokens(low, end + 1)))
+        shown, found = evaluate(parse(tokens(low, end + 1)), tag in SURE)
         if found:
             expressions.append(shown)
             offered |= found

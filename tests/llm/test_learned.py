@@ -282,12 +282,22 @@ def test_licenses(every, spark, empty):
     want = sorted([(i, *brute_license(t)) for i, t in source(docs)], key=key)
     assert [r[:6] for r in got] == want
     by = {r[0]: r for r in got}
-    assert by[100002][6] == "apache-2,gpl-2,mit" and by[100002][8] == ["((mit or apache-2) and gpl-2)"]
+    assert by[100002][6] == "apache-2,gpl-2,mit" and by[100002][8] == ["((mit or apache-2) and (gpl-2 with x))"]
     assert by[100003][6] == "mit" and by[100004][6] == "bsd-3-clause" and 0 <= by[100004][7] <= 1
     assert all(set(r[5].split(",")) - {""} <= set(r[6].split(",")) for r in got)
     assert licenses.find_licenses(empty).count() == 0
 
 
+def test_unknown_licences_and_exceptions_stay():
+    own = licenses.scan("SPDX-License-Identifier: LicenseRef-x OR GPL-2.0-only WITH Classpath-exception-2.0")
+    assert own["labels"] == "gpl-2,licenseref-x" and own["expressions"] == ["(licenseref-x or (gpl-2 with classpath-exception-2.0))"]
+    assert licenses.scan("SPDX-License-Identifier: NCSA")["labels"] == "ncsa"
+    assert licenses.scan("license: artistic-2.0 or mit")["labels"] == "artistic-2.0,mit"
+    assert licenses.scan("license: LicenseRef-ours")["labels"] == "licenseref-ours"
+    prose = licenses.scan("License: see the file. Driver license: required, and more")
+    assert prose["labels"] == "" and prose["score"] == 0
+
+
 def test_shunting_yard():
     assert licenses.parse("mit or apache-2.0 and gpl-2.0 with x".split()) == ["mit", "apache-2.0", "gpl-2.0", "x", "with", "and", "or"]
     assert licenses.parse("( mit or isc ) and zlib".split()) == ["mit", "isc", "or", "zlib", "and"]
