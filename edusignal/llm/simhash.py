@@ -20,7 +20,7 @@ written to the shared checkpoint folder.
 
 Defined cases: null text counts as empty, texts without words have fingerprint zero and
 are linked like any other; null doc_ids count last for the smallest id; repeated rows share
-their fingerprint; an empty table gives no rows.
+their fingerprint; an empty table gives no rows; an odd distance is refused.
 """
 
 from __future__ import annotations
@@ -106,7 +106,10 @@ def unpack(data: bytes) -> np.ndarray:
 
 def links(prints: DataFrame, distance: int) -> DataFrame:
     """Verified links (a, b), a > b, among the distinct fingerprints ``fp``: every two that
-    share a variant are joined through the variant's smallest fingerprint."""
+    share a variant are joined through the variant's smallest fingerprint.  ``distance`` is even: with an odd one, two
+    fingerprints of a variant could be one bit too far apart, and links through the smallest would be lost."""
+    if distance % 2:
+        raise ValueError("the distance must be even")
     ball = masks(distance // 2)
     n = prints.count()
     variants = max(1, n * len(ball))

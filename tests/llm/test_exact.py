@@ -237,3 +237,9 @@ def test_fullest_is_optimal(lengths, room):
     best = max(s for s in sums if s <= room)
     found = packing.fullest(room, left, sorted(left, reverse=True))
     assert sum(a * b for a, b in found) == best and all(b <= left[a] for a, b in found)
+
+
+def test_odd_distances_are_refused(edge):
+    import pytest
+    with pytest.raises(ValueError, match="even"):
+        simhash.near_groups(edge, distance=3)
