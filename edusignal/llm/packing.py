@@ -75,6 +75,7 @@ class WordIds(dict):
                 own = self.tok.encode(shown, add_special_tokens=False).ids
             ids = array("I", own).tobytes()
         if len(self) >= REMEMBERED:  # words not met for long are forgotten
+            self.older = {}  # first: three generations are never held at once
             self.older = dict(self)
             self.clear()
         self[word] = ids
@@ -169,6 +170,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1
 
     @F.pandas_udf("sequence_id long, offset long")
     def placed(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        held("places", dict)  # no words beside the rows that are placed
         n, r = length.to_numpy(np.int64), rank.to_numpy(np.int64)
         at = np.searchsorted(size * (1 << 48) + first, n * (1 << 48) + r, "right") - 1
         j = r - first[at]
