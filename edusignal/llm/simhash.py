@@ -145,7 +145,7 @@ def links(prints: DataFrame, distance: int) -> DataFrame:
             at = np.minimum(np.searchsorted(twice, part), max(0, len(twice) - 1))
             hit = np.unique(part[twice[at] == part]) if len(twice) else part[:0]
             if len(hit):
-                out.append((to, (hit | np.uint64(key[0] << rest)).astype("<u8").tobytes()))
+                out.append((to, (hit | np.uint64(int(key[0]) << rest)).astype("<u8").tobytes()))
         return pd.DataFrame(out, columns=["block", "hits"])
 
     def tell(rows: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
