@@ -1,11 +1,11 @@
 """Phrase collocations, counted by broadcast double-array tries.
 
 A symbol is a 64-bit hash of (lang, word), so everything is per lang; the seed is changed until no two words of the corpus share
-a symbol.  Candidates are Apriori-safe: all their words are frequent, and so may be every phrase of two or three words within
-them, judged by a sketch: tasks count such phrases by cell of a hash, the counts of a cell are summed, and a cell below
-``least`` holds no frequent phrase.  A false alarm costs time only.  Words and candidates of all lengths then make one double-array trie; a pass
-over all texts advances the states of all text positions together, word by word, bincounts the states reached, and the tasks'
-counts are summed.
+a symbol.  Candidates are Apriori-safe: all their words are frequent, and so may be they themselves and every phrase of two or
+three words within them, judged by a sketch: tasks count phrases of two to four frequent words by cell of a hash, the counts of
+a cell are summed, and a cell below ``least`` holds no frequent phrase.  A false alarm costs time only.  Words and candidates of
+all lengths then make one double-array trie; a pass over all texts advances the states of all text positions together, word by
+word, bincounts the states reached, and the tasks' counts are summed.
 
 A word's code is two digits in the trie, so a node has few children and the arrays stay dense.  A trie holds ``most`` phrases at
 most, whatever the corpus: beyond that, phrases are split by their first symbol into several tries, each broadcast for a
@@ -205,13 +205,18 @@ def word_counts(texts: DataFrame, seed: int) -> DataFrame:
     return found.select(F.col("lang").cast("string").alias("lang"), F.col("word").cast("string").alias("word"), symbols("lang", "word").alias("symbol"), "n")
 
 
-def cell_of(*symbols: np.ndarray) -> np.ndarray:
-    """Cell of the sketch of phrases, given their first symbols, their second ones and so on."""
+def mixed(*symbols: np.ndarray) -> np.ndarray:
+    """A hash of phrases, given their first symbols, their second ones and so on."""
     x = np.full(len(symbols[0]), len(symbols), np.uint64)
     for one in symbols:
         x = (x ^ one.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(29)
-    return (x >> np.uint64(35)).astype(np.int64)
+    return x
+
+
+def cell_of(*symbols: np.ndarray) -> np.ndarray:
+    """Cell of the sketch of phrases, given as for :func:`mixed`."""
+    return (mixed(*symbols) >> np.uint64(35)).astype(np.int64)
 
 
 class Walk:
@@ -261,7 +266,7 @@ def bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def sketched(texts: DataFrame, shared, seed: int) -> DataFrame:
-    """(row, at, n): counts of phrases of two and three frequent words by cell, a row of ``ROW`` cells each."""
+    """(row, at, n): counts of phrases of two to ``LONGEST`` frequent words by cell, a row of ``ROW`` cells each."""
     def sketch(batches):
         walk, held, size = Walk(shared.value, seed), [], 0
 
@@ -274,7 +279,7 @@ def sketched(texts: DataFrame, shared, seed: int) -> DataFrame:
             return pd.DataFrame({"row": row[begin], "at": [at[a:b].tobytes() for a, b in zip(begin, ends)], "n": [n[a:b].tobytes() for a, b in zip(begin, ends)]})
         for flat in read_batches(batches, walk.reader):
             walk.note()
-            for _, symbols in walk.runs(flat, 3):
+            for _, symbols in walk.runs(flat, LONGEST):
                 held.append(cell_of(*symbols))
                 size += len(held[-1])
             if size > HELD or len(walk.reader.words) > KNOWN:
@@ -310,36 +315,45 @@ def frequent_cells(sketches: DataFrame, parts: int, least: int) -> np.ndarray:
 
 
 def candidates(texts: DataFrame, shared, seed: int) -> DataFrame:
-    """(s1, ..., s4) of phrases that may be frequent, 0 after the last word; a row a task at most for each."""
+    """(s1, ..., s4) of phrases that may be frequent, 0 after the last word; a task sends each once, unless it meets more than
+    ``HELD`` / 2 different ones."""
+    def distinct(rows):
+        """Rows by their hash, and the hashes; of equal ones one, but for those that a rare tie of hashes parts."""
+        key = mixed(*(np.ascontiguousarray(c) for c in rows.T))
+        order = np.argsort(key)
+        key, rows = key[order], rows[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+        return key[new], rows[new]
+
     def find(batches):
         walk, held, size = Walk(shared.value, seed), [], 0
-
-        def out():
-            rows = np.concatenate(held) if held else np.zeros((0, LONGEST), np.int64)
-            order = np.lexsort(rows.T)
-            rows = rows[order]
-            return pd.DataFrame(rows[np.any(np.diff(rows, axis=0, prepend=~rows[:1]), axis=1)], columns=SYMBOLS)
+        key, known = distinct(np.zeros((0, LONGEST), np.int64))
         for flat in read_batches(batches, walk.reader):
             walk.note()
-            cells, before = shared.value["cells"], np.zeros(0, np.int64)
+            cells, before, met = shared.value["cells"], np.zeros(0, np.int64), []
             for k, (at, symbols) in enumerate(walk.runs(flat, LONGEST), 2):
-                ok = bit(cells, cell_of(*symbols)) if k < LONGEST else np.ones(len(at), bool)
+                ok = bit(cells, cell_of(*symbols))
                 if k > 2:  # the phrases without the last and without the first word
                     there = np.zeros(len(flat) + 1, bool)
                     there[before] = True
                     ok &= there[at] & there[at + 1]
                 before = at[ok]
-                held.append(np.column_stack([s[ok] for s in symbols] + [np.zeros(len(before), np.int64)] * (LONGEST - k)))
-                size += len(before)
-            if size > HELD // 4:  # a phrase takes four numbers
-                made = out()
-                held, size = [made.to_numpy(np.int64)], len(made)
-                if size > HELD // 8:
-                    yield made
-                    held, size = [], 0
-            if len(walk.reader.words) > KNOWN:
+                met.append(np.column_stack([s[ok] for s in symbols] + [np.zeros(len(before), np.int64)] * (LONGEST - k)))
+            its, rows = distinct(np.concatenate(met))
+            if len(known):
+                rows = rows[(known[np.minimum(np.searchsorted(key, its), len(known) - 1)] != rows).any(axis=1)]
+            held.append(rows)
+            size += len(rows)
+            if size > HELD // 16:  # a phrase takes five numbers
+                key, known = distinct(np.concatenate([known, *held]))
+                held, size = [], 0
+                if len(known) > HELD // 2:
+                    yield pd.DataFrame(known, columns=SYMBOLS)
+                    key, known = key[:0], known[:0].copy()
+            if len(walk.reader.words) > KNOWN // 2:  # beside the phrases
                 walk.clear()
-        yield out()
+        yield pd.DataFrame(distinct(np.concatenate([known, *held]))[1], columns=SYMBOLS)
     return texts.mapInPandas(find, ", ".join(f"{c} long" for c in SYMBOLS)).distinct()
 
 
@@ -430,7 +444,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST) -> tupl
     judged = {"bits": bits}
     judged["cells"] = frequent_cells(sketched(texts, spark.sparkContext.broadcast(judged), seed), parts, least)
     judged = spark.sparkContext.broadcast(judged)  # the driver keeps no copy
-    found = candidates(texts, judged, seed)
+    # A task a slot, not one a split: each sends all candidates that it meets, so rows would grow with splits times candidates.
+    found = candidates(texts.coalesce(max(1, spark.sparkContext.defaultParallelism)), judged, seed)
     alone = frequent.select(F.col("symbol").alias("s1"), *[F.lit(0).cast("long").alias(c) for c in SYMBOLS[1:]])
     phrases = settle(found.unionByName(alone))
     of = max(1, -(-phrases.count() // most))

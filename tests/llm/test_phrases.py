@@ -122,6 +122,45 @@ def test_small_dictionaries_and_buffers(monkeypatch, known, held):
     assert cells[one] >= 30  # a task's counts stop at 255 a batch
 
 
+def test_a_task_sends_a_candidate_once(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(collocations, "HELD", 400)
+    rows = pd.DataFrame({"lang": [b"en"] * 3000, "text": [", ".join(f"a{i} b{i}" for i in range(60)).encode()] * 3000})
+    ones = {"bits": np.full(collocations.BITS // 8, 255, np.uint8), "cells": np.full(collocations.CELLS // 8, 255, np.uint8)}
+    found = collocations.candidates(Frame(rows), Shared(**ones), 0)
+    assert len(found) == len(found.drop_duplicates()) == 60
+
+
+def test_rare_phrases_of_frequent_ones_are_no_candidates():
+    """All phrases of two and three words are frequent, that of four is not."""
+    import pandas as pd
+
+    texts = [b"a b c d"] * 10 + [b"a b c, b c d"] * 40
+    rows = pd.DataFrame({"lang": [b"en"] * len(texts), "text": texts})
+    shared = {"bits": np.full(collocations.BITS // 8, 255, np.uint8)}
+    got, n = collocations.sketched(Frame(rows), Shared(**shared), 0).got, Counter()
+    for row, at, k in zip(got["row"], got["at"], got["n"]):
+        n.update({row * collocations.ROW + x: y for x, y in zip(np.frombuffer(at, "<u2").tolist(), np.frombuffer(k, np.uint8).tolist())})
+    on = np.zeros(collocations.CELLS // 8, np.uint8)
+    for cell in (c for c, k in n.items() if k >= 30):
+        on[cell >> 3] |= 1 << (cell & 7)
+    found = collocations.candidates(Frame(rows), Shared(cells=on, **shared), 0).to_numpy()
+    assert len(found) == 5 and not found[:, 3].any()
+
+
+def test_candidates_are_sent_by_a_task_a_slot(spark, edge, monkeypatch):
+    tasks = []
+
+    def spy(texts, shared, seed, real=collocations.candidates):
+        tasks.append(texts.rdd.getNumPartitions())
+        return real(texts, shared, seed)
+    monkeypatch.setattr(collocations, "candidates", spy)
+    slots = spark.sparkContext.defaultParallelism
+    collocations.phrase_counts(edge.repartition(3 * slots))
+    assert tasks == [slots]
+
+
 def test_counts_of_tasks_are_summed_by_shard(spark):
     def packed(x):
         return zlib.compress(np.array(x, "<i8").tobytes())
