@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import as_of_lit, floor_days, whole_weeks
 from .skew import attach, shard_of
-from .exercises import (SUMMARY_COLS, attempts_by_content, decimal_avg, h5p_rollup, h5p_user_rollup,
-                        video_summary, video_views)
+from .exercises import (SUMMARY_COLS, attempts_by_student, decimal_avg, h5p_rollup, h5p_user_rollup, video_views,
+                        videos_by_student)
 
 KEYS = ["user_id", "course_id"]
 
@@ -71,10 +71,7 @@ def benchmarks_from_tables(e: DataFrame, h: DataFrame, prog: DataFrame, vsum: Da
                            disc: DataFrame, g: DataFrame) -> DataFrame:
     """The benchmark columns computed from our own tables, one row per
     course (each source aggregated by course, then full-outer joined)."""
-    per_user = attempts_by_content(h).groupBy("user_id", "course_id").agg(
-        F.sum("cents").alias("cents"), F.sum("n_pct").alias("n_pct"), F.sum("fin_cents").alias("fin_cents"),
-        F.sum("n_fin").alias("n_fin"), F.sum("n_rows").alias("n_rows"))
-    ex = per_user.groupBy("course_id").agg(
+    ex = attempts_by_student(h).groupBy("course_id").agg(
         F.round(decimal_avg(F.sum("cents"), F.sum("n_pct")), 2).cast("double").alias("activity_avg_score"),
         F.sum("n_rows").alias("activity_total_activities"),
         F.when(F.sum("n_fin") > 0, F.round(decimal_avg(F.sum("fin_cents"), F.sum("n_fin")), 2))
@@ -201,18 +198,21 @@ def build_raw(e: DataFrame, h: DataFrame, v: DataFrame, g: DataFrame, prog: Data
         F.col("finished_count").alias("m_finished"), F.col("avg_finished_score").alias("m_avg_fin"),
         F.col("success_count").alias("m_success"), F.col("struggling_count").alias("m_struggling"),
         F.col("assessment_attempts_avg").alias("m_opened"))
-    vs = (video_summary(v) if video_sums is None else video_sums).select(*KEYS, *[F.col(c).alias(f"vs_{c}") for c in (
-        "total_videos", "completed_videos", "in_progress_videos", "total_duration", "total_watched_time")])
+    # video totals (D23) and views (D10): one table and one join, unless the totals are stored
+    views = F.col("video_views").alias("m_views")
+    vs = (videos_by_student(v) if video_sums is None else video_sums).select(*KEYS, *[F.col(c).alias(f"vs_{c}") for c in (
+        "total_videos", "completed_videos", "in_progress_videos", "total_duration", "total_watched_time")],
+        *([views] if video_sums is None else []))
     gd = g.select(*KEYS, F.col("grade_percentage").alias("g_grade"), F.col("letter_grade").alias("g_letter"),
                   F.col("is_passed").alias("g_passed"))
     place = [F.col(c) if c in prog.columns else F.lit(None).cast("string").alias(c) for c in PLACE]
     pd_ = prog.select(*KEYS, F.col("completion_rate").alias("p_rate"), F.col("last_activity").alias("p_last"), *place)
     dd = disc.select(*KEYS, *[F.col(c).alias(f"d_{c}") for c in (
         "threads_count", "comments_count", "total_interactions", "questions_count", "total_upvotes")])
-    vv = video_views(v).select(*KEYS, F.col("video_views").alias("m_views"))
     j = (spine.join(hs, KEYS, "left").join(vs, KEYS, "left").join(gd, KEYS, "left")
-              .join(pd_, KEYS, "left").join(dd, KEYS, "left")
-              .join(vv, KEYS, "left"))
+              .join(pd_, KEYS, "left").join(dd, KEYS, "left"))
+    if video_sums is not None:
+        j = j.join(video_views(v).select(*KEYS, views), KEYS, "left")
     if dash is not None:
         j = j.join(dash.select(*KEYS, F.col("overall_completion").alias("db_completion"),
                                F.col("completed_items").alias("db_completed"),

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import wide as W
-from ..operators.exercises import attempts_by_content, h5p_rollup, video_summary
+from ..operators.exercises import attempts_by_student, h5p_rollup, video_summary, videos_by_student
 from ..operators.skew import settle
 from ..session import ensure_checkpoint_dir
 from ..sources import payloads as PL
@@ -16,16 +16,18 @@ from .contract import hdiv
 from .base import AS_OF, avg_round, hround, register
 
 
-def _bench(d, attempts=None):
+def _bench(d, attempts=None, videos=None):
     return W.benchmarks_from_tables(d.enrollments, d.h5p_scores if attempts is None else attempts, d.mooc_progress,
-                                    video_summary(d.video_progress), d.mooc_discussions, d.mooc_grades)
+                                    video_summary(d.video_progress if videos is None else videos), d.mooc_discussions, d.mooc_grades)
 
 
 def wide_rows(d, bench: bool = True, **stored):
-    """C7 for every student; the attempts are read once, for totals, metrics and benchmarks."""
-    attempts = settle(attempts_by_content(d.h5p_scores))
-    return W.build_raw(d.enrollments, attempts, d.video_progress, d.mooc_grades, d.mooc_progress,
-                       d.mooc_discussions, _bench(d, attempts) if bench else None, d.as_of, **stored)
+    """C7 for every student; the attempts and positions are summed by student once, for totals, metrics and benchmarks."""
+    attempts, videos = settle(attempts_by_student(d.h5p_scores)), d.video_progress
+    if bench:
+        videos = settle(videos_by_student(videos))
+    return W.build_raw(d.enrollments, attempts, videos, d.mooc_grades, d.mooc_progress,
+                       d.mooc_discussions, _bench(d, attempts, videos) if bench else None, d.as_of, **stored)
 
 
 @register("populate_features",
@@ -308,13 +310,15 @@ def q_wide_place(d):
 def q_wide_refreshed(d):
     """Stored wide rows from before a fifth of the students changed, and those students' rows made anew and upserted."""
     base = f"{ensure_checkpoint_dir(d.spark).rstrip('/')}/tables/{uuid.uuid4()}"
-    attempts = settle(attempts_by_content(d.h5p_scores))
-    bench = settle(_bench(d, attempts))
+    # the rows by student serve the benchmarks, the stored rows and the changed ones: each is made once
+    attempts, videos = settle(attempts_by_student(d.h5p_scores)), settle(videos_by_student(d.video_progress))
+    enrolled = settle(d.enrollments.select("user_id", "course_id", "enrollment_id", "mode", "is_active", "created"))
+    progress, discussions = settle(d.mooc_progress), settle(d.mooc_discussions.drop("username"))
+    bench = settle(W.benchmarks_from_tables(enrolled, attempts, progress, video_summary(videos), discussions, d.mooc_grades))
     later = F.col("user_id") % 5 == 0
-    before = W.build_raw(d.enrollments, attempts.where(~later), d.video_progress.where(~later), d.mooc_grades.where(~later), d.mooc_progress,
-                         d.mooc_discussions, bench, d.as_of)
+    before = W.build_raw(enrolled, attempts.where(~later), videos.where(~later), d.mooc_grades.where(~later), progress, discussions, bench,
+                         d.as_of)
     upsert_buckets(d.spark, base, before, ["user_id", "course_id"], "extracted_at", buckets=16)
-    rows = W.refreshed(d.enrollments.where(later), d.enrollments, attempts, d.video_progress, d.mooc_grades, d.mooc_progress, d.mooc_discussions,
-                       bench, d.as_of)
+    rows = W.refreshed(enrolled.where(later), enrolled, attempts, videos, d.mooc_grades, progress, discussions, bench, d.as_of)
     upsert_buckets(d.spark, base, rows, ["user_id", "course_id"], "extracted_at")
     return read_buckets(d.spark, base)

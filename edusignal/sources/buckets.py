@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.upsert import dedupe_source, upsert
+from ..session import compiled_methods
 from .sinks import _hadoop_fs
 
 BUCKETS = 64
@@ -96,6 +97,12 @@ def upsert_buckets(spark: SparkSession, base: str, src: DataFrame, keys: list[st
     if old and batch and old["batches"].get(batch[0], -1) >= batch[1]:
         return old
     buckets = old["buckets"] if old else buckets
+    with compiled_methods(spark):
+        return _upserted(spark, base, old, src, keys, order, buckets, batch, update_cols, add_cols)
+
+
+def _upserted(spark: SparkSession, base: str, old: dict | None, src: DataFrame, keys: list[str], order: str | list[str], buckets: int,
+              batch: tuple[str, int] | None, update_cols: list[str] | None, add_cols: list[str]) -> dict:
     place = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
     rows = dedupe_source(src, keys, order).withColumn("_bucket", place).persist()
     try:
