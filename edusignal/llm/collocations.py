@@ -4,7 +4,7 @@ A symbol is a 64-bit hash of (lang, word), so everything is per lang; the seed i
 a symbol.  Candidates are Apriori-safe: all their words are frequent, and so may be they themselves and every phrase of two or
 three words within them, judged by a sketch: tasks count phrases of two to four frequent words by cell of a hash, the counts of
 a cell are summed, and a cell below ``least`` holds no frequent phrase.  A false alarm costs time only.  Words and candidates of
-all lengths then make one double-array trie; a pass over all texts advances the states of all text positions together, word by
+all lengths then make one double-array trie; a pass over all texts (split and numbered once for all these passes) advances the states of all text positions together, word by
 word, bincounts the states reached, and the tasks' counts are summed.
 
 A word's code is two digits in the trie, so a node has few children and the arrays stay dense.  A trie holds ``most`` phrases at
@@ -181,6 +181,24 @@ def read_batches(batches: Iterator[pd.DataFrame], reader: Reader, rows: int = 50
             yield reader.read(got["lang"].iloc[at:at + rows].tolist(), got["text"].iloc[at:at + rows].tolist())
 
 
+def split_once(texts: DataFrame, shared, seed: int) -> DataFrame:
+    """The texts in numbers, for passes on frequent words: a row has the symbols of the different frequent words of some hundred
+    texts, and the words of these texts by their place there, from 1; 0 for other words and between pieces and texts; ``width``:
+    bytes of a place."""
+    def split(batches):
+        walk = Walk(shared.value, seed)
+        for flat in walk.read(batches):
+            seen = np.zeros(len(walk.symbols), bool)
+            seen[flat] = True
+            there = np.flatnonzero(seen & walk.frequent)
+            place = np.zeros(len(seen), np.uint16 if len(there) < 1 << 16 else np.uint32)
+            place[there] = np.arange(1, len(there) + 1)
+            yield pd.DataFrame({"symbols": [walk.symbols[there].tobytes()], "places": [place[flat].tobytes()], "width": [place.itemsize]})
+            if len(walk.reader.words) > KNOWN:
+                walk.clear()
+    return texts.mapInPandas(split, "symbols binary, places binary, width int")
+
+
 def word_counts(texts: DataFrame, seed: int) -> DataFrame:
     """(lang, word, symbol, n) of every word."""
     def count(batches):
@@ -230,9 +248,21 @@ class Walk:
         self.reader.clear()
         self.symbols, self.frequent, self.code = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
 
-    def note(self) -> None:
-        """Learn the words met since the last call."""
-        new = self.reader.symbols(len(self.symbols))
+    def read(self, batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        """Word numbers of texts, or of rows of :func:`split_once`, which bring their own words."""
+        for got in batches:
+            if "places" not in got:
+                for flat in read_batches(iter([got]), self.reader):
+                    self.learn(self.reader.symbols(len(self.symbols)))
+                    yield flat
+                continue
+            for symbols, places, width in zip(got["symbols"], got["places"], got["width"]):
+                self.clear()
+                self.learn(np.concatenate([np.zeros(1, np.int64), np.frombuffer(symbols, np.int64)]))
+                yield np.frombuffer(places, np.uint16 if width == 2 else np.uint32).astype(np.int64)
+
+    def learn(self, new: np.ndarray) -> None:
+        """Symbols of the words met since the last call."""
         self.symbols = np.concatenate([self.symbols, new])
         if "bits" in self.shared:
             self.frequent = np.concatenate([self.frequent, bit(self.shared["bits"], new % BITS) & (new != 0)])
@@ -277,8 +307,7 @@ def sketched(texts: DataFrame, shared, seed: int) -> DataFrame:
             ends = np.append(begin[1:], len(row))
             at, n = (cell % ROW).astype("<u2"), np.minimum(n, 255).astype(np.uint8)
             return pd.DataFrame({"row": row[begin], "at": [at[a:b].tobytes() for a, b in zip(begin, ends)], "n": [n[a:b].tobytes() for a, b in zip(begin, ends)]})
-        for flat in read_batches(batches, walk.reader):
-            walk.note()
+        for flat in walk.read(batches):
             for _, symbols in walk.runs(flat, LONGEST):
                 held.append(cell_of(*symbols))
                 size += len(held[-1])
@@ -329,8 +358,7 @@ def candidates(texts: DataFrame, shared, seed: int) -> DataFrame:
     def find(batches):
         walk, held, size = Walk(shared.value, seed), [], 0
         key, known = distinct(np.zeros((0, LONGEST), np.int64))
-        for flat in read_batches(batches, walk.reader):
-            walk.note()
+        for flat in walk.read(batches):
             cells, before, met = shared.value["cells"], np.zeros(0, np.int64), []
             for k, (at, symbols) in enumerate(walk.runs(flat, LONGEST), 2):
                 ok = bit(cells, cell_of(*symbols))
@@ -364,8 +392,7 @@ def counted(texts: DataFrame, shared, seed: int) -> DataFrame:
     def count(batches):
         walk, trie = Walk(shared.value, seed), shared.value["trie"]
         n, held, size = np.zeros(trie.size, np.int64), [], 0
-        for flat in read_batches(batches, walk.reader):
-            walk.note()
+        for flat in walk.read(batches):
             for state in walk.states(flat):
                 held.append(trie.place[state])
                 size += len(state)
@@ -442,10 +469,12 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST) -> tupl
     frequent = settle(words.where(F.col("n") >= least).select("symbol"))
     bits = word_bits(frequent)
     judged = {"bits": bits}
-    judged["cells"] = frequent_cells(sketched(texts, spark.sparkContext.broadcast(judged), seed), parts, least)
+    shared = spark.sparkContext.broadcast(judged)
+    split = settle(split_once(texts, shared, seed))
+    judged["cells"] = frequent_cells(sketched(split, shared, seed), parts, least)
     judged = spark.sparkContext.broadcast(judged)  # the driver keeps no copy
     # A task a slot, not one a split: each sends all candidates that it meets, so rows would grow with splits times candidates.
-    found = candidates(texts.coalesce(max(1, spark.sparkContext.defaultParallelism)), judged, seed)
+    found = candidates(split.coalesce(max(1, spark.sparkContext.defaultParallelism)), judged, seed)
     alone = frequent.select(F.col("symbol").alias("s1"), *[F.lit(0).cast("long").alias(c) for c in SYMBOLS[1:]])
     phrases = settle(found.unionByName(alone))
     of = max(1, -(-phrases.count() // most))
@@ -455,7 +484,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST) -> tupl
     placed = settle(ranked.join(first, "part").select("part", (F.col("number") - F.col("first")).alias("place"), *SYMBOLS))
     shards = None
     for shared in tries(spark, placed, of):
-        more = counted(texts, shared, seed)
+        more = counted(split, shared, seed)
         shards = more if shards is None else shards.unionByName(more)
     return words, settle(placed.join(summed(shards, parts, least), ["part", "place"]).select(*SYMBOLS, "n"))
 
